@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpointed, table
 
 
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,3 +15,32 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return round_trip_digests(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import perspectives
+
+    spans = F.array_join(F.transform("mask", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return perspectives(table(spark, sf_dir, "conversations")).withColumn("mask", spans)
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, n_words
+
+    sized = checkpointed(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    return mix(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn, remainder
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    samples = learn(docs.where(~held_out))
+    return identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_column
+
+    return media_column(table(spark, sf_dir, "documents").select("doc_id", "text"))

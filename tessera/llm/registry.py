@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from . import chat, mixing
 from . import queries as q
 
 
 def queries() -> dict:
-    found = {name: f for name, f in vars(q).items() if name.startswith("op")}
-    return found
+    return {name: f for name, f in vars(q).items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_perspectives": chat.ORACLE, "op4_source_mix": mixing.ORACLE}
