@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, stored, table
 
 
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import integers, search
+
+    vectors = integers(table(spark, sf_dir, "embeddings"))
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import perspectives
 
@@ -44,3 +51,14 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_column
 
     return media_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import remainder
+    from .quality import featured, fit, scored
+
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    features = stored(featured(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-features")
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality")
+    result = scored(features, fit(features, labels))
+    return result.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
