@@ -68,3 +68,9 @@ def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pages import extract
 
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, topk
+from . import chat, mixing, ngram_join, topk
 from . import queries as q
 
 
@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE, "op3_perspectives": chat.ORACLE, "op4_source_mix": mixing.ORACLE}
+    return {"op2_topk": topk.ORACLE, "op3_perspectives": chat.ORACLE, "op4_source_mix": mixing.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
