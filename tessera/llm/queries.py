@@ -74,3 +74,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import join
 
     return join(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
