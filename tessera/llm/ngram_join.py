@@ -149,8 +149,8 @@ def frequent_tokens(docs: DataFrame, words: int) -> bytes:
 
 
 def nodes_of(docs: DataFrame, order: bytes, words: int, percent: int) -> DataFrame:
-    """row, id, n, node and, where its task first meets a node, prefix and parity."""
-    schema = "row long, id long, n long, node long, prefix array<long>, parity binary"
+    """row, id, h, n, node and, where its task first meets a node, prefix and parity."""
+    schema = "row long, id long, h long, n long, node long, prefix array<long>, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -170,7 +170,7 @@ def nodes_of(docs: DataFrame, order: bytes, words: int, percent: int) -> DataFra
                     rows.append((n, node, signed(_order(order).prefix(tokens, prefix_size(n, percent))), parity(tokens, percent)))
             n, node, prefix, bits = list(zip(*rows, strict=True)) or [()] * 4
             arrays = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *arrays], names=["row", "id", "n", "node", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("h"), *arrays], names=["row", "id", "h", "n", "node", "prefix", "parity"])
 
     return docs.mapInArrow(run, schema)
 
@@ -301,10 +301,14 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def join(df: DataFrame, row_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """row id, n_shingles, component_id of every row."""
+def _keyed(df: DataFrame, row_id: str, text: str) -> list[Column]:
+    return [F.coalesce(F.col(row_id).cast("long"), F.xxhash64(text)).alias("row"), F.xxhash64(text).alias("h")]
+
+
+def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """row, id, h, n, component of every row: component is a node key, null without shingles."""
     bound_batches(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(row_id).cast("long"), F.xxhash64(text)).alias("row"), F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = df.select(*_keyed(df, row_id, text), F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     table = stored(nodes_of(docs, frequent_tokens(docs, words), words, percent), "shingle-nodes")
 
     posted = table.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -329,12 +333,29 @@ def join(df: DataFrame, row_id: str = "doc_id", text: str = "text", words: int =
     links = first.unionByName(linked(late, sets, percent))
     final = components(links)
 
-    rows = table.select("id", "n", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return table.select("row", "id", "h", "n", "node").join(final, "node", "left").select("row", "id", "h", "n", F.coalesce("component", "node").alias("component"))
+
+
+def join(df: DataFrame, row_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """row id, n_shingles, component_id of every row."""
+    rows = labelled_rows(df, row_id, text, words, percent)
     least = rows.where("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("id").alias("least"))
     named = rows.join(least, F.col("component") == F.col("of"), "left")
     return named.select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def representatives(df: DataFrame, row_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, the one of the smallest id, with all its columns; rows without shingles all stay."""
+    rows = labelled_rows(df, row_id, text, words, percent)
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "row", "h")).alias("first")
+    chosen = rows.where("component is not null").groupBy("component").agg(first).select(F.col("first.row").alias("_row"), F.col("first.h").alias("_h"))
+    solid = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row, h = _keyed(df, row_id, text)
+    kept = df.where(solid).withColumn("_row", row).withColumn("_h", h).join(chosen, ["_row", "_h"])
+    once = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_row", "_h").orderBy(F.lit(0)))).where("_nth = 1")
+    return once.select(*df.columns).unionByName(df.where(~solid))
+
+
 #: The same components in DuckDB SQL, over all pairs that share a shingle.
 ORACLE = f"""
 WITH RECURSIVE words AS (

@@ -218,10 +218,10 @@ def merged_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans, spans and kept (the bytes that stay)."""
+def dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """Adds n_bytes, n_removed, n_spans, spans and kept: the bytes that stay or, as text, their whole characters."""
     fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
-    fields += [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())]
+    fields += [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     kept_columns = [c for c in df.columns if c not in {f.name for f in fields}]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     keyed, ranges = repeats(df, text, row_id, length)
@@ -234,9 +234,9 @@ def dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int
                 spans = merged_ranges(found.as_py())
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else raw
-                rows.append((len(raw), len(raw) - len(kept), len(spans), [{"start": a, "end": b} for a, b in spans], kept))
+                rows.append((len(raw), len(raw) - len(kept), len(spans), [{"start": a, "end": b} for a, b in spans], kept.decode(errors="ignore") if as_text else kept))
             n, removed, n_spans, spans, kept = list(zip(*rows, strict=True)) or [()] * 5
-            made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.binary())]
+            made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_columns), *made], names=[*kept_columns, *(f.name for f in fields)])
 
     joined = keyed.select(*kept_columns, F.col("d").alias("_d"), F.col("h").alias("_h")).join(ranges.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "ranges"), ["_d", "_h"], "left")
