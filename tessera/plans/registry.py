@@ -1,40 +1,14 @@
-"""Names of the queries, with their DuckDB twins."""
+"""All queries of the library by name, with their DuckDB twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def a03_lag_stats_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lag from order to shipping by order year; negative lags are dropped."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_shipdate")
-    lag = F.datediff("l_shipdate", "o_orderdate")
-    rows = items.join(orders, items.l_orderkey == orders.o_orderkey).select("o_orderkey", F.year("o_orderdate").alias("yr"), lag.alias("lag")).where("lag >= 0")
-    return rows.groupBy("yr").agg(
-        F.count("*").alias("n"),
-        F.countDistinct("o_orderkey").alias("records"),
-        F.avg("lag").alias("mean_lag"),
-        F.median("lag").alias("median_lag"),
-        F.min("lag").alias("min_lag"),
-        F.max("lag").alias("max_lag"),
-    )
+from . import analytics_queries  # noqa: F401
+from .base import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"a03_lag_stats_by_year": a03_lag_stats_by_year}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "a03_lag_stats_by_year": """
-            SELECT year(o_orderdate) AS yr, count(*) AS n, count(DISTINCT o_orderkey) AS records, avg(lag) AS mean_lag,
-                   median(lag) AS median_lag, min(lag) AS min_lag, max(lag) AS max_lag
-            FROM (SELECT o_orderkey, o_orderdate, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS lag
-                  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE lag >= 0 GROUP BY 1"""
-    }
+    return dict(ORACLES)
