@@ -38,10 +38,17 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes a frame as a Parquet table in the shared folder and reads it back: lineage ends here, lost executors cost nothing above it."""
+    """Writes a frame as a Parquet table in the shared folder and reads it back: lineage ends here, lost executors cost nothing above it.
+
+    The write's shuffle files go as soon as it ends, where this Spark can do that."""
     spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    path, cleanup = fresh_dir(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
