@@ -101,6 +101,9 @@ def pieces(raw: bytes, first: int, last: int, place: int, length: int) -> Iterat
 
 def sorted_bucket(members: list[tuple[int, bytes, int, int]], length: int) -> list[int]:
     """For each member (offset, bytes, count, ...) of a bucket: a bit for each of its suffixes that has an equal."""
+    if len(members) == 1:  # nothing to sort: its suffixes equal only those of its own copies
+        _, raw, count, *_ = members[0]
+        return [(1 << (len(raw) - length + 1)) - 1 if count > 1 else 0]
     tie = length - CYCLE + 1
     ranks: dict[int, list[int | None]] = {}
     span = STEP + CYCLE
@@ -108,7 +111,7 @@ def sorted_bucket(members: list[tuple[int, bytes, int, int]], length: int) -> li
     for x in range(span):
         if x % CYCLE in COVER:
             strings = [m[1][x - m[0] : x - m[0] + tie] if m[0] <= x <= m[0] + len(m[1]) - tie else None for m in members]
-            order = sorted(k for k, s in enumerate(strings) if s is not None) if len(members) < 2 else sorted((k for k, s in enumerate(strings) if s is not None), key=strings.__getitem__)
+            order = sorted((k for k, s in enumerate(strings) if s is not None), key=strings.__getitem__)
             rank: list[int | None] = [None] * len(members)
             for n, k in enumerate(order):
                 rank[k] = rank[order[n - 1]] if n and strings[order[n - 1]] == strings[k] else n
