@@ -175,23 +175,6 @@ def nodes_of(docs: DataFrame, order: bytes, words: int, percent: int) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, n, tokens (packed) of the wanted (row, node): one row a node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
-                tokens = shingles(text.as_py(), words)
-                packed = tokens.tobytes()
-                if len(tokens) and int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True) == node:
-                    rows.append((node, len(tokens), packed))
-            node, n, packed = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["node", "n", "tokens"])
-
-    return docs.join(wanted, "row").select("node", "text").mapInArrow(run, "node long, n long, tokens binary").dropDuplicates(["node"])
-
-
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """Indexes of the candidates that link with the query."""
     x = len(query)
@@ -224,23 +207,63 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int =
     return sorted(found)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: b in blocks against their a."""
+def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int, merge: bool) -> DataFrame:
+    """The pairs (a, b) that link: each a's set against the sets of its b, in blocks. Every node's text is fetched once and its set sent where it is needed.
+
+    merge: whether the nodes asked for may be many, so that texts are joined by a shuffle; else Spark decides by the size of their table."""
     per = pairs.groupBy("a").agg(F.count("*").alias("_of"))
-    salted = pairs.join(per, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("_of") / BLOCK_ROWS)).cast("long")).select("a", "b", "salt")
-    left = salted.join(sets.select(F.col("node").alias("b"), "tokens"), "b")
-    asked = salted.select(F.col("a").alias("query"), F.col("salt").alias("part")).distinct()
-    right = asked.join(sets.select(F.col("node").alias("query"), F.col("tokens").alias("asked")), "query")
+    salted = stored(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_of") / BLOCK_ROWS)).cast("long").alias("salt")), "shingle-blocks")
+    asked = salted.select(F.col("a").alias("node"), "a", "salt", F.lit(True).alias("query")).distinct()
+    roles = asked.unionByName(salted.select(F.col("b").alias("node"), "a", "salt", F.lit(False).alias("query")))
+    wanted = roles.groupBy("node").agg(F.collect_list(F.struct("a", "salt", "query")).alias("roles")).join(nodes.select("node", "row"), "node")
+    wanted = stored(wanted.select("node", "row", "roles"), "shingle-wanted")
+    schema = "a long, salt long, query boolean, node long, tokens binary"
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, rows = batch.slice(at, 64), []
+                for node, text, roles in zip(part.column("node").to_pylist(), part.column("text"), part.column("roles").to_pylist(), strict=True):
+                    packed = shingles(text.as_py(), words).tobytes()
+                    if int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True) == node:  # ids may repeat with other texts
+                        rows += [(r["a"], r["salt"], r["query"], node, packed) for r in roles]
+                a, salt, query, node, packed = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(salt, pa.int64()), pa.array(query, pa.bool_()), pa.array(node, pa.int64()), pa.array(packed, pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
+
+    def search(block: pa.Table) -> pa.Table:
+        role, ids, packed = block.column("query").to_pylist(), block.column("node").to_pylist(), block.column("tokens").to_pylist()
+        found, a = [], block.column("a")[0].as_py()
+        asker = next((k for k, q in enumerate(role) if q), None)
+        if asker is not None:
+            others = [k for k, q in enumerate(role) if not q]
+            hits = divide_skip(np.frombuffer(packed[asker], np.uint64), [np.frombuffer(packed[k], np.uint64) for k in others], percent)
+            found = [ids[others[k]] for k in hits]
+        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    joined = texts.join(wanted.hint("merge") if merge else wanted, "row").select("node", "text", "roles")
+    return joined.mapInArrow(sets, schema).groupBy("a", "salt").applyInArrow(search, "a long, b long")
+
+
+def apart(p: bytes, q: bytes) -> int:
+    """Tokens in which two sets differ at least, from their parities."""
+    if len(p) != len(q):
+        p, q = sorted((p, q), key=len)
+        q = np.bitwise_xor.reduce(np.frombuffer(q, np.uint8).reshape(-1, len(p))).tobytes()
+    return (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count()
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the parity bound doesn't rule out."""
 
-    def search(query: pa.Table, block: pa.Table) -> pa.Table:
-        if not query.num_rows or not block.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        tokens = np.frombuffer(query.column("asked")[0].as_py(), np.uint64)
-        ids = block.column("b").to_pylist()
-        found = divide_skip(tokens, [np.frombuffer(x, np.uint64) for x in block.column("tokens").to_pylist()], percent)
-        return pa.table({"a": pa.array([query.column("query")[0].as_py()] * len(found), pa.int64()), "b": pa.array([ids[k] for k in found], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, p, q = (batch.column(c).to_pylist() for c in ("n", "m", "p", "q"))
+            keep = [apart(p, q) <= n + m - 2 * required(n, m, percent) for n, m, p, q in zip(x, y, p, q, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return right.groupBy("query", "part").cogroup(left.groupBy("a", "salt")).applyInArrow(search, "a long, b long")
+    with_a = pairs.join(nodes.select(F.col("node").alias("a"), "n", F.col("parity").alias("p")), "a")
+    both = with_a.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("parity").alias("q")), "b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def size_fits(x: Column, y: Column, percent: int) -> Column:
@@ -254,15 +277,11 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
         n, pos = col["n"], col["pos"]
         total = n[i] + n[j]
         differ = total - 2 * (-(-percent * total // (100 + percent)))
-        apart = (col["block_a"][i] == col["block_b"][i]) | (col["block"][i] != col["block"][j])
-        fit = (col["component"][i] != col["component"][j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (pos[i] + pos[j] <= differ) & apart
+        across = (col["block_a"][i] == col["block_b"][i]) | (col["block"][i] != col["block"][j])
+        fit = (col["component"][i] != col["component"][j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (pos[i] + pos[j] <= differ) & across
         out = []
         for x, y, d in zip(i[fit].tolist(), j[fit].tolist(), differ[fit].tolist(), strict=True):
-            p, q = bits[x], bits[y]
-            if len(p) != len(q):
-                p, q = sorted((p, q), key=len)
-                q = np.bitwise_xor.reduce(np.frombuffer(q, np.uint8).reshape(-1, len(p))).tobytes()
-            if (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count() <= d:
+            if apart(bits[x], bits[y]) <= d:
                 out.append((x, y))
         return out
 
@@ -315,12 +334,15 @@ def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", wor
     of_token = Window.partitionBy("token")
     several = F.min("node").over(of_token) != F.max("node").over(of_token)
     cleanest = F.min(F.struct("pos", "node", "n")).over(of_token)
-    live = stored(posted.withColumn("several", several).withColumn("first", cleanest).where("several").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n")), "shingle-lists")
-    nodes = table.where("prefix is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity"))
-    sets = stored(sets_of(docs.select("row", "text"), nodes.join(live.select("node").distinct(), "node", "left_semi").select("row", "node"), words), "shingle-sets")
-
-    stars = live.where((F.col("node") != F.col("pivot")) & size_fits(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(linked(stars, sets, percent), "shingle-links")
+    live = stored(posted.withColumn("several", several).withColumn("first", cleanest).where("several").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.pos").cast("long").alias("pivot_pos")), "shingle-lists")
+    texts = docs.select("row", "text")
+    nodes = stored(table.where("prefix is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity")), "shingle-sets")
+    # Here a pair may be left out: lists that still hold several components are searched in full below.
+    total = F.col("n") + F.col("pivot_n")
+    within = F.col("pos") + F.col("pivot_pos") <= total - 2 * F.ceil(total * percent / (100 + percent))
+    stars = live.where((F.col("node") != F.col("pivot")) & size_fits(F.col("n"), F.col("pivot_n"), percent) & within).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    stars = stored(plausible(stars.distinct(), nodes, percent), "shingle-stars")
+    first = stored(linked(stars, texts, nodes, words, percent, merge=True), "shingle-links")
     grown = components(first)
 
     labelled = live.join(grown, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "n", "pos", "component").distinct()
@@ -330,7 +352,7 @@ def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", wor
     blocked = blocked.withColumn("block_a", F.least("block", "with")).withColumn("block_b", F.greatest("block", "with")).join(nodes.select("node", "parity"), "node")
     dealt = blocked.repartition("token", "block_a", "block_b").sortWithinPartitions("token", "block_a", "block_b", "pos", "node")
     late = stored(cross_pairs(dealt.select("token", "block_a", "block_b", "block", "node", "n", "pos", "component", "parity"), percent), "shingle-pairs")
-    links = first.unionByName(linked(late, sets, percent))
+    links = first.unionByName(stored(linked(late, texts, nodes, words, percent, merge=False), "shingle-links"))
     final = components(links)
 
     return table.select("row", "id", "h", "n", "node").join(final, "node", "left").select("row", "id", "h", "n", F.coalesce("component", "node").alias("component"))
