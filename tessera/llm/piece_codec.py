@@ -161,7 +161,8 @@ class PieceCodec:
             text = raw.decode()
         except UnicodeDecodeError:
             text = self._decode_bytes(ids)
-        return text[1:] if self.dummy and ids and text.startswith(" ") and ids[0] not in self.byte_of else text
+        first = next((i for i in ids if self.surface[i]), self.unknown)
+        return text[1:] if self.dummy and text.startswith(" ") and first not in self.byte_of and first != self.unknown else text
 
     def _decode_bytes(self, ids: list[int]) -> str:
         out, run = [], bytearray()
