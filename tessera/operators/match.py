@@ -100,3 +100,30 @@ def candidate_queries(text: Column) -> Column:
     trimmed = F.transform(found, lambda q: F.trim(q, F.lit(" .,;:")))
     long = F.filter(trimmed, lambda q: F.size(X.gap_match_tokens(X.fold(q, slashed_o=True))) >= 4)
     return F.slice(F.array_distinct(F.concat(long, F.array(text))), 1, 4)
+
+
+def search_cascade(queries: DataFrame, works: DataFrame, most: int) -> DataFrame:
+    """J-15: for each reference the hit of its first query that has an acceptable one.
+
+    queries: ref_id, pos, query_tokens, ref_tokens, years; works: work_id, title_tokens, source_tokens, year, article.
+    A query finds works that share a rare token with it; the best of them by score (first work on ties) is accepted or not."""
+    asked = queries.withColumn("_ask", F.struct("ref_id", "pos"))
+    pairs = token_candidates(asked.select("_ask", "query_tokens"), "_ask", "query_tokens", works, "work_id", "title_tokens", most)
+    rows = pairs.select(F.col("_ask.ref_id").alias("ref_id"), F.col("_ask.pos").alias("pos"), "work_id").join(queries.drop("query_tokens"), ["ref_id", "pos"]).join(works, "work_id")
+    title, source = containment(F.col("title_tokens"), F.col("ref_tokens")), containment(F.col("source_tokens"), F.col("ref_tokens"))
+    in_year = F.coalesce(F.array_contains("years", F.col("year")), F.lit(False))
+    scored = rows.withColumns({"title_overlap": title, "year_match": in_year, "score": search_score(F.col("article"), in_year, title, source)})
+    best = best_per(scored, ["ref_id", "pos"], "score", ["work_id"]).withColumn("confidence", search_acceptance(F.col("title_overlap"), F.col("year_match"), F.col("score")))
+    accepted = best.where("confidence is not null")
+    return accepted.withColumn("_first", F.row_number().over(Window.partitionBy("ref_id").orderBy("pos"))).where("_first = 1").select("ref_id", "pos", "work_id", "score", "confidence")
+
+
+def is_mixed_reference(text: Column) -> Column:
+    """R-15: a block of several resources; shorter and with other markers than an aggregate of R-01."""
+    low = F.lower(text)
+    hits = sum((F.contains(low, F.lit(m)).cast("int") for m in MIXED_MARKERS), F.lit(0))
+    return (F.length(text) > 900) & (hits >= 3)
+
+
+# Markers of mixed blocks.
+MIXED_MARKERS = ["books", "videos", "scientific article", "websites", "additional information"]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import text as X
 from tessera.operators import classify as C
 from tessera.operators import extract as E
 from tessera.operators import match as M
+from tessera.sources import readers as S
 
 from .base import CITATIONS_SQL, citations, query, table, with_inputs
 
@@ -324,3 +326,80 @@ def src04_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.substring(F.sha2("props", 256), 1, 24).alias("cache_key"))
 
 
+
+
+def token_list_sql(x: str) -> str:
+    return f"list_distinct({words_sql(fold_sql(x), 3, X.MATCH_STOP, False)})"
+
+
+@query(with_inputs("""SELECT ref_id, pos, work_id, score, confidence FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY pos) AS k FROM (
+    SELECT *, CASE WHEN title >= 0.75 AND y THEN 'A' WHEN title >= 0.6 AND y THEN 'B' WHEN score >= 65 AND y THEN 'C' END AS confidence FROM (
+      SELECT *, row_number() OVER (PARTITION BY ref_id, pos ORDER BY score DESC, work_id) AS place FROM (
+        SELECT ref_id, pos, work_id, title, y, 10.0 + CASE WHEN y THEN 20.0 ELSE 0 END + 70 * title + CASE WHEN src >= 0.5 THEN 10.0 ELSE 0 END AS score FROM (
+          SELECT q.ref_id, q.pos, w.work_id, w.wy = q.cited_year AS y, CASE WHEN len(wt) > 0 THEN len(list_intersect(wt, rt)) / len(wt) ELSE 0 END AS title, CASE WHEN len(ws) > 0 THEN len(list_intersect(ws, rt)) / len(ws) ELSE 0 END AS src
+          FROM (SELECT DISTINCT ref_id, pos, work_id FROM (SELECT ref_id, pos, unnest(qt) AS token FROM q) a JOIN (SELECT work_id, unnest(wt) AS token FROM w) b USING (token) WHERE token IN (SELECT token FROM (SELECT unnest(wt) AS token FROM w) GROUP BY 1 HAVING count(*) <= 30)) c
+          JOIN q USING (ref_id, pos) JOIN w USING (work_id)))) WHERE place = 1) WHERE confidence IS NOT NULL) WHERE k = 1""",
+    refs=CITATIONS_SQL,
+    w=f"SELECT p_partkey AS work_id, {token_list_sql("p_name || ' item' || p_partkey")} AS wt, {token_list_sql('p_brand')} AS ws, 1900 + p_partkey % 125 AS wy FROM part WHERE p_partkey % 4 < 2",
+    q=f"SELECT ref_id, 0 AS pos, cited_year, {token_list_sql("title || ' item' || ref_id")} AS qt, {token_list_sql("reference_text || ' item' || ref_id")} AS rt FROM refs UNION ALL SELECT ref_id, 1, cited_year, {token_list_sql("reference_text || ' item' || ref_id")}, {token_list_sql("reference_text || ' item' || ref_id")} FROM refs"))
+def j15_search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-15, S-02, S-03: the first search of each citation with an acceptable hit, titles before whole texts."""
+    tokens = lambda c, key=None: X.match_tokens(X.fold(F.concat(c, F.lit(" item"), F.col(key).cast("string")) if key else F.col(c)))
+    refs = citations(spark, sf_dir).select("ref_id", F.array(F.col("cited_year").cast("long")).alias("years"), tokens("reference_text", "ref_id").alias("ref_tokens"), F.array(tokens("title", "ref_id"), tokens("reference_text", "ref_id")).alias("q"))
+    queries = refs.select("ref_id", "years", "ref_tokens", F.posexplode("q").alias("pos", "query_tokens"))
+    parts = table(spark, sf_dir, "part").where("p_partkey % 4 < 2")
+    works = parts.select(F.col("p_partkey").alias("work_id"), tokens("p_name", "p_partkey").alias("title_tokens"), tokens("p_brand").alias("source_tokens"), (1900 + F.col("p_partkey") % 125).alias("year"), F.lit(True).alias("article"))
+    return M.search_cascade(queries, works, most=30)
+
+
+@query(with_inputs("SELECT record_id, ref_id, place FROM (SELECT record_id, ref_id, row_number() OVER (PARTITION BY record_id ORDER BY (ref_id * 7919) % 31 DESC, ref_id) AS place FROM refs) WHERE place <= 3", refs=CITATIONS_SQL))
+def o05_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-05: references of each record by falling score, then id."""
+    order = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "ref_id")
+    return citations(spark, sf_dir).withColumn("score", F.col("ref_id") * 7919 % 31).withColumn("place", F.row_number().over(order)).where("place <= 3").select("record_id", "ref_id", "place")
+
+
+@query(f"""SELECT a.doc_id, len(list_intersect(a.t, b.t)) AS shared, len(list_distinct(list_concat(a.t, b.t))) AS either FROM (SELECT doc_id, {token_list_sql('text')} AS t FROM documents) a JOIN (SELECT doc_id, {token_list_sql('text')} AS t FROM documents) b ON b.doc_id = a.doc_id + 1""")
+def u03_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U-03, U-04: tokens that neighbouring documents share, and those of either."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.match_tokens(X.fold(F.col("text"))).alias("t"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return docs.join(after, "doc_id").select("doc_id", F.size(F.array_intersect("t", "u")).cast("long").alias("shared"), F.size(F.array_union("t", "u")).cast("long").alias("either"))
+
+
+@query(with_inputs(rf"""SELECT record_id, count(*) AS chunks FROM (SELECT DISTINCT record_id, trim(regexp_replace(reference_text, '\s+', ' ', 'g')) AS chunk FROM (
+    SELECT *, regexp_matches(reference_text, '(?i)\b10\.\d{{4,9}}/[^\s"<>]+') AS d, regexp_matches(reference_text, '\b(?:18|19|20)\d{{2}}\b') AS y FROM refs)
+   WHERE length(chunk) >= 20 AND (d OR (y AND ({keyword_sql(C.FILE_KEYWORDS)} OR contains(lower(reference_text), 'et al') OR regexp_matches(reference_text, '^\s*(?:\[\d+\]|\d+[\).])\s+'))))) GROUP BY 1""", refs=CITATIONS_SQL))
+def tx03_reference_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX-03, F-10: reference-like chunks of documents; every citation is a page of one line here."""
+    pages = citations(spark, sf_dir).select("record_id", "ref_id", "reference_text")
+    chunks = E.reference_chunks(pages, ["record_id", "ref_id"], "reference_text")
+    return chunks.select("record_id", "chunk").distinct().groupBy("record_id").agg(F.count("*").alias("chunks"))
+
+
+@query(with_inputs("SELECT record_id, sum(length(body)) > 0 AS filled, sum(length(body)) > 900 AND max(hits) >= 3 AS mixed FROM (SELECT record_id, string_agg(lower(reference_text), ' ' ORDER BY ref_id) AS body, (contains(string_agg(lower(reference_text), ' '), 'books'))::INT + (contains(string_agg(lower(reference_text), ' '), 'videos'))::INT + (contains(string_agg(lower(reference_text), ' '), 'scientific article'))::INT + (contains(string_agg(lower(reference_text), ' '), 'websites'))::INT + (contains(string_agg(lower(reference_text), ' '), 'additional information'))::INT AS hits FROM refs GROUP BY 1) GROUP BY 1", refs=CITATIONS_SQL))
+def r15_mixed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-15: long blocks with several markers, put together from a record's citations."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ref_id", "reference_text"))), lambda p: p["reference_text"])
+    blocks = citations(spark, sf_dir).groupBy("record_id").agg(F.array_join(texts, " ").alias("body"))
+    return blocks.select("record_id", (F.length("body") > 0).alias("filled"), M.is_mixed_reference(F.col("body")).alias("mixed"))
+
+
+@query("SELECT c_custkey, CASE WHEN length(f) >= 4 THEN f END AS family, 'laureate: ' || c_name || ' prize paper ' || (1900 + c_custkey % 120) AS search FROM (SELECT *, split_part(lower(c_mktsegment), ' ', 1) AS f FROM customer)")
+def sc17_name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-17, SC-19: the family name that the gap tokeniser leaves, and a search phrase from a template."""
+    phrase = F.format_string("laureate: %s prize paper %d", F.col("c_name"), 1900 + F.col("c_custkey") % 120)
+    name = X.gap_name_tokens(F.concat(F.lit("Jo van "), F.split("c_mktsegment", " ")[0]))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.get(name, F.lit(0)).alias("family"), phrase.alias("search"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'https://x.example/facts/' || year(o_orderdate) ELSE 'https://x.example/built/' || o_orderkey END AS url FROM orders")
+def j02_fact_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-02, J-20: the facts link of the prize of a year inside nested prizes, else a built one."""
+    year = F.year("o_orderdate").cast("string")
+    link = lambda y, kind: F.struct(F.concat(F.lit("https://x.example/facts/"), y).alias("href"), F.array(F.lit(kind)).alias("class"))
+    prize = lambda y, kind: F.struct(y.alias("awardYear"), F.array(link(y, "other"), link(y, kind)).alias("links"))
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "laureate facts").otherwise("none")
+    prizes = F.array(prize(F.lit("1900"), "laureate facts"), F.struct(year.alias("awardYear"), F.array(F.struct(F.concat(F.lit("https://x.example/facts/"), year).alias("href"), F.array(kind).alias("class"))).alias("links")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", year.alias("y"), prizes.alias("prizes"))
+    return rows.select("o_orderkey", S.fact_url(F.col("prizes"), F.col("y"), F.concat(F.lit("https://x.example/built/"), F.col("o_orderkey").cast("string"))).alias("url"))
