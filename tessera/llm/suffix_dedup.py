@@ -193,14 +193,15 @@ def repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: i
     keyed = df.withColumn("d", F.coalesce(F.col(row_id).cast("long"), F.lit(-1))).withColumn("h", F.xxhash64(text))
     docs = keyed.where(F.octet_length(text) >= length).select("d", "h", F.col(text).alias("text"))
     table = stored(run_table(docs, length), "suffix-runs")
-    twice = table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # Counts are stored before they are joined: a join on its own exchanges can split a hot bucket, one behind an aggregate cannot.
+    twice = stored(table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "suffix-twice")
     near = stored(table.join(twice, "bucket", "left_semi"), "suffix-near")
-    copied = near.groupBy("b1", "b2").agg(F.count("*").alias("n")).where("n > 1").select("b1", "b2", F.lit(True).alias("whole"))
-    marked = stored(near.join(copied, ["b1", "b2"], "left").drop("n"), "suffix-marked")
+    copied = stored(near.groupBy("b1", "b2").agg(F.count("*").alias("n")).where("n > 1").select("b1", "b2", F.lit(True).alias("whole")), "suffix-copied")
+    marked = stored(near.join(copied, ["b1", "b2"], "left"), "suffix-marked")
     whole = marked.where("whole").select("d", "h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     # The rest may also equal parts of runs that are copied as a whole: one of each such run joins in.
     rest = marked.where("whole is null")
-    copies = marked.where("whole").join(rest.select("bucket").distinct(), "bucket", "left_semi")
+    copies = marked.where("whole").join(stored(rest.select("bucket").distinct(), "suffix-open"), "bucket", "left_semi")
     one = copies.groupBy("b1", "b2").agg(F.min(F.struct("d", "h", "first", "last", "place")).alias("one")).select("one.*")
     table = stored(piece_table(docs, rest.select("d", "h", "first", "last", "place").unionByName(one), length), "suffix-pieces")
     masks = bucket_masks(table.select("bucket", "offset", "id", "bytes"), length)
