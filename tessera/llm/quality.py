@@ -187,8 +187,10 @@ class AdditiveModel:
 def fit(features: DataFrame, labels: DataFrame, row_id: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> AdditiveModel:
     """Fits on a bounded sample of the labelled rows of a features frame."""
     known = labels.where(F.col(label).isNotNull()).select(F.col(row_id).alias("_id"), F.col(label).cast("double").alias("_label"))
-    joined = features.join(known, F.col(row_id) == F.col("_id"))
-    sample = joined.orderBy(F.xxhash64("_id"), "_id", "_label", *FEATURES).limit(rows).select("_label", *FEATURES).toPandas()
+    # A hash share of little more than the bound, so that no task sends more than its part of it to the driver.
+    some = int(min(1.0, 1.2 * rows / max(1, known.count())) * 1_000_000) + 1
+    joined = features.join(known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < some), F.col(row_id) == F.col("_id"))
+    sample = joined.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)), F.xxhash64("_id"), "_id", "_label", *FEATURES).limit(rows).select("_label", *FEATURES).toPandas()
     return AdditiveModel(sample[list(FEATURES)].to_numpy(np.float64), sample["_label"].to_numpy(np.float64))
 
 
