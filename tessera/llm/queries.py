@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table
+from .common import checkpointed, spread, stored, table
 
 
 def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +13,7 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .piece_codec import round_trip_digests
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return round_trip_digests(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -41,7 +41,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, learn, remainder
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     samples = learn(docs.where(~held_out))
     return identify(docs.select("doc_id", "text"), samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -50,7 +50,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_column
 
-    return media_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import featured, fit, scored
 
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    features = stored(featured(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-features")
+    features = stored(featured(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "quality-features")
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality")
     result = scored(features, fit(features, labels))
     return result.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -67,17 +67,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pages import extract
 
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return extract(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", "n_chars")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import join
 
-    return join(table(spark, sf_dir, "documents"))
+    return join(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
