@@ -360,9 +360,10 @@ def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", wor
 
 def join(df: DataFrame, row_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """row id, n_shingles, component_id of every row."""
-    rows = labelled_rows(df, row_id, text, words, percent)
+    rows = stored(labelled_rows(df, row_id, text, words, percent), "shingle-rows")
     least = rows.where("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("id").alias("least"))
-    named = rows.join(least, F.col("component") == F.col("of"), "left")
+    # Stored before it is joined: a join on its own exchanges can split a large component, one behind an aggregate cannot.
+    named = rows.join(stored(least, "shingle-least"), F.col("component") == F.col("of"), "left")
     return named.select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
