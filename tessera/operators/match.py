@@ -102,20 +102,57 @@ def candidate_queries(text: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(long, F.array(text))), 1, 4)
 
 
-def search_cascade(queries: DataFrame, works: DataFrame, most: int) -> DataFrame:
+def title_classes(queries: DataFrame, works: DataFrame) -> DataFrame:
+    """ref_id, pos, years and the query's and reference's tokens that any work has: _q of titles, _r of titles or sources. No other token counts for a score."""
+    titles = works.select(F.explode("title_tokens").alias("_token")).distinct()
+    known = titles.union(works.select(F.explode("source_tokens").alias("_token"))).distinct()
+    of = lambda tokens, words, name: queries.select("ref_id", "pos", F.explode(tokens).alias("_token")).join(words, "_token").groupBy("ref_id", "pos").agg(F.array_sort(F.collect_set("_token")).alias(name))
+    rows = queries.select("ref_id", "pos", "years").join(of("query_tokens", titles, "_q"), ["ref_id", "pos"]).join(of("ref_tokens", known, "_r"), ["ref_id", "pos"], "left")
+    return rows.withColumn("_r", F.coalesce("_r", F.array().cast("array<string>")))
+
+
+def best_hits(queries: DataFrame, works: DataFrame) -> DataFrame:
+    """The best of all works that share a title token with a query, by score, then first work. No token is too frequent: queries and works of equal
+    tokens are compared once. Works of a cited year are found by title and year, others are scored as if in no cited year; a work in both counts by its higher score."""
+    asked = title_classes(queries, works)
+    of = works.select(F.array_sort("title_tokens").alias("_t"), F.array_sort("source_tokens").alias("_s"), "article", "year", "work_id")
+    classes, titles = asked.select("_q", "_r").distinct(), of.select("_t").distinct()
+    shared = classes.select("_q", "_r", F.explode("_q").alias("_token")).join(titles.select("_t", F.explode("_t").alias("_token")), "_token").select("_q", "_r", "_t").distinct()
+    title, source = containment(F.col("_t"), F.col("_r")), containment(F.col("_s"), F.col("_r"))
+
+    def best(rows: DataFrame, key: list[str], in_year: bool) -> DataFrame:
+        scored = rows.withColumns({"title_overlap": title, "year_match": F.lit(in_year), "score": search_score(F.col("article"), F.lit(in_year), title, source)})
+        return best_per(scored, key, "score", ["work_id"]).select(*key, F.struct((-F.col("score")).alias("_least"), "work_id", "score", "title_overlap", "year_match").alias("_hit"))
+
+    undated = of.groupBy("_t", "_s", "article").agg(F.min("work_id").alias("work_id"))
+    dated = of.groupBy("_t", "_s", "article", "year").agg(F.min("work_id").alias("work_id"))
+    years = asked.select("ref_id", "pos", "_q", "_r", F.explode(F.array_distinct("years")).alias("year"))
+    whole = best(shared.join(undated, "_t"), ["_q", "_r"], False)
+    in_year = best(years.select("_q", "_r", "year").distinct().join(shared, ["_q", "_r"]).join(dated, ["_t", "year"]), ["_q", "_r", "year"], True)
+    hits = asked.join(whole, ["_q", "_r"]).select("ref_id", "pos", "_hit").unionByName(years.join(in_year, ["_q", "_r", "year"]).select("ref_id", "pos", "_hit"))
+    return hits.groupBy("ref_id", "pos").agg(F.min("_hit").alias("_hit")).select("ref_id", "pos", "_hit.work_id", "_hit.score", "_hit.title_overlap", "_hit.year_match")
+
+
+def search_cascade(queries: DataFrame, works: DataFrame, most: int | None = None) -> DataFrame:
     """J-15: for each reference the hit of its first query that has an acceptable one.
 
     queries: ref_id, pos, query_tokens, ref_tokens, years; works: work_id, title_tokens, source_tokens, year, article.
-    A query finds works that share a rare token with it; the best of them by score (first work on ties) is accepted or not."""
+    A query finds works that share a token with it, with `most` only those that share one found in at most `most` works; the best of them by score (first
+    work on ties) is accepted or not."""
+    best = best_hits(queries, works) if most is None else rare_hits(queries, works, most)
+    accepted = best.withColumn("confidence", search_acceptance(F.col("title_overlap"), F.col("year_match"), F.col("score"))).where("confidence is not null")
+    return accepted.withColumn("_first", F.row_number().over(Window.partitionBy("ref_id").orderBy("pos"))).where("_first = 1").select("ref_id", "pos", "work_id", "score", "confidence")
+
+
+def rare_hits(queries: DataFrame, works: DataFrame, most: int) -> DataFrame:
+    """As best_hits, among works that share a token found in at most `most` works."""
     asked = queries.withColumn("_ask", F.struct("ref_id", "pos"))
     pairs = token_candidates(asked.select("_ask", "query_tokens"), "_ask", "query_tokens", works, "work_id", "title_tokens", most)
     rows = pairs.select(F.col("_ask.ref_id").alias("ref_id"), F.col("_ask.pos").alias("pos"), "work_id").join(queries.drop("query_tokens"), ["ref_id", "pos"]).join(works, "work_id")
     title, source = containment(F.col("title_tokens"), F.col("ref_tokens")), containment(F.col("source_tokens"), F.col("ref_tokens"))
     in_year = F.coalesce(F.array_contains("years", F.col("year")), F.lit(False))
     scored = rows.withColumns({"title_overlap": title, "year_match": in_year, "score": search_score(F.col("article"), in_year, title, source)})
-    best = best_per(scored, ["ref_id", "pos"], "score", ["work_id"]).withColumn("confidence", search_acceptance(F.col("title_overlap"), F.col("year_match"), F.col("score")))
-    accepted = best.where("confidence is not null")
-    return accepted.withColumn("_first", F.row_number().over(Window.partitionBy("ref_id").orderBy("pos"))).where("_first = 1").select("ref_id", "pos", "work_id", "score", "confidence")
+    return best_per(scored, ["ref_id", "pos"], "score", ["work_id"])
 
 
 def is_mixed_reference(text: Column) -> Column:

@@ -343,7 +343,7 @@ def token_list_sql(x: str) -> str:
     w=f"SELECT p_partkey AS work_id, {token_list_sql("p_name || ' item' || p_partkey")} AS wt, {token_list_sql('p_brand')} AS ws, 1900 + p_partkey % 125 AS wy FROM part WHERE p_partkey % 4 < 2",
     q=f"SELECT ref_id, 0 AS pos, cited_year, {token_list_sql("title || ' item' || ref_id")} AS qt, {token_list_sql("reference_text || ' item' || ref_id")} AS rt FROM refs UNION ALL SELECT ref_id, 1, cited_year, {token_list_sql("reference_text || ' item' || ref_id")}, {token_list_sql("reference_text || ' item' || ref_id")} FROM refs"))
 def j15_search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-15, S-02, S-03: the first search of each citation with an acceptable hit, titles before whole texts."""
+    """J-15, S-02, S-03: the first search with an acceptable hit over half of the works and rare tokens alone; j15_search_all_works does the whole job."""
     tokens = lambda c, key=None: X.match_tokens(X.fold(F.concat(c, F.lit(" item"), F.col(key).cast("string")) if key else F.col(c)))
     refs = citations(spark, sf_dir).select("ref_id", F.array(F.col("cited_year").cast("long")).alias("years"), tokens("reference_text", "ref_id").alias("ref_tokens"), F.array(tokens("title", "ref_id"), tokens("reference_text", "ref_id")).alias("q"))
     queries = refs.select("ref_id", "years", "ref_tokens", F.posexplode("q").alias("pos", "query_tokens"))
@@ -352,6 +352,25 @@ def j15_search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.search_cascade(queries, works, most=30)
 
 
+@query(with_inputs("""SELECT ref_id, pos, work_id, score, confidence FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY pos) AS k FROM (
+    SELECT *, CASE WHEN title >= 0.75 AND y THEN 'A' WHEN title >= 0.6 AND y THEN 'B' WHEN score >= 65 AND y THEN 'C' END AS confidence FROM (
+      SELECT *, row_number() OVER (PARTITION BY ref_id, pos ORDER BY score DESC, work_id) AS place FROM (
+        SELECT ref_id, pos, work_id, title, y, 10.0 + CASE WHEN y THEN 20.0 ELSE 0 END + 70 * title + CASE WHEN src >= 0.5 THEN 10.0 ELSE 0 END AS score FROM (
+          SELECT q.ref_id, q.pos, w.work_id, w.wy = q.cited_year AS y, CASE WHEN len(wt) > 0 THEN len(list_intersect(wt, rt)) / len(wt) ELSE 0 END AS title, CASE WHEN len(ws) > 0 THEN len(list_intersect(ws, rt)) / len(ws) ELSE 0 END AS src
+          FROM q JOIN w ON list_has_any(q.qt, w.wt)))) WHERE place = 1) WHERE confidence IS NOT NULL) WHERE k = 1""",
+    refs=CITATIONS_SQL,
+    w=f"SELECT p_partkey AS work_id, {token_list_sql("p_name")} AS wt, {token_list_sql('p_brand')} AS ws, 1900 + p_partkey * 7 % 125 AS wy FROM part",
+    q=f"SELECT ref_id, 0 AS pos, cited_year, {token_list_sql("title")} AS qt, {token_list_sql("reference_text")} AS rt FROM refs UNION ALL SELECT ref_id, 1, cited_year, {token_list_sql("reference_text")}, {token_list_sql("reference_text")} FROM refs"))
+def j15_search_all_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-15, S-02, S-03: the first search of each citation with an acceptable hit among all works, titles before whole texts; years are derived, so that searches miss."""
+    tokens = lambda c: X.match_tokens(X.fold(F.col(c)))
+    refs = citations(spark, sf_dir).select("ref_id", F.array(F.col("cited_year").cast("long")).alias("years"), tokens("reference_text").alias("ref_tokens"), F.array(tokens("title"), tokens("reference_text")).alias("q"))
+    queries = refs.select("ref_id", "years", "ref_tokens", F.posexplode("q").alias("pos", "query_tokens"))
+    year = 1900 + F.col("p_partkey") * 7 % 125
+    works = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("work_id"), tokens("p_name").alias("title_tokens"), tokens("p_brand").alias("source_tokens"), year.alias("year"), F.lit(True).alias("article"))
+    return M.search_cascade(queries, works)
+
+
 @query(with_inputs("SELECT record_id, ref_id, place FROM (SELECT record_id, ref_id, row_number() OVER (PARTITION BY record_id ORDER BY (ref_id * 7919) % 31 DESC, ref_id) AS place FROM refs) WHERE place <= 3", refs=CITATIONS_SQL))
 def o05_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-05: references of each record by falling score, then id."""
