@@ -59,6 +59,14 @@ def token_candidates(left: DataFrame, left_key: str, left_tokens: str, right: Da
     return sought.join(posted.join(rare, "_token"), "_token").select(left_key, right_key).distinct()
 
 
+def shared_tokens(left: DataFrame, left_key: str, left_tokens: str, right: DataFrame, right_key: str, right_tokens: str, salts: int = 16) -> DataFrame:
+    """left_key, right_key, shared: how many distinct tokens each pair shares that shares any, over all postings. Keys are unique; right rows are dealt
+    over `salts` parts, so that a token of every row isn't one join key."""
+    posted = right.select(right_key, F.explode(F.array_distinct(right_tokens)).alias("_token"), F.pmod(F.xxhash64(right_key), F.lit(salts)).alias("_salt"))
+    sought = left.select(left_key, F.explode(F.array_distinct(left_tokens)).alias("_token")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return posted.join(sought, ["_token", "_salt"]).groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+
+
 def gap_score(cls: Column, pdf: Column, candidate_year: Column, award: Column, overlap: Column, name: Column, doi: Column) -> Column:
     """S-04."""
     n = lambda c, k: F.when(F.coalesce(c, F.lit(False)), F.lit(k)).otherwise(F.lit(0))

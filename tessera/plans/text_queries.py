@@ -259,7 +259,7 @@ BEST_SQL = rf"""SELECT item_id, doc_id, containment, CASE WHEN containment >= 0.
 
 @query(with_inputs(BEST_SQL, b=f"SELECT item_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM benchmark", d=f"SELECT doc_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM documents"))
 def j13_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-13, S-05, R-13: the document that holds most of each item's tokens, among those that share a rare one."""
+    """J-13, S-05, R-13: the document that holds most of each item's tokens, among those that share a rare one; j13_best_of_all_documents knows no rare ones."""
     tokens = lambda c: X.match_tokens(X.fold(F.col(c)))
     items = table(spark, sf_dir, "benchmark").select("item_id", tokens("text").alias("bt"))
     docs = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("dt"))
@@ -270,6 +270,22 @@ def j13_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("confidence", confidence)
 
 
+@query(with_inputs("""SELECT item_id, doc_id, containment, CASE WHEN containment >= 0.75 THEN 'A' WHEN containment >= 0.6 THEN 'B' WHEN containment >= 0.45 THEN 'C' ELSE 'D' END AS confidence FROM (
+  SELECT item_id, doc_id, containment, row_number() OVER (PARTITION BY item_id ORDER BY containment DESC, doc_id) AS place FROM (
+    SELECT b.item_id, d.doc_id, len(list_intersect(b.t, d.t)) / len(b.t) AS containment FROM b JOIN d ON len(list_intersect(b.t, d.t)) > 0)) WHERE place = 1""",
+    b=f"SELECT item_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM benchmark", d=f"SELECT doc_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM documents"))
+def j13_best_of_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-13, S-05, R-13: the document that holds most of each item's tokens, among all that share any."""
+    tokens = lambda c: X.match_tokens(X.fold(F.col(c)))
+    items = table(spark, sf_dir, "benchmark").select("item_id", tokens("text").alias("bt"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("dt"))
+    sizes = items.select("item_id", F.size("bt").alias("_n"))
+    scored = M.shared_tokens(items, "item_id", "bt", docs, "doc_id", "dt").join(sizes, "item_id").select("item_id", "doc_id", (F.col("shared") / F.col("_n")).alias("containment"))
+    best = M.best_per(scored, ["item_id"], "containment", ["doc_id"])
+    confidence = F.when(F.col("containment") >= 0.75, "A").when(F.col("containment") >= 0.6, "B").when(F.col("containment") >= 0.45, "C").otherwise("D")
+    return best.withColumn("confidence", confidence)
+
+
 @query(with_inputs("""SELECT ref_id, n, s1, s2, CASE WHEN doi THEN 'A' WHEN title >= 0.75 AND y THEN 'A' WHEN title >= 0.6 AND y THEN 'B' WHEN title >= 0.45 AND (y OR source >= 0.995) THEN 'C' ELSE 'D' END AS confidence,
     CASE WHEN title >= 0.75 AND y THEN 'A' WHEN title >= 0.6 AND y THEN 'B' WHEN s2 >= 65 AND y THEN 'C' END AS accepted
   FROM (SELECT *, CASE WHEN doi THEN 70.0 ELSE 0 END + 10 + CASE WHEN y THEN 15.0 ELSE 0 END + 60 * title + CASE WHEN source >= 0.5 THEN 10.0 ELSE 0 END + least(n, 100.0) / 100 AS s1,

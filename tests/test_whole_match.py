@@ -38,3 +38,24 @@ def test_search_cascade_over_frequent_tokens(spark):
             expected[k] = pos, *hit
     got = {r.ref_id: (r.pos, r.work_id, r.score, r.confidence) for r in M.search_cascade(queries, table).collect()}
     assert got == expected and {v[0] for v in got.values()} == {0, 1} and len(got) < 60
+
+
+def test_shared_tokens_of_frequent_tokens(spark):
+    """Every token stands in more than 20 documents; the best is the fullest."""
+    docs = [(k, ["a", "b"][: 1 + k % 2] + (["c"] if k % 3 == 0 else [])) for k in range(60)] + [(60, ["a", "b", "c", "d"]), (61, ["d"]), (62, [])]
+    items = [(1, ["a", "b", "c"]), (2, ["b", "x"]), (3, ["x"]), (4, [])]
+    schema = "{} long, {} array<string>"
+    left, right = spark.createDataFrame(items, schema.format("item_id", "bt")), spark.createDataFrame(docs, schema.format("doc_id", "dt"))
+    got = sorted(map(tuple, M.shared_tokens(left, "item_id", "bt", right, "doc_id", "dt").collect()))
+    assert got == sorted((i, d, len(set(b) & set(t))) for i, b in items for d, t in docs if set(b) & set(t))
+    found = M.token_candidates(left, "item_id", "bt", right, "doc_id", "dt", most=20)
+    assert found.count() == 0 and len(got) > 60
+
+
+def test_best_document_of_an_item_without_rare_tokens(spark, tmp_path):
+    from tessera.plans import text_queries as T
+
+    spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(k, "alpha delta") for k in range(25)] + [(30 + k, "alpha beta gamma") for k in range(25)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in T.j13_best_of_all_documents(spark, str(tmp_path)).collect()] == [(1, 30, 1.0, "A")]
