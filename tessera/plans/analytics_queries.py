@@ -327,13 +327,31 @@ def snk10_trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_custkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE strftime(o_orderdate, '%Y') END, lower(o_orderstatus), o_orderkey) AS place FROM orders QUALIFY place <= 200""")
 def o03_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-03, O-04, O-06, F-11: the first 200 rows of a review queue; blank years sort first, as text."""
+    """F-11: the first 200 rows of a review queue; blank years sort first, as text. o03_whole_review_order has all."""
     year = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.date_format("o_orderdate", "yyyy"))
     first = table(spark, sf_dir, "orders").withColumn("_year", year).orderBy("o_orderpriority", "o_custkey", "_year", F.lower("o_orderstatus"), "o_orderkey").limit(200)
     order = Window.orderBy("o_orderpriority", "o_custkey", "_year", F.lower("o_orderstatus"), "o_orderkey")
     return first.withColumn("place", F.row_number().over(order)).select("o_orderkey", "o_orderpriority", "place")
 
 
+@query("""SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_custkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE strftime(o_orderdate, '%Y') END, lower(o_orderstatus), o_orderkey) AS place FROM orders""")
+def o03_whole_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-03, O-04, O-06: every row of a review queue with its place; blank years sort first, as text. Places are counted inside a priority and customer, after
+    those of the priorities and customers before, so that only counts are ranked in one place."""
+    year = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.date_format("o_orderdate", "yyyy"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey", year.alias("_year"), F.lower("o_orderstatus").alias("_status"))
+    group = ["o_orderpriority", "o_custkey"]
+    counts = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy("o_orderpriority").orderBy("o_custkey").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("o_orderpriority").agg(F.sum("_n").alias("_all"))
+    outside = totals.select("o_orderpriority", F.coalesce(F.sum("_all").over(Window.orderBy("o_orderpriority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_outer"))
+    before = counts.select(*group, F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inner")).alias("c")
+    before = before.join(outside.alias("t"), F.expr("c.o_orderpriority <=> t.o_orderpriority")).select(*(F.col(f"c.{g}").alias(f"_{g}") for g in group), (F.col("_inner") + F.col("_outer")).alias("_before"))
+    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*group).orderBy("_year", "_status", "o_orderkey")))
+    same = F.expr(" AND ".join(f"{g} <=> _{g}" for g in group))
+    return ranked.join(before, same).select("o_orderkey", "o_orderpriority", (F.col("_before") + F.col("_nth")).alias("place"))
+
+
 @query(f"SELECT decade, row_number() OVER (ORDER BY substr(decade, 1, 4)::INT) AS place FROM (SELECT DISTINCT decade FROM ({LAGS_SQL}))")
 def o07_decade_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-07: decade labels by their year."""

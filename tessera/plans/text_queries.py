@@ -389,11 +389,18 @@ def j15_search_all_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_inputs("SELECT record_id, ref_id, place FROM (SELECT record_id, ref_id, row_number() OVER (PARTITION BY record_id ORDER BY (ref_id * 7919) % 31 DESC, ref_id) AS place FROM refs) WHERE place <= 3", refs=CITATIONS_SQL))
 def o05_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-05: references of each record by falling score, then id."""
+    """O-05: the first three references of each record by falling score, then id; o05_whole_gap_ranking has all."""
     order = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "ref_id")
     return citations(spark, sf_dir).withColumn("score", F.col("ref_id") * 7919 % 31).withColumn("place", F.row_number().over(order)).where("place <= 3").select("record_id", "ref_id", "place")
 
 
+@query(with_inputs("SELECT record_id, ref_id, row_number() OVER (PARTITION BY record_id ORDER BY (ref_id * 7919) % 31 DESC, ref_id) AS place FROM refs", refs=CITATIONS_SQL))
+def o05_whole_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-05: all references of each record by falling score, then id."""
+    order = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "ref_id")
+    return citations(spark, sf_dir).withColumn("score", F.col("ref_id") * 7919 % 31).select("record_id", "ref_id", F.row_number().over(order).alias("place"))
+
+
 @query(f"""SELECT a.doc_id, len(list_intersect(a.t, b.t)) AS shared, len(list_distinct(list_concat(a.t, b.t))) AS either FROM (SELECT doc_id, {token_list_sql('text')} AS t FROM documents) a JOIN (SELECT doc_id, {token_list_sql('text')} AS t FROM documents) b ON b.doc_id = a.doc_id + 1""")
 def u03_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U-03, U-04: tokens that neighbouring documents share, and those of either."""
