@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch handed to Python: whole documents can be long, so batches stay small.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch handed to Python: whole documents can be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +23,35 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of at most this many rows, for this session."""
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that no column of the frame has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The frame's columns but those that outputs of these names replace, whatever their case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most this many rows, and of not much more than this many bytes, for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where none is set, one of this machine, if it is all there is."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         named = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -48,11 +68,22 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return MADE[-1]
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_stored(spark: SparkSession) -> None:
     """Deletes the intermediate tables of this process; frames that read them are lost."""
     while MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, MADE.pop())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more: what was made of them is stored itself."""
+    for made in tables:
+        MADE.remove(made.stored_at)
+        _delete(made.sparkSession, made.stored_at)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -67,10 +98,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, for slim frames."""
+def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """A reliable checkpoint in the shared folder, for slim frames, in at most so many files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()

@@ -36,13 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, stored
+from .common import bound_batches, discard, stored, unused
 from .components import components
 
 WORDS, PERCENT = 4, 85
-#: Sample for the order: one document in SAMPLE_OF, at most SAMPLE_DOCS; tokens on at least SAMPLE_LEAST of them, at most FREQUENT.
+#: Sample for the order: one document in SAMPLE_OF, about SAMPLE_DOCS at most; tokens on at least SAMPLE_LEAST of them, at most FREQUENT.
 SAMPLE_OF, SAMPLE_DOCS, SAMPLE_LEAST, FREQUENT = 64, 20_000, 3, 50_000
-LIST_ROWS, BLOCK_ROWS = 2_048, 256
+#: Nodes of a block of a list, of a block of a search; nodes that a task remembers as posted; pairs held before they are passed on.
+LIST_ROWS, BLOCK_ROWS, SEEN, HELD = 2_048, 256, 500_000, 50_000
 U64 = np.uint64
 _rng = np.random.default_rng(20)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -135,8 +136,9 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def frequent_tokens(docs: DataFrame, words: int) -> bytes:
-    """Tokens of a bounded sample, most frequent first: at most FREQUENT of them reach the driver."""
-    chosen = docs.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE_OF)) == 0).select("text").limit(SAMPLE_DOCS)
+    """Tokens of a sample by a hash, of a share that bounds it, most frequent first: at most FREQUENT of them reach the driver."""
+    one_in = max(SAMPLE_OF, docs.count() // SAMPLE_DOCS)
+    chosen = docs.where(F.pmod(F.xxhash64("row"), F.lit(one_in)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +151,7 @@ def frequent_tokens(docs: DataFrame, words: int) -> bytes:
 
 
 def nodes_of(docs: DataFrame, order: bytes, words: int, percent: int) -> DataFrame:
-    """row, id, h, n, node and, where its task first meets a node, prefix and parity."""
+    """row, id, h, n, node and, where its task first meets a node (or again, after SEEN others), prefix and parity."""
     schema = "row long, id long, h long, n long, node long, prefix array<long>, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +168,8 @@ def nodes_of(docs: DataFrame, order: bytes, words: int, percent: int) -> DataFra
                 if node in seen:
                     rows.append((n, node, None, None))
                 else:
+                    if len(seen) >= SEEN:  # a node may be posted again
+                        seen.clear()
                     seen.add(node)
                     rows.append((n, node, signed(_order(order).prefix(tokens, prefix_size(n, percent))), parity(tokens, percent)))
             n, node, prefix, bits = list(zip(*rows, strict=True)) or [()] * 4
@@ -208,7 +212,7 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int =
 
 
 def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int, merge: bool) -> DataFrame:
-    """The pairs (a, b) that link: each a's set against the sets of its b, in blocks. Every node's text is fetched once and its set sent where it is needed.
+    """The pairs (a, b) that link, stored: each a's set against the sets of its b, in blocks. Every node's text is fetched once and its set sent where it is needed.
 
     merge: whether the nodes asked for may be many, so that texts are joined by a shuffle; else Spark decides by the size of their table."""
     per = pairs.groupBy("a").agg(F.count("*").alias("_of"))
@@ -241,7 +245,9 @@ def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, per
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
     joined = texts.join(wanted.hint("merge") if merge else wanted, "row").select("node", "text", "roles")
-    return joined.mapInArrow(sets, schema).groupBy("a", "salt").applyInArrow(search, "a long, b long")
+    found = stored(joined.mapInArrow(sets, schema).groupBy("a", "salt").applyInArrow(search, "a long, b long"), "shingle-links")
+    discard(salted, wanted)
+    return found
 
 
 def apart(p: bytes, q: bytes) -> int:
@@ -294,28 +300,33 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             keys = np.stack([whole.column(c).to_numpy() for c in ("token", "block_a", "block_b")])
             change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             if len(change):
-                yield searched(whole.slice(0, change[-1]))
+                yield from searched(whole.slice(0, change[-1]))
                 held = whole.slice(change[-1]).to_batches()
         if held:
-            yield searched(pa.Table.from_batches(held).combine_chunks())
+            yield from searched(pa.Table.from_batches(held).combine_chunks())
 
-    def searched(whole: pa.Table) -> pa.RecordBatch:
+    def searched(whole: pa.Table) -> Iterator[pa.RecordBatch]:
         names = ("token", "block_a", "block_b", "block", "node", "n", "pos", "component")
         col = {c: whole.column(c).to_numpy() for c in names}
         bits = whole.column("parity").to_pylist()
         keys = np.stack([col[c] for c in names[:3]])
         starts = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [whole.num_rows]))
         run_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        found: list[tuple[int, int]] = []
+        node, ends = col["node"].tolist(), set()
+
+        def made() -> pa.RecordBatch:
+            a, b = zip(*ends, strict=True) if ends else ((), ())
+            ends.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for shift in range(1, int(np.diff(starts).max(initial=0))):
             i = np.flatnonzero(run_of[:-shift] == run_of[shift:])
             if not len(i):
                 break
-            found += pairs(col, bits, i, i + shift)
-        node = col["node"]
-        ends = {(min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))) for x, y in found}
-        a, b = zip(*sorted(ends), strict=True) if ends else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            ends.update((min(node[x], node[y]), max(node[x], node[y])) for x, y in pairs(col, bits, i, i + shift))
+            if len(ends) >= HELD:
+                yield made()
+        yield made()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -342,7 +353,8 @@ def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", wor
     within = F.col("pos") + F.col("pivot_pos") <= total - 2 * F.ceil(total * percent / (100 + percent))
     stars = live.where((F.col("node") != F.col("pivot")) & size_fits(F.col("n"), F.col("pivot_n"), percent) & within).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     stars = stored(plausible(stars.distinct(), nodes, percent), "shingle-stars")
-    first = stored(linked(stars, texts, nodes, words, percent, merge=True), "shingle-links")
+    first = linked(stars, texts, nodes, words, percent, merge=True)
+    discard(stars)
     grown = components(first)
 
     labelled = live.join(grown, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "n", "pos", "component").distinct()
@@ -352,8 +364,10 @@ def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", wor
     blocked = blocked.withColumn("block_a", F.least("block", "with")).withColumn("block_b", F.greatest("block", "with")).join(nodes.select("node", "parity"), "node")
     dealt = blocked.repartition("token", "block_a", "block_b").sortWithinPartitions("token", "block_a", "block_b", "pos", "node")
     late = stored(cross_pairs(dealt.select("token", "block_a", "block_b", "block", "node", "n", "pos", "component", "parity"), percent), "shingle-pairs")
-    links = first.unionByName(stored(linked(late, texts, nodes, words, percent, merge=False), "shingle-links"))
-    final = components(links)
+    discard(live)
+    last = linked(late, texts, nodes, words, percent, merge=False)
+    final = components(first.unionByName(last))
+    discard(late, nodes, first, last)
 
     return table.select("row", "id", "h", "n", "node").join(final, "node", "left").select("row", "id", "h", "n", F.coalesce("component", "node").alias("component"))
 
@@ -373,9 +387,10 @@ def representatives(df: DataFrame, row_id: str = "doc_id", text: str = "text", w
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "row", "h")).alias("first")
     chosen = rows.where("component is not null").groupBy("component").agg(first).select(F.col("first.row").alias("_row"), F.col("first.h").alias("_h"))
     solid = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    row, h = _keyed(df, row_id, text)
-    kept = df.where(solid).withColumn("_row", row).withColumn("_h", h).join(chosen, ["_row", "_h"])
-    once = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_row", "_h").orderBy(F.lit(0)))).where("_nth = 1")
+    row, h, nth = unused(df, "_row", "_h", "_nth")
+    own = [c.alias(n) for c, n in zip(_keyed(df, row_id, text), (row, h), strict=True)]
+    kept = df.where(solid).select("*", *own).join(chosen.withColumnsRenamed({"_row": row, "_h": h}), [row, h])
+    once = kept.withColumn(nth, F.row_number().over(Window.partitionBy(row, h).orderBy(F.lit(0)))).where(F.col(nth) == 1)
     return once.select(*df.columns).unionByName(df.where(~solid))
 
 
