@@ -2,7 +2,7 @@
 
 A byte goes when it lies in a string of LENGTH bytes that also starts anywhere else in the corpus. In a suffix array of all texts
 these are the suffixes whose neighbour shares LENGTH bytes. The array is never held as a whole. Suffixes are dealt into buckets by
-content: the bucket of a suffix is the least of the hashed GRAM-byte strings in its first LENGTH bytes, so equal beginnings always meet and no
+content: the bucket of a suffix is the least of the hashed strings of gram_of(LENGTH) bytes in its first LENGTH bytes, so equal beginnings always meet and no
 order over the whole corpus is needed. Neighbouring suffixes of a text mostly share a bucket; such a run travels as one block.
 
 1. Runs whose bucket string occurs once are dropped: their suffixes have no equal. 2. Runs that occur twice as a whole (by a
@@ -11,11 +11,12 @@ run of the same buckets, is cut into pieces of
 STEP suffixes, dealt by the bytes that all suffixes of the piece share, made distinct, and sorted one bucket at a time: ranks
 of the sample positions (a difference cover modulo CYCLE) over TIE bytes are computed first; then the suffixes of each offset are sorted by the
 bytes before their first sample position, its rank, and the bytes after: equal neighbours are repeats. Memory is bounded by one
-bucket's pieces, and hot groups of copies collapse before they meet.
+bucket's pieces: hot groups of copies collapse before they meet, and the pieces of a bucket of more than HOT_PIECES are cut again
+into pieces of FINE_STEP suffixes, which are dealt by more bytes and so apart wherever they differ.
 
 Cases: null and empty texts, and texts shorter than LENGTH, lose nothing; strings that overlap themselves count; a repeated row
 counts as elsewhere; null ids are rows of their own; long texts are taken whole; cuts inside a character are made, since the work is on bytes;
-an empty table gives an empty result; other columns are kept.
+an empty table gives an empty result; other columns are kept, but columns named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, stored
+from .common import bound_batches, discard, stored, unused, without
 from .ngram_join import mixed, powers
 
-LENGTH, GRAM, STEP = 400, 128, 32
+LENGTH, STEP = 400, 32
+#: Distinct pieces above which a bucket is cut again, and suffixes of such a piece.
+HOT_PIECES, FINE_STEP = 512, 4
 #: A difference cover: every distance modulo CYCLE is a difference of two of its members.
 CYCLE, COVER = 7, (1, 2, 4)
 TIE = LENGTH - CYCLE + 1
@@ -42,8 +45,14 @@ U64 = np.uint64
 _VALUES = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
+def gram_of(length: int) -> int:
+    """Bytes of a bucket string: long enough to be rare, short enough for runs that are long."""
+    return max(1, length * 8 // 25)
+
+
+def runs(raw: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
     """(first, last, place, bucket): suffixes first..last have their bucket string, of hash bucket, at place."""
+    gram = gram_of(length)
     for begin in range(0, max(0, len(raw) - length + 1), CHUNK):
         part = np.frombuffer(raw, np.uint8)[begin : begin + CHUNK + length - 1]
         n, width = len(part) - gram + 1, length - gram + 1
@@ -135,10 +144,22 @@ def sorted_bucket(members: list[tuple[int, bytes, int, int]], length: int) -> li
     return masks
 
 
+PIECE = ("d", "h", "start", "offset", "bucket", "id")
+PIECE_SCHEMA = ", ".join(f"{n} long" for n in PIECE) + ", bytes binary"
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=[*PIECE, "bytes"])
+
+
+def _id(body: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
+
+
 def piece_table(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
     """One row a piece: d, h, start, offset, bucket (shared key), id, bytes."""
     per_text = open_runs.groupBy("d", "h").agg(F.collect_list(F.struct("first", "last", "place")).alias("runs"))
-    names = ("d", "h", "start", "offset", "bucket", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +171,29 @@ def piece_table(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame
                     for r in found:
                         for key, start, body, offset in pieces(raw, r["first"], r["last"], r["place"], length):
                             if start + len(body) <= len(raw):
-                                rows.append((d, h, start, offset, key, int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), body))
-                columns = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=[*names, "bytes"])
+                                rows.append((d, h, start, offset, key, _id(body), body))
+                yield _piece_batch(rows)
+
+    return docs.join(per_text, ["d", "h"]).select("d", "h", "text", "runs").mapInArrow(run, PIECE_SCHEMA)
 
-    return docs.join(per_text, ["d", "h"]).select("d", "h", "text", "runs").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", bytes binary")
+
+def cut_again(table: DataFrame, length: int) -> DataFrame:
+    """Pieces of hot buckets in pieces of FINE_STEP suffixes, dealt by the bytes that all of these share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, h, start, offset, body in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "start", "offset", "bytes")), strict=True):
+                last = offset + len(body) - length
+                for low in range(offset // FINE_STEP * FINE_STEP, last + 1, FINE_STEP):
+                    a, b = max(offset, low), min(last, low + FINE_STEP - 1)
+                    shared = body[low + FINE_STEP - 1 - offset : low + length - offset]
+                    part = body[a - offset : b - offset + length]
+                    key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=b"fine%d" % low).digest(), "little", signed=True)
+                    rows.append((d, h, start + a - offset, a - low, key, _id(part), part))
+            yield _piece_batch(rows)
+
+    return table.mapInArrow(run, PIECE_SCHEMA)
 
 
 def bucket_masks(table: DataFrame, length: int) -> DataFrame:
@@ -187,28 +226,41 @@ def bucket_masks(table: DataFrame, length: int) -> DataFrame:
     return distinct.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, offset long, id long, mask long")
 
 
-def repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The keyed input (its columns with d and h) and, by d and h, the covered byte ranges of its texts (not yet merged)."""
+def repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
+    """By d and h, the keys of a row's id and text, the covered byte ranges of the texts (not yet merged)."""
     bound_batches(df.sparkSession)
-    keyed = df.withColumn("d", F.coalesce(F.col(row_id).cast("long"), F.lit(-1))).withColumn("h", F.xxhash64(text))
-    docs = keyed.where(F.octet_length(text) >= length).select("d", "h", F.col(text).alias("text"))
+    docs = df.select(*keys(row_id, text), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     table = stored(run_table(docs, length), "suffix-runs")
     # Counts are stored before they are joined: a join on its own exchanges can split a hot bucket, one behind an aggregate cannot.
     twice = stored(table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "suffix-twice")
     near = stored(table.join(twice, "bucket", "left_semi"), "suffix-near")
+    discard(table, twice)
     copied = stored(near.groupBy("b1", "b2").agg(F.count("*").alias("n")).where("n > 1").select("b1", "b2", F.lit(True).alias("whole")), "suffix-copied")
     marked = stored(near.join(copied, ["b1", "b2"], "left"), "suffix-marked")
+    discard(near, copied)
     whole = marked.where("whole").select("d", "h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     # The rest may also equal parts of runs that are copied as a whole: one of each such run joins in.
     rest = marked.where("whole is null")
-    copies = marked.where("whole").join(stored(rest.select("bucket").distinct(), "suffix-open"), "bucket", "left_semi")
+    opened = stored(rest.select("bucket").distinct(), "suffix-open")
+    copies = marked.where("whole").join(opened, "bucket", "left_semi")
     one = copies.groupBy("b1", "b2").agg(F.min(F.struct("d", "h", "first", "last", "place")).alias("one")).select("one.*")
-    table = stored(piece_table(docs, rest.select("d", "h", "first", "last", "place").unionByName(one), length), "suffix-pieces")
+    first = stored(piece_table(docs, rest.select("d", "h", "first", "last", "place").unionByName(one), length), "suffix-pieces")
+    discard(opened)
+    hot = stored(first.select("bucket", "offset", "id").distinct().groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PIECES).select("bucket"), "suffix-hot")
+    fine = stored(cut_again(first.join(hot, "bucket", "left_semi").select(*PIECE, "bytes"), length), "suffix-fine")
+    table = first.join(hot, "bucket", "left_anti").select(*PIECE, "bytes").unionByName(fine)
     masks = bucket_masks(table.select("bucket", "offset", "id", "bytes"), length)
     hit = table.select("d", "h", "start", "bucket", "offset", "id").join(masks, ["bucket", "offset", "id"])
     bits = F.filter(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda k: F.getbit("mask", k) == 1)
     single = hit.withColumn("k", F.explode(bits)).select("d", "h", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + length).alias("end"))
-    return keyed, stored(whole.unionByName(single).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "suffix-ranges")
+    found = stored(whole.unionByName(single).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "suffix-ranges")
+    discard(marked, first, hot, fine)
+    return found
+
+
+def keys(row_id: str, text: str, names: tuple[str, str] = ("d", "h")) -> list[Column]:
+    """What stands for a row: its id and a hash of its text."""
+    return [F.coalesce(F.col(row_id).cast("long"), F.lit(-1)).alias(names[0]), F.xxhash64(text).alias(names[1])]
 
 
 def merged_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -222,20 +274,23 @@ def merged_ranges(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans, spans and kept: the bytes that stay or, as text, their whole characters."""
+def dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int = LENGTH, as_text: bool = False, words: int = 0) -> DataFrame:
+    """Adds n_bytes, n_removed, n_spans, spans and kept: the bytes that stay or, as text, their whole characters.
+
+    words: a maximal span of fewer words stays, unless it is of LENGTH bytes or more."""
     fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
     fields += [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
-    kept_columns = [c for c in df.columns if c not in {f.name for f in fields}]
+    kept_columns = without(df, *(f.name for f in fields))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    keyed, ranges = repeats(df, text, row_id, length)
+    own_d, own_h, own_text, found = unused(df, "_d", "_h", "_text", "_ranges")
+    ranges = repeats(df, text, row_id, length).select(F.col("d").alias(own_d), F.col("h").alias(own_h), F.col("ranges").alias(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for said, found in zip(batch.column(text), batch.column("ranges"), strict=True):
+            for said, held in zip(batch.column(own_text), batch.column(found), strict=True):
                 raw = (said.as_py() or "").encode()
-                spans = merged_ranges(found.as_py())
+                spans = [(a, b) for a, b in merged_ranges(held.as_py()) if b - a >= LENGTH or len(raw[a:b].split()) >= words]
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else raw
                 rows.append((len(raw), len(raw) - len(kept), len(spans), [{"start": a, "end": b} for a, b in spans], kept.decode(errors="ignore") if as_text else kept))
@@ -243,5 +298,5 @@ def dedup(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: int
             made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(spans, span_type), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept_columns), *made], names=[*kept_columns, *(f.name for f in fields)])
 
-    joined = keyed.select(*kept_columns, F.col("d").alias("_d"), F.col("h").alias("_h")).join(ranges.select(F.col("d").alias("_d"), F.col("h").alias("_h"), "ranges"), ["_d", "_h"], "left")
-    return joined.select(*kept_columns, "ranges").mapInArrow(run, T.StructType([*(df.schema[c] for c in kept_columns), *fields]))
+    keyed = df.select(*kept_columns, F.col(text).alias(own_text), *keys(row_id, text, (own_d, own_h)))
+    return keyed.join(ranges, [own_d, own_h], "left").select(*kept_columns, own_text, found).mapInArrow(run, T.StructType([*(df.schema[c] for c in kept_columns), *fields]))

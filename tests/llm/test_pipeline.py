@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 import sentencepiece
 
-from tests.llm.test_ngram_join import brute as groups
+from tests.llm.test_near_copies import groups
 from tests.llm.test_suffix_dedup import brute as cuts
 
 
@@ -24,10 +24,9 @@ def test_stages_in_order(spark, model_file):
     before, rows = kept["language"]
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in before if any(c.isalpha() for c in r.text or ""))
     before, rows = kept["near_copies"]
-    by_group = groups([(r.doc_id, r.text) for r in before])
-    assert sorted(str(r.doc_id) for r in rows) == sorted({str(c) for _, _, c in by_group})
+    assert sorted(str(r.doc_id) for r in rows) == sorted({str(c) for c in groups([(r.doc_id, r.text) for r in before])})
     before, rows = kept["repeats"]
-    expected = {i: k.decode(errors="ignore") for i, _, _, _, k in cuts([(r.doc_id, r.text) for r in before], 400)}
+    expected = {i: k.decode(errors="ignore") for i, _, _, _, k in cuts([(r.doc_id, r.text) for r in before], 200, 51)}
     assert {r.doc_id: r.text for r in rows} == expected and all(r.n_chars == len(r.text) for r in rows)
     before, rows = kept["mix"]
     words = lambda rs: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rs)
