@@ -9,6 +9,10 @@ from tessera.llm import language, mixing, ngram_join, piece_codec, suffix_dedup
 from tessera.llm.common import stored, table
 
 
+#: Passages of more words than this that occur elsewhere are cut; strings of so many bytes hold them, if their words have three letters.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
     samples = language.learn(docs.where(F.coalesce(language.remainder(F.col("doc_id"), 4) != 2, F.lit(True))))
@@ -21,8 +25,8 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long repeated strings go from the texts; what a cut leaves of a character goes with it. Every document stays, if with less text."""
-    cut = suffix_dedup.dedup(docs, as_text=True)
+    """Repeated passages of over PASSAGE_WORDS words, and repeated strings that are as long, go from the texts; what a cut leaves of a character goes with it. Every document stays, if with less text."""
+    cut = suffix_dedup.dedup(docs, as_text=True, length=PASSAGE_BYTES, words=PASSAGE_WORDS + 1)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
     return cut.withColumn("n_chars", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
