@@ -4,23 +4,24 @@ For each language the labelled text of a bounded sample is indexed by a suffix a
 to right into phrases, each the longest match with anything in the index; a phrase of a language's own text is long, so the
 language that needs the fewest phrases, normalised to phrases x log2(index size) / symbols, wins.
 
-Parsing only ever follows transitions forward and restarts at the root, so each automaton is laid out as one dense table whose
-entries hold the next state and the phrases that end there; blocks of BLOCK symbols of a batch of texts are then parsed side by
-side with array operations. A phrase ends at the end of a block, in every language alike. Whole texts are parsed.
-
-The learned sample is bounded: at most SAMPLE_DOCS rows a language, the first SAMPLE_CHARS characters of each, chosen by a hash
-of the id; languages are the non-null labels.
-
-Cases: null texts and texts without a letter are "und" with score 0; other letters than the sample's count as unknown symbols,
-each a phrase of its own; equal rates go to the language first by name; repeated rows are judged alike; without labelled rows
-everything is "und"; an empty table gives an empty result; other columns are kept.
+Parsing only ever follows transitions forward and restarts at the root. The automata of all languages lie in one pair of arrays:
+the moves of a state start at its base, and a slot belongs to the state that its owner names. The texts of a batch are parsed side by
+side with array operations, against all languages at once; the few that go on longer than all others are finished one symbol after
+the other. Whole texts are parsed, and no phrase is cut.
+
+The learned sample is bounded: at most SAMPLE_DOCS rows a language, chosen by a hash of the id; equal texts count once. A text is
+learned whole; one of more than PASSAGE characters gives a passage of that size from a place that its hash names. All letters of the
+sample are told apart. Languages are the non-null labels.
+
+Cases: null texts and texts without a letter are "und" with score 0; letters that the sample lacks are unknown symbols,
+each a phrase of its own; equal rates go to the language first by name; repeated rows are judged alike; rows without an id teach
+nothing; without labelled rows everything is "und"; an empty table gives an empty result; other columns are kept, but columns
+named like an output give way to it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bound_batches
+from .common import bound_batches, without
 
-SAMPLE_DOCS, SAMPLE_CHARS = 160, 200
-#: Symbols of a block; letters told apart; slope of the score against differences of rates.
-BLOCK, LETTERS, SLOPE = 512, 120, 12.0
-GAP, OTHER, PAD = 0, 1, 2
+#: Labelled rows learned for a language; characters above which a text gives a passage of that size, placed by a hash.
+SAMPLE_DOCS, PASSAGE = 64, 2_048
+#: Texts that are still parsed side by side; slope of the score against differences of rates.
+LEAST_LANES, SLOPE = 12, 12.0
+GAP, OTHER = 0, 1
 
 
 def remainder(row_id: Column, of: int) -> Column:
@@ -72,73 +74,116 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def packed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The moves in arrays: base by state; owner and target by slot, where a state's move by symbol c has the slot base + c.
+
+    Only the root, state 0, has a slot for every symbol, by which it stays what it is where it has no move."""
+    base = np.zeros(len(moves), np.int64)
+    owner = np.full(2 * width + sum(map(len, moves)) + len(moves), -1, np.int64)
+    target = np.zeros(len(owner), np.int64)
+    used = bytearray(len(owner) + width)
+    used[:width] = b"\1" * width
+    owner[:width] = 0
+    for c, to in moves[0].items():
+        target[c] = to
+    low, ones = 0, []
+    for state in sorted(range(1, len(moves)), key=lambda k: -len(moves[k])):
+        to = moves[state]
+        if len(to) < 2:
+            ones += [state] * len(to)
+            continue
+        at, tries = low, 0
+        while any(used[at + c] for c in to):
+            at, tries = at + 1, tries + 1
+        if tries > 64:  # what lies below is too full to be tried again
+            low = at - 32
+        if at + width > len(owner):
+            owner, target = np.concatenate((owner, np.full(len(owner), -1))), np.concatenate((target, np.zeros(len(target), np.int64)))
+            used += bytes(len(owner))
+        base[state] = at
+        for c, t in to.items():
+            used[at + c], owner[at + c], target[at + c] = 1, state, t
+    if ones:
+        symbols, targets = (np.array(x) for x in zip(*(next(iter(moves[k].items())) for k in ones), strict=True))
+        gaps = np.flatnonzero(np.frombuffer(bytes(used), np.uint8) == 0)
+        slots = gaps[gaps >= width][: len(ones)]
+        if len(slots) < len(ones):
+            slots = np.concatenate((slots, np.arange(len(ones) - len(slots)) + len(used)))
+        size = int(slots[-1]) + 1
+        if size > len(owner):
+            owner, target = np.concatenate((owner, np.full(size - len(owner), -1))), np.concatenate((target, np.zeros(size - len(target), np.int64)))
+        base[ones], owner[slots], target[slots] = slots - symbols, ones, targets
+    end = int(np.flatnonzero(owner >= 0)[-1]) + 1 + width
+    return base, np.concatenate((owner, np.full(width, -1)))[:end], np.concatenate((target, np.zeros(width, np.int64)))[:end]
+
+
 class CrossParser:
     """Automata of the labelled texts of each language, over one alphabet."""
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
-        letters = Counter(c for s in samples.values() for c in s.lower() if c.isalpha() and ord(c) < 65536)
-        self.codes = np.fromiter((OTHER if chr(c).isalpha() else GAP for c in range(65536)), np.uint8, 65536)
-        for k, (c, _) in enumerate(letters.most_common(LETTERS)):
-            self.codes[ord(c)] = PAD + 1 + k
-        self.width = PAD + 1 + min(len(letters), LETTERS)
-        self.tables, self.scale = [], []
-        for name in self.names:
+        letters = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})
+        self.codes = np.fromiter((OTHER if chr(c).isalpha() else GAP for c in range(0x110000)), np.uint16 if len(letters) < 65_000 else np.uint32, 0x110000)
+        self.codes[[ord(c) for c in letters]] = np.arange(len(letters)) + OTHER + 1
+        width = OTHER + 1 + len(letters)
+        self.scale, self.roots = np.ones(len(self.names)), np.zeros(len(self.names), np.int32)
+        #: By language and symbol, what follows where a phrase ends: 4 x the state after the symbol + the phrases that end.
+        self.start = np.zeros((len(self.names), width), np.int32)
+        parts, states, slots = [], 0, 0
+        for k, name in enumerate(self.names):
             symbols = self.symbols(samples[name])
-            self.tables.append(self._table(automaton(symbols.tolist())))
-            self.scale.append(np.log2(max(2, len(symbols))))
+            moves = automaton(symbols.tolist())
+            base, owner, target = packed(moves, width)
+            lacks = np.ones(width, np.int64)
+            lacks[list(moves[0])] = 0
+            after = (target + states) * 4
+            after[:width] += lacks
+            self.start[k] = after[:width] + 1
+            self.roots[k], self.scale[k] = states, np.log2(max(2, len(symbols)))
+            parts.append((base + slots, np.where(owner < 0, -1, owner + states), after))
+            states, slots = states + len(base), slots + len(owner)
+        joined = [np.concatenate(x).astype(np.int32) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int32)] * 3
+        self.base, self.owner, self.after = joined
 
     def symbols(self, text: str) -> np.ndarray:
         """Letters in lower case; a run of anything else is one gap."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-        codes = self.codes[np.minimum(points, 65535)]
-        high = np.flatnonzero(points >= 65536)
-        if len(high):
-            codes[high] = [OTHER if chr(c).isalpha() else GAP for c in points[high]]
-        codes = np.concatenate((np.zeros(1, np.uint8), codes))
+        codes = np.concatenate((np.zeros(1, self.codes.dtype), self.codes[points]))
         return codes[(codes != GAP) | np.concatenate((np.ones(1, bool), codes[:-1] != GAP))]
 
-    def _table(self, moves: list[dict[int, int]]) -> np.ndarray:
-        """Entry [state * width + symbol]: next state * width * 4 + phrases that end. The pad symbol stays where it is."""
-        w = self.width
-        start = np.full(w, 1, np.int64)  # a symbol the language lacks: a phrase of its own
-        for c, to in moves[0].items():
-            start[c] = to * w * 4
-        table = np.empty((len(moves), w), np.int64)
-        table[0] = start
-        table[1:] = start + 1
-        for state, to in enumerate(moves):
-            for c, s in to.items():
-                table[state, c] = s * w * 4
-        table[:, PAD] = np.arange(len(moves)) * w * 4
-        return table.ravel().astype(np.int32)
-
     def rates(self, texts: list[np.ndarray]) -> np.ndarray:
         """Normalised phrases of each text (rows) in each language (columns)."""
         sizes = np.array([len(s) for s in texts])
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        lanes = np.full((len(owner), BLOCK), PAD, np.uint8)
-        at = 0
-        for s, n in zip(texts, blocks, strict=True):
-            lanes[at : at + n].ravel()[: len(s)] = s  # a run of whole rows is contiguous
-            at += n
-        filled = np.minimum(BLOCK, sizes[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK)
-        order = np.argsort(-filled, kind="stable")
-        steps = np.ascontiguousarray(lanes[order].T)
-        alive = np.searchsorted(-filled[order], -np.arange(BLOCK), side="left")
+        order = np.argsort(-sizes, kind="stable")
+        flat = np.concatenate([texts[i] for i in order])
+        starts = np.concatenate(([0], np.cumsum(sizes[order])[:-1]))
+        alive = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")
+        state = np.repeat(self.roots[:, None], len(texts), 1)
+        count = np.zeros(state.shape, np.int64)
+        steps = int(np.searchsorted(-alive, -LEAST_LANES, side="right"))
+        for t in range(steps):
+            n = alive[t]
+            symbol = flat[starts[:n] + t]
+            now = state[:, :n]
+            slot = self.base[now] + symbol
+            after = np.where(self.owner[slot] == now, self.after[slot], self.start[:, symbol])
+            count[:, :n] += after & 3
+            state[:, :n] = after >> 2
+        base, owner, after = memoryview(self.base), memoryview(self.owner), memoryview(self.after)
+        for i in range(alive[steps] if steps < len(alive) else 0):
+            rest = flat[starts[i] + steps : starts[i] + sizes[order[i]]].tolist()
+            for k in range(len(self.names)):
+                at, n, restart = int(state[k, i]), 0, memoryview(self.start[k])
+                for c in rest:
+                    slot = base[at] + c
+                    to = after[slot] if owner[slot] == at else restart[c]
+                    n += to & 3
+                    at = to >> 2
+                state[k, i] = at
+                count[k, i] += n
+        count += state != self.roots[:, None]
         out = np.empty((len(texts), len(self.names)))
-        for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-            for t in range(BLOCK):
-                n = alive[t]
-                if not n:
-                    break
-                to = table[state[:n] + steps[t, :n]]
-                count[:n] += to & 3
-                state[:n] = to >> 2
-            count += state > 0
-            out[:, k] = np.bincount(owner[order], count, len(texts)) * self.scale[k] / sizes
+        out[order] = (count * self.scale[:, None] / sizes[order]).T
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
@@ -155,32 +200,28 @@ class CrossParser:
         return names, scores, best
 
 
-@lru_cache(maxsize=1)
-def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(dict(samples))
-
-
-def learn(labelled: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
-    """The bounded sample of each language: (language, text). Ids are chosen without their texts, which are then fetched by a broadcast of at most docs ids a language."""
-    keys = labelled.where(F.col(lang).isNotNull()).select(F.col(row_id).alias("_id"), F.col(lang).alias("_lang"))
+def learn(labelled: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, chars: int = PASSAGE) -> CrossParser:
+    """The parser of the bounded sample. Ids are chosen without their texts, which are then fetched by a broadcast of at most docs ids a language."""
+    keys = labelled.where(F.col(lang).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("_id"), F.col(lang).alias("_lang"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     chosen = keys.withColumn("_rank", rank).where(F.col("_rank") <= docs).select("_id", "_lang").distinct()
-    rows = labelled.join(F.broadcast(chosen), (F.col(row_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
-    found = rows.select("_lang", "_id", F.substring(F.coalesce(text, F.lit("")), 1, chars).alias("_text")).distinct().collect()
-    texts: dict[str, list[str]] = {}
-    for name, _, said in sorted(found, key=lambda r: (r[0], r[1], r[2])):
-        texts.setdefault(name, []).append(said)
-    return tuple((name, "\n".join(said)) for name, said in texts.items())
+    rows = labelled.select(F.col(row_id).alias("_row"), F.col(lang).alias("_of"), F.coalesce(text, F.lit("")).alias("_said")).join(F.broadcast(chosen), (F.col("_row") == F.col("_id")) & (F.col("_of") == F.col("_lang")))
+    place = F.pmod(F.xxhash64("_said"), F.greatest(F.lit(1), F.length("_said") - chars + 1)).cast("int") + 1
+    found = rows.select("_lang", F.xxhash64("_id").alias("_key"), F.substring(F.col("_said"), place, F.lit(chars)).alias("_text")).distinct().collect()
+    texts: dict[str, dict[str, None]] = {}
+    for name, _, said in sorted(found):
+        texts.setdefault(name, {})[said] = None
+    return CrossParser({name: "\n".join(said) for name, said in texts.items()})
 
 
-def identify(df: DataFrame, samples: tuple[tuple[str, str], ...], text: str = "text") -> DataFrame:
-    """Adds lang_pred, score and phrase_rate."""
+def identify(df: DataFrame, parser: CrossParser, text: str = "text") -> DataFrame:
+    """Adds lang_pred, score and phrase_rate. The parser, of a size that the sample bounds, goes to every worker."""
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrase_rate", T.DoubleType())]
-    kept = [c for c in df.columns if c not in {f.name for f in fields}]
+    kept = without(df, *(f.name for f in fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, rates = parser(samples).predict(batch.column(text).to_pylist())
+            names, scores, rates = parser.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[*kept, *(f.name for f in fields)])
 
     bound_batches(df.sparkSession)

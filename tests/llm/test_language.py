@@ -20,27 +20,49 @@ def plain_phrases(text, index):
     return n
 
 
-def test_phrases_equal_greedy_matches():
-    random.seed(5)
-    samples = {"a": "".join(random.choice("abc ") for _ in range(300)), "b": "".join(random.choice("bcd ") for _ in range(300))}
+def plain_index(symbols):
+    return "".join(map(chr, symbols))
+
+
+def check_phrases(samples, texts):
     parser = language.CrossParser(samples)
-    texts = ["".join(random.choice("abcde ") for _ in range(random.randrange(1, 500))) for _ in range(40)]
     symbols = [parser.symbols(t) for t in texts]
     rates = parser.rates(symbols)
     for k, name in enumerate(parser.names):
-        index = bytes(parser.symbols(samples[name])).decode("latin-1")
+        index = plain_index(parser.symbols(samples[name]))
         for s, r in zip(symbols, rates[:, k], strict=True):
-            plain = plain_phrases(bytes(s).decode("latin-1"), index)
-            assert round(r * len(s) / parser.scale[k]) == plain
+            assert round(r * len(s) / parser.scale[k]) == plain_phrases(plain_index(s), index)
 
 
-def test_blocks_add_a_phrase_at_most():
-    parser = language.CrossParser({"a": "the cat sat on the mat " * 20})
-    text = "the cat sat " * 500
-    n = len(parser.symbols(text))
-    rate = parser.rates([parser.symbols(text)])[0, 0] * n / parser.scale[0]
-    blocks = -(-n // language.BLOCK)
-    assert rate <= plain_phrases(bytes(parser.symbols(text)).decode("latin-1"), bytes(parser.symbols("the cat sat on the mat " * 20)).decode("latin-1")) + blocks
+def test_phrases_equal_greedy_matches():
+    random.seed(5)
+    samples = {"a": "".join(random.choice("abc ") for _ in range(300)), "b": "".join(random.choice("bcd ") for _ in range(300))}
+    check_phrases(samples, ["".join(random.choice("abcde ") for _ in range(random.randrange(1, 500))) for _ in range(40)])
+
+
+def test_long_texts_are_not_cut():
+    random.seed(6)
+    samples = {"a": "the cat sat on the mat " * 20, "b": "".join(random.choice("cat on") for _ in range(900))}
+    check_phrases(samples, ["the cat sat " * 300, "x", "".join(random.choice("cat onz") for _ in range(3000)), *["the mat " * k for k in range(1, 40)]])
+
+
+def test_every_letter_of_the_sample_counts():
+    random.seed(7)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)] + ["\U00020000", "\U00020001"]
+    samples = {"zh": "".join(random.choice(signs) for _ in range(4000)), "en": "some plain words " * 30}
+    parser = language.CrossParser(samples)
+    assert len(set(parser.symbols("".join(sorted(set(samples["zh"])))).tolist())) == len(set(samples["zh"])) + 1
+    check_phrases(samples, [samples["zh"][100:1500], "".join(random.choice(signs) for _ in range(500)), "plain words"])
+
+
+def test_packed_moves_are_the_automaton():
+    random.seed(8)
+    moves = language.automaton([random.choice([0, 2, 3, 4, 5, 6, 7]) for _ in range(3000)])
+    base, owner, target = language.packed(moves, 9)
+    for state, to in enumerate(moves):
+        for c in range(9):
+            slot = base[state] + c
+            assert (target[slot] if owner[slot] == state else None) == to.get(c, 0 if state == 0 else None)
 
 
 def test_held_out_accuracy(spark):
@@ -53,12 +75,22 @@ def test_held_out_accuracy(spark):
 
 def test_edges(spark, docs):
     samples = language.learn(docs)
-    assert {s[0] for s in samples} == {"en", "fr"}
+    assert samples.names == ["en", "fr"]
     got = language.identify(docs, samples).collect()
     assert len(got) == docs.count()
     for r in got:
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not letters) and (letters or r.score == 0)
-    assert {r.lang_pred for r in language.identify(docs, ()).collect()} == {"und"}
+    assert {r.lang_pred for r in language.identify(docs, language.CrossParser({})).collect()} == {"und"}
     assert language.identify(docs.limit(0), samples).count() == 0
-    assert language.learn(docs.withColumn("lang", F.lit(None).cast("string"))) == ()
+    assert language.learn(docs.withColumn("lang", F.lit(None).cast("string"))).names == []
+    clash = language.identify(docs.withColumnRenamed("score", "Score").withColumn("_lang", F.lit(2)), samples)
+    assert clash.columns == ["doc_id", "text", "lang", "source", "_lang", "lang_pred", "score", "phrase_rate"] and clash.count() == docs.count()
+
+
+def test_learned_passages_lie_anywhere(spark):
+    rows = [(k, "header " * 400 + "".join("abcdefghij"[(k * 7 + i) % 10] for i in range(6000)), "en") for k in range(20)] + [(100 + k, "une copie", "fr") for k in range(90)]
+    got = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n = {name: 2 ** scale for name, scale in zip(got.names, got.scale, strict=True)}
+    assert n["en"] > 9 * language.PASSAGE and n["fr"] < 12
+    assert got.rates([got.symbols(rows[3][1][5000:6000])])[0, 0] < got.rates([got.symbols("k" * 500)])[0, 0]
