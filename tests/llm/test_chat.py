@@ -16,15 +16,31 @@ def test_views_of_every_participant(spark):
     assert [bob.text[s.start : s.end] for s in bob.mask] == ["Hello<|im_end|>"] * 2 and bob.n_turns == 5
 
 
-def test_long_dialogues_come_in_parts(spark):
-    rows = [(1, t, "ab"[t % 2], f"t{t}") for t in range(25)] + [(1, 30, "a", f"same{k}") for k in range(40)]
-    got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_turns=10).collect()
-    assert max(r.n_turns for r in got) < 40
-    for who in "ab":
-        own = sorted((r for r in got if r.perspective == who), key=lambda r: (r.part, r.sub_part))
-        assert sum(r.n_turns for r in own) == len(rows)
-        said = [r.text[s.start : s.end].removesuffix(chat.CLOSE) for r in own for s in r.mask]
-        assert sorted(said) == sorted(t for _, _, role, t in rows if role == who)
+def plain(rows):
+    """Text and masks of each whole view, from all rows at once."""
+    out = {}
+    rows = [(c, t, r or "unknown", s or "") for c, t, r, s in rows]
+    for conv, who in {(c, r) for c, _, r, _ in rows if r != "system"}:
+        text, spans = "", []
+        for _, _, role, said in sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2].encode(), x[3].encode())):
+            text += chat.OPEN + ("assistant" if role == who else role if role == "system" else f"user name={role}") + "\n"
+            spans += [(len(text), len(text) + len(said + chat.CLOSE))] if role == who else []
+            text += said + chat.CLOSE + "\n"
+        out[conv, who] = text, spans
+    return out
+
+
+def test_long_dialogues_come_in_ordered_parts(spark):
+    rows = [(1, t, "ab"[t % 2], f"t{t}" * (t % 9)) for t in range(25)] + [(1, 30, "a", f"same{k}é\U0001f600") for k in range(40)] + [(1, 31, "b", "copy")] * 35 + [(1, 40, "system", "end"), (1, None, None, None)]
+    rows += [(None, k % 4, "xyz"[k % 3], f"lost {k % 7}") for k in range(60)] + [(2, k, "a", "ten rows") for k in range(10)] + [(3, k, "a", "eleven rows") for k in range(11)]
+    got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7), part_rows=10).collect()
+    assert max(r.n_turns for r in got) == 10 and sum(r.n_turns for r in got if r.conv_id == 1 and r.perspective == "a") == sum(r[0] == 1 for r in rows)
+    views = {}
+    for r in sorted(got, key=lambda r: r.part):
+        text, spans = views.get((r.conv_id, r.perspective), ("", []))
+        assert r.start == len(text)
+        views[r.conv_id, r.perspective] = text + r.text, spans + [(s.start, s.end) for s in r.mask]
+    assert views == plain(rows)
 
 
 def test_no_rows(spark):
