@@ -2,7 +2,8 @@
 
 Each payload is stored losslessly as a grey PNG of 64 columns, one byte a sample, as an uncompressed member of a ZIP archive. Every write
 task fills archives of its own; only archives named in the commit messages of successful tasks enter the manifest, so a lost
-executor leaves nothing that is ever read. Member names have a fixed width, so the entries of an archive's directory do too:
+executor leaves nothing that is ever read. Every write adds a manifest of its own, which appears whole or not at all, so that writes
+into one folder add up. Member names have a fixed width, so the entries of an archive's directory do too:
 the reader plans partitions as byte ranges over archive directories from the manifest alone (one row an archive). A reading
 task fetches its range of the directory, then streams members by offset, in Arrow batches of bounded size; each member that
 fails its checksum or its read is read again from its own offset, without touching the others.
@@ -40,6 +41,8 @@ ENTRY = 46 + NAME_BYTES
 #: Bytes after which an archive is closed, bytes of members planned for a reading task, bytes of a batch.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 32 << 20, 4 << 20
 TRIES = 4
+#: Folder of the manifests, beside the archives.
+MANIFESTS = "_manifests"
 SCHEMA = "doc_id long, n_bytes long, media binary"
 
 
@@ -134,9 +137,11 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Archives | None]) -> None:
         fs, root = _filesystem(self.path)
-        fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_manifest.json") as f:
+        fs.create_dir(f"{root}/{MANIFESTS}", recursive=True)
+        name = f"{root}/{MANIFESTS}/{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{name}.tmp") as f:
             f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
+        fs.move(f"{name}.tmp", f"{name}.json")
 
     def abort(self, messages: list[Archives | None]) -> None:
         fs, root = _filesystem(self.path)
@@ -157,9 +162,10 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Ranges of directory entries whose members come to about RANGE_BYTES."""
         fs, root = _filesystem(self.path)
-        with fs.open_input_stream(f"{root}/_manifest.json") as f:
-            archives = json.loads(f.read())
-        parts = []
+        parts, archives = [], []
+        for found in sorted(x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/{MANIFESTS}")) if x.path.endswith(".json")):
+            with fs.open_input_stream(found) as f:
+                archives += json.loads(f.read())
         for name, directory, members, size in archives:
             cuts = min(members, -(-size // RANGE_BYTES))
             parts += [DirectoryRange(name, directory, members * k // cuts, members * (k + 1) // cuts) for k in range(cuts)]

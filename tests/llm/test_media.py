@@ -68,6 +68,12 @@ def test_members_are_retried_alone():
         media.again(lambda: media.member(Flaky(), 10, len(body), 1), wait=0)
 
 
+def test_writes_into_one_folder_add_up(spark, docs, tmp_path):
+    for _ in range(2):
+        media.store(docs.limit(3), f"{tmp_path}/twice")
+    assert media.load(spark, f"{tmp_path}/twice").count() == 6
+
+
 def test_lost_attempts_leave_nothing_in_the_manifest(tmp_path):
     writer = media.ArchiveWriter(str(tmp_path))
     writer.write(iter([media.as_batch([(1, 1, b"lost")])]))  # an attempt whose message never arrives
