@@ -8,8 +8,8 @@ The model is fitted on at most TRAIN_ROWS labelled rows, those first by a hash o
 are never features.
 
 Cases: null and empty texts have features of zero and get a score like any other; null labels teach nothing; ids labelled twice
-teach twice; without both labels the model is the share of good rows (0.5 without rows); repeated rows are scored alike; an
-empty table gives an empty result; other columns are kept.
+teach twice; without both labels the model is the share of good rows (0.5 without rows); repeated rows are scored alike; very long
+texts are read whole; an empty table gives an empty result; other columns are kept, but columns named features or score give way.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, without
 
 TRAIN_ROWS = 20_000
 FEATURES = ("log_bytes", "word_length", "upper", "digits", "marks", "symbols", "distinct_words", "repeated_words", "repeated_lines", "line_words", "sentence_words", "long_words", "short_words", "longest_word")
@@ -77,16 +77,16 @@ def text_features(text: str | None) -> list[float]:
 
 
 def featured(df: DataFrame, text: str = "text") -> DataFrame:
-    """The frame with its text column replaced by one double column for each feature."""
-    kept = [c for c in df.columns if c != text and c not in FEATURES]
+    """The frame with its text column replaced by features, an array of FEATURES."""
+    kept = without(df, text, "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([text_features(t.as_py()) for t in batch.column(text)], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x) for x in made.T)], names=[*kept, *FEATURES])
+            made = pa.array([text_features(t.as_py()) for t in batch.column(text)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, "features"])
 
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *(T.StructField(f, T.DoubleType()) for f in FEATURES)]))
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 class AdditiveModel:
@@ -189,18 +189,20 @@ def fit(features: DataFrame, labels: DataFrame, row_id: str = "doc_id", label: s
     known = labels.where(F.col(label).isNotNull()).select(F.col(row_id).alias("_id"), F.col(label).cast("double").alias("_label"))
     # A hash share of little more than the bound, so that no task sends more than its part of it to the driver.
     some = int(min(1.0, 1.2 * rows / max(1, known.count())) * 1_000_000) + 1
-    joined = features.join(known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < some), F.col(row_id) == F.col("_id"))
-    sample = joined.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)), F.xxhash64("_id"), "_id", "_label", *FEATURES).limit(rows).select("_label", *FEATURES).toPandas()
-    return AdditiveModel(sample[list(FEATURES)].to_numpy(np.float64), sample["_label"].to_numpy(np.float64))
+    mine = features.select(F.col(row_id).alias("_row"), F.col("features").alias("_x"))
+    joined = mine.join(known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < some), F.col("_row") == F.col("_id"))
+    sample = joined.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)), F.xxhash64("_id"), "_id", "_label", "_x").limit(rows).select("_label", "_x").toPandas()
+    x = np.array(sample["_x"].tolist(), np.float64).reshape(-1, len(FEATURES))
+    return AdditiveModel(x, sample["_label"].to_numpy(np.float64))
 
 
 def scored(features: DataFrame, model: AdditiveModel) -> DataFrame:
     """Adds a score; the features go."""
-    kept = [c for c in features.columns if c not in FEATURES and c != "score"]
+    kept = without(features, "features", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(f).to_numpy() for f in FEATURES], 1)
+            x = batch.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.score(x), pa.float64())], names=[*kept, "score"])
 
     return features.mapInArrow(run, T.StructType([*(features.schema[c] for c in kept), T.StructField("score", T.DoubleType())]))

@@ -42,3 +42,40 @@ def test_edges(spark, docs):
     got = scored(features, fit(features, labels)).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     assert scored(featured(docs.limit(0)), fit(features.limit(0), labels)).count() == 0
+
+
+def test_scores_equal_a_plain_evaluation():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((800, len(FEATURES))), 2)
+    model = AdditiveModel(x, (x[:, 2] + x[:, 3] * x[:, 4] > 0.8).astype(float))
+    assert model.pairs
+    for row, score in zip(x[:60], model.score(x[:60]), strict=True):
+        bins = [sum(v >= e for e in edges.tolist()) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.base + sum(t[b] for t, b in zip(model.single, bins, strict=True)) + sum(t[bins[i]][bins[j]] for (i, j), t in zip(model.pairs, model.double, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def leaves_gain(g, h, leaves):
+    return sum(sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1) for a, b in leaves)
+
+
+def test_trees_take_the_best_cuts():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        g, h, n = rng.normal(size=9), rng.random(9), rng.integers(1, 30, 9)
+        one = max(([(0, c), (c, 9)] for c in range(1, 9) if min(n[:c].sum(), n[c:].sum()) >= 8), key=lambda x: leaves_gain(g, h, x))
+        two = []
+        for at, (a, b) in enumerate(one):
+            two += [one[:at] + [(a, c), (c, b)] + one[at + 1 :] for c in range(a + 1, b) if min(n[a:c].sum(), n[c:b].sum()) >= 8]
+        best = max([one, *two], key=lambda x: leaves_gain(g, h, x))
+        expected = np.concatenate([np.full(b - a, g[a:b].sum() / (h[a:b].sum() + 1)) for a, b in best])
+        assert np.allclose(AdditiveModel._tree(g, h, n), expected)
+
+
+def test_clashing_names_and_long_texts(spark, docs):
+    df = docs.withColumn("digits", docs.doc_id).withColumn("_x", docs.doc_id).withColumn("_id", docs.doc_id).unionByName(docs.limit(1).selectExpr("77L doc_id", "repeat('long text ', 200000) text", "lang", "source", "score", "77L digits", "77L _x", "77L _id"))
+    features = featured(df)
+    assert features.columns == ["doc_id", "lang", "source", "score", "digits", "_x", "_id", "features"]
+    got = scored(features, fit(features, spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")))
+    assert got.columns == ["doc_id", "lang", "source", "digits", "_x", "_id", "score"]
+    assert all(r.digits == r.doc_id and 0 <= r.score <= 1 for r in got.collect())
