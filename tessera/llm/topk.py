@@ -7,7 +7,8 @@ traversed; survivors have the other terms probed one by one, strongest first, wh
 shards are merged by query.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; shorter vectors count
-as padded with zeros; a query never meets rows of its own id; equal scores go to the smaller id; repeated candidates each count, repeated queries ask once;
+as padded with zeros; a query never meets rows of its own id; equal scores go to the smaller id; repeated candidates each count, repeated queries ask once,
+and different query vectors of one id are queries of their own, each with its ranks;
 fewer than k candidates give all; an empty table gives an empty result; other columns are not looked at. Sums of products must
 stay below 2^53, which is checked.
 """
@@ -89,10 +90,10 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: in
     shards, blocks, width = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows)), max(1, width, query_width)
     shard, block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
     left = candidates.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = queries.distinct().withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    right = queries.distinct().withColumn("key", F.xxhash64("v")).withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def probe(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
         if rows.num_rows and asked.num_rows:
             data = matrix(rows, width)
             ids, postings = rows.column("vec_id").to_numpy(), np.ascontiguousarray(data.T)
@@ -100,14 +101,14 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: in
             weights = matrix(asked, width)
             if np.abs(weights).sum(1).max() * max(abs(high).max(), abs(low).max()) >= 2.0**53:
                 raise OverflowError("scores leave the range of exact integers")
-            for own, query in zip(asked.column("vec_id").to_numpy(), weights, strict=True):
+            for own, query, key in zip(asked.column("vec_id").to_numpy(), weights, asked.column("key").to_numpy(), strict=True):
                 best_ids, best = maxscore(query, own, ids, postings, high, low, k)
-                found.append((np.full(len(best), own), best_ids, best))
-        query_ids, best_ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"query_id": pa.array(query_ids, pa.int64()), "vec_id": pa.array(best_ids, pa.int64()), "score": pa.array(scores).cast(pa.int64())})
+                found.append((np.full(len(best), own), best_ids, best, np.full(len(best), key)))
+        query_ids, best_ids, scores, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query_id": pa.array(query_ids, pa.int64()), "vec_id": pa.array(best_ids, pa.int64()), "score": pa.array(scores).cast(pa.int64()), "key": pa.array(keys, pa.int64())})
 
-    part = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(probe, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    part = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(probe, "query_id long, vec_id long, score long, key long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

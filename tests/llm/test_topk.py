@@ -46,3 +46,10 @@ def test_maxscore_skips_nothing_that_competes():
         full = data @ query
         first = np.lexsort((np.arange(200), -full))[:10]
         assert ids.tolist() == first.tolist() and scores.tolist() == full[first].tolist()
+
+
+def test_queries_of_one_id_are_apart(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 0.5]), (2, [0.25, 3.0]), (2, [0.25, 3.0])]
+    vectors = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(vectors, vectors.where("vec_id = 0"), k=2).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == sorted([(1, 1, 64 * 128), (2, 2, 64 * 16), (1, 2, 64 * 192), (2, 2, 64 * 192)])
