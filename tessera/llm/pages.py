@@ -1,24 +1,33 @@
 """Main text of web pages by template deduction.
 
-Tokens of a page are its start tags, told apart by their path of tags and classes, and the first words of its blocks under such a
-path. Tokens of one host that share an occurrence vector (how often each page holds them) form an equivalence class; vectors
+Tokens of a page are its start tags, told apart by their path of tags and classes, and its blocks of text under such a path.
+Tokens of one host that share an occurrence vector (how often each page holds them) form an equivalence class; vectors
 are compared by a sum of page hashes weighted by counts, with the number of pages and of occurrences, so that each task
-ships one row a token and a hot host is summed before the shuffle. Classes that are frequent and hold several tokens make up
-the template. The class whose tokens stand once on a page is its skeleton, and the other classes nest in the
-skeleton's slots by their paths. The slot that holds the article is found from the top: as long as one skeleton element holds nearly all of the text that is not navigation, notice or link, the slot lies in it. The texts in that slot are read, block by block,
-from every page of the host; elements that say they are menus, headers, footers, sidebars, notices, adverts, forms or comments are
-left out there as well.
+ships one row a token and a hot host is summed before the shuffle. A class is valid if it holds several tokens and stands on
+enough pages of the host; paths say how classes nest. Valid classes make up the template: their tags are its skeleton, and a block
+of text in one of them, on nearly all pages of a host whose pages differ, is template text, not what a page says.
+
+The slot that holds the article is found from the top: as long as one skeleton element holds nearly all of the host's text that is not
+navigation, notice or link, the slot lies in it; where headings or paragraphs that aren't template text stand beside it, at any depth
+or, on the level of the page itself, right there, it is the element around them. The blocks in that slot that aren't template text are read, in page order.
+
+What a template can't tell is left out by what elements say they are, as a last resort: by tag (menus, page headers, footers, sidebars, forms
+and their controls; noscript holds what readers with scripts don't see, svg and canvas are pictures), and by whole names of classes, ids
+and roles. A compound name counts if each of its parts does ("site-header"; not "section-header" or "has-sidebar"). Names that may also be
+those of a paragraph's contents ("reply", "related") count on containers only. A header in an article is the article's own. Where
+nothing would be left of a page, names are not believed.
 
 Hosts with few pages share the template of all pages of such hosts. A page without its host's slot is read whole, without the elements
 left out above.
 
 Cases: null and empty html give an empty text and null urls are one host; unclosed and stray tags, comments and raw script text
-are dealt with as browsers do; pages that repeat count as pages; any length is read whole; an empty table gives an empty
-result; other columns are kept.
+are dealt with as browsers do; pages that repeat count as pages, but text that they alone share is no template text; any length is read
+whole; an empty table gives an empty result; other columns are kept, but columns named like an output give way to it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
@@ -30,28 +39,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, stored
+from .common import bound_batches, stored, unused, without
 
-#: Pages under which a host shares the pooled template; share of pages a class must stand on; share of text a slot must hold.
-LEAST_PAGES, FREQUENT, HOLDS = 4, 0.5, 0.8
+#: Pages under which a host shares the pooled template; shares of pages that a class and a template text must stand on; share of a host's text a slot must hold.
+LEAST_PAGES, FREQUENT, CONSTANT, HOLDS = 4, 0.5, 0.9, 0.8
 POOLED = "*"
 
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|xmp|noembed|noframes"
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|noembed|noframes"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle".split())
 #: Start tags that close an open element of the same group.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("ul ol dl table article section main aside nav div body blockquote td th".split())
-#: Elements, and words of classes, ids and roles, that aren't the article.
+#: Tags of elements that aren't the article, and of those whose own header belongs to it.
 LEFT_OUT = frozenset("head nav header footer aside form button dialog menu fieldset input".split())
-LEFT_OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer contentinfo sidebar aside complementary widget notice notices alert cookie cookies consent gdpr comment comments commentlist discussion disqus reply replies respond form search login signup subscribe newsletter share sharing social related popup modal toolbar".split()
-)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+OWNERS = frozenset("article main".split())
+#: Names of adverts, menus, notices and comments, on any element; names that count on containers only; parts that say nothing by themselves.
+SURE_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs masthead contentinfo sidebar cookie cookies consent gdpr comments commentlist disqus newsletter toolbar".split())
+CONTAINER_NAMES = SURE_NAMES | frozenset("promotion banner header footer aside complementary widget widgets notice notices alert comment discussion reply replies respond form search login signup subscribe subscription share sharing social related popup modal".split())
+PLAIN_PARTS = frozenset("site page main top bottom left right global primary secondary list box bar block area wrapper wrap container inner outer links items posts articles".split())
+CONTAINERS = frozenset("div section ul ol dl table aside details figure footer header nav form iframe center".split())
+NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Blocks whose text belongs to what stands beside them.
+PAGE_LEVEL = re.compile(r"(?:\A|/)(?:body|html)(?:\.[^/]*)?\Z")
+PROSE = re.compile(r"(?:h[1-6]|p|blockquote|pre|figure)(?:\.|\Z)")
+
+
+def says(names: list[str], known: frozenset[str]) -> bool:
+    """Whether one of the names, as a whole or in each of its parts, is a known one."""
+    for name in names:
+        parts = [x for x in re.split(r"[-_]+|(?<=\d)(?=\D)|(?<=\D)(?=\d)", name) if x]
+        if name in known or any(x in known for x in parts) and all(x in known or x in PLAIN_PARTS or x.isdigit() for x in parts):
+            return True
+    return False
 
 
 def host_of(url: Column) -> Column:
@@ -59,17 +83,22 @@ def host_of(url: Column) -> Column:
 
 
 class Block:
+    """out: 0 for text that may be the article's, 1 for what a name leaves out, 2 for what a tag does."""
+
     __slots__ = ("path", "text", "links", "out")
 
-    def __init__(self, path: tuple[str, ...], text: str, links: int, out: bool):
+    def __init__(self, path: tuple[str, ...], text: str, links: int, out: int):
         self.path, self.text, self.links, self.out = path, text, links, out
 
+    def token(self) -> tuple[str, str]:
+        return "/".join(self.path), hashlib.blake2b(self.text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
 
 def parsed(page: str) -> tuple[list[tuple[str, ...]], list[Block]]:
     """Paths of the start tags, and the blocks of text, both in page order."""
     starts: list[tuple[str, ...]] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, its step of the path, whether it or one above is left out
+    stack: list[tuple[str, str, int]] = []  # tag, its step of the path, what leaves it or one above out
     pieces: list[str] = []
     links = 0
 
@@ -78,7 +107,7 @@ def parsed(page: str) -> tuple[list[tuple[str, ...]], list[Block]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                blocks.append(Block(tuple(s[1] for s in stack if s[0] not in INLINE), text, min(links, len(text)), bool(stack) and stack[-1][2]))
+                blocks.append(Block(tuple(s[1] for s in stack if s[0] not in INLINE), text, min(links, len(text)), stack[-1][2] if stack else 0))
             pieces.clear()
         links = 0
 
@@ -124,11 +153,15 @@ def parsed(page: str) -> tuple[list[tuple[str, ...]], list[Block]]:
             flush()
         if tag == "body":  # what is open of the head ends here
             close(next((k for k, s in enumerate(stack) if s[0] == "head"), len(stack)))
-        names = [x for found in NAMED.findall(m["rest"]) for x in re.split(r"[^a-z0-9]+", "".join(found[1:]).lower()) if x] if "=" in m["rest"] else []
-        step = tag + "".join("." + x for x in sorted(set(names)))
+        names = [x for found in NAMED.findall(m["rest"]) for x in "".join(found[1:]).lower().split()] if "=" in m["rest"] else []
+        step = tag + "".join("." + x.replace("/", "-") for x in sorted(set(names)))
         if tag in VOID or m["rest"].endswith("/") and tag not in INLINE and tag not in ("p", "div"):
             continue
-        out = tag in LEFT_OUT or tag not in ("html", "body", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(names) or bool(stack) and stack[-1][2]
+        out = stack[-1][2] if stack else 0
+        if tag in LEFT_OUT and not (tag == "header" and any(x[0] in OWNERS for x in stack)):
+            out = 2
+        elif not out and names and tag not in ("html", "body", *OWNERS) and says(names, CONTAINER_NAMES if tag in CONTAINERS else SURE_NAMES):
+            out = 1
         stack.append((tag, step, out))
         if tag not in INLINE:
             starts.append(tuple(s[1] for s in stack if s[0] not in INLINE))
@@ -138,13 +171,13 @@ def parsed(page: str) -> tuple[list[tuple[str, ...]], list[Block]]:
 
 
 def page_tokens(page: str) -> dict[tuple[str, str], list[int]]:
-    """(path, first word or "") -> occurrences, characters of text that may be the article's under it."""
+    """(path, digest of a block's text or "" for a tag) -> occurrences, characters of text that may be the article's under it."""
     out: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0])
     starts, blocks = parsed(page)
     for path in starts:
         out["/".join(path), ""][0] += 1
     for b in blocks:
-        out["/".join(b.path), b.text.split(" ", 1)[0]][0] += 1
+        out[b.token()][0] += 1
         if not b.out:
             for k in range(1, len(b.path) + 1):
                 out["/".join(b.path[:k]), ""][1] += len(b.text) - b.links
@@ -185,67 +218,91 @@ def _summed(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("host", "path", "word").agg(fold.alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("chars").alias("chars"))
 
 
-def skeleton_slot(tokens: list[tuple[str, int, int, int]], pages: int) -> str:
-    """The path of the article's slot from template tags (path, pages, total, chars)."""
+def skeleton_slot(tags: list[tuple[str, int, int, int]], constant: set[str]) -> str:
+    """The path of the article's slot from template tags (path, pages, total, chars) and the paths of template texts."""
     children: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    beside: dict[str, list[str]] = defaultdict(list)
     top = 0
-    for path, on, total, chars in tokens:
+    for path, on, total, chars in tags:
+        above, _, step = path.rpartition("/")
         if on == total:  # once on a page: a token of the skeleton
-            children[path.rpartition("/")[0]].append((path, chars))
+            children[above].append((path, chars))
+        if chars and PROSE.match(step) and path not in constant:
+            beside[above].append(path)
+            while (above := above.rpartition("/")[0]) and not PAGE_LEVEL.search(above):
+                beside[above].append(path)
         top = max(top, chars)
-    slot, holds = "", top
+    slot = ""
     while True:
         best = max(children.get(slot, []), key=lambda c: (c[1], c[0]), default=None)
-        if best is None or not best[1] or best[1] < HOLDS * holds:
-            return slot
-        slot, holds = best
+        if best is None or not best[1] or best[1] < HOLDS * top:
+            break
+        slot = best[0]
+    around = slot
+    while around:
+        inner, around = around, around.rpartition("/")[0]
+        if any(path != inner and not path.startswith(f"{inner}/") for path in beside.get(around, ())):
+            slot = around
+    return slot
 
 
 def templates(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
-    """host, slot: the template of each host, from the equivalence classes of its tokens."""
+    """host, slot, texts (path and digest of each template text): the template of each host, from the equivalence classes of its tokens."""
     classes = tokens.groupBy("host", "vector", "pages", "total").agg(F.count("*").alias("members"))
-    large = classes.join(sizes, "host").where((F.col("members") >= 2) & (F.col("pages") >= FREQUENT * F.col("host_pages"))).select("host", "vector", "pages", "total", "host_pages")
-    tags = tokens.where("word = ''").join(large, ["host", "vector", "pages", "total"])
-    found = tags.groupBy("host", "host_pages").agg(F.collect_list(F.struct("path", "pages", "total", "chars")).alias("tags"))
+    valid = classes.join(sizes, "host").where((F.col("members") >= 2) & (F.col("pages") >= FREQUENT * F.col("host_pages"))).select("host", "vector", "pages", "total", "host_pages", "differing")
+    # Pages that repeat show nothing about their texts.
+    sure = (F.col("pages") >= CONSTANT * F.col("host_pages")) & (F.col("differing") >= F.greatest(F.lit(LEAST_PAGES), F.col("host_pages") / 2))
+    members = tokens.join(valid, ["host", "vector", "pages", "total"]).where((F.col("word") == "") | sure)
+    found = members.groupBy("host").agg(F.collect_list(F.struct("path", "word", "pages", "total", "chars")).alias("members"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [skeleton_slot([(t["path"], t["pages"], t["total"], t["chars"]) for t in tags], n) for tags, n in zip(batch.column("tags").to_pylist(), batch.column("host_pages").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], names=["host", "slot"])
+            made, texts = [], []
+            for members in batch.column("members").to_pylist():
+                texts.append(sorted(f"{m['path']} {m['word']}" for m in members if m["word"]))
+                made.append(skeleton_slot([(m["path"], m["pages"], m["total"], m["chars"]) for m in members if not m["word"]], {m["path"] for m in members if m["word"]}))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string()), pa.array(texts, pa.list_(pa.string()))], names=["host", "slot", "texts"])
 
-    return found.mapInArrow(slots, "host string, slot string")
+    return found.mapInArrow(slots, "host string, slot string, texts array<string>")
 
 
-def main_text(page: str | None, slot: str | None) -> str:
-    """The blocks of the slot, or of the whole page where it lacks the slot."""
+def main_text(page: str | None, slot: str | None, texts: list[str] | None = None) -> str:
+    """The blocks of the slot that aren't template text, or of the whole page where it lacks the slot."""
     if not page:
         return ""
-    blocks = [b for b in parsed(page)[1] if not b.out]
+    every = parsed(page)[1]
+    blocks = [b for b in every if not b.out] or [b for b in every if b.out == 1]
     if slot:
         steps = tuple(slot.split("/"))
-        inside = [b for b in blocks if b.path[: len(steps)] == steps]
-        blocks = inside or blocks
+        blocks = [b for b in blocks if b.path[: len(steps)] == steps] or blocks
+    if texts:
+        known = set(texts)
+        blocks = [b for b in blocks if " ".join(b.token()) not in known]
     return "\n".join(b.text for b in blocks)
 
 
 def extract(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Adds text and n_chars; the html goes."""
-    kept = [c for c in df.columns if c not in (html, "text", "n_chars")]
+    kept = without(df, html, "text", "n_chars")
     hosts = df.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     tokens = stored(token_sums(hosts), "page-tokens")
-    sizes = hosts.groupBy("host").agg(F.count("*").alias("host_pages"))
+    counts = F.count("*").alias("host_pages"), F.approx_count_distinct(F.xxhash64("html")).alias("differing")
+    sizes = stored(hosts.groupBy("host").agg(*counts), "page-hosts")
     small = sizes.where(F.col("host_pages") < LEAST_PAGES).select("host")
     pool = _summed(tokens.join(small, "host", "left_semi").withColumn("host", F.lit(POOLED)))
-    pool_size = sizes.where(F.col("host_pages") < LEAST_PAGES).agg(F.coalesce(F.sum("host_pages"), F.lit(0)).alias("host_pages")).select(F.lit(POOLED).alias("host"), "host_pages")
+    pool_size = sizes.where(F.col("host_pages") < LEAST_PAGES).select(F.lit(POOLED).alias("host"), "host_pages", "differing").groupBy("host").agg(F.sum("host_pages").alias("host_pages"), F.sum("differing").alias("differing"))
     own = templates(tokens, sizes.where(F.col("host_pages") >= LEAST_PAGES))
-    shared = templates(pool, pool_size).select("slot").first()  # at most one row
+    shared = templates(pool, pool_size).select("slot", "texts").first()  # at most one row
+    of_pool = F.lit(shared["slot"] if shared else None).cast("string"), F.array(*[F.lit(t) for t in (shared["texts"] if shared else [])]).cast("array<string>")
     # A table of one row a host; its size on disk decides whether it is broadcast.
-    slots = stored(own.unionByName(small.withColumn("slot", F.lit(shared["slot"] if shared else None).cast("string"))), "page-slots").select(F.col("host").alias("_host"), "slot")
-    joined = df.select(*kept, F.col(html).alias("_html"), host_of(F.col(url)).alias("_of")).join(slots, F.col("_of") == F.col("_host"), "left").select(*kept, "_html", "slot")
+    host, of, slot, texts, page = unused(df, "_host", "_of", "_slot", "_texts", "_html")
+    slots = stored(own.unionByName(small.select("host", of_pool[0].alias("slot"), of_pool[1].alias("texts"))), "page-slots").select(F.col("host").alias(host), F.col("slot").alias(slot), F.col("texts").alias(texts))
+    keyed = df.select(*kept, F.col(html).alias(page), host_of(F.col(url)).alias(of))
+    joined = keyed.join(slots, F.col(of) == F.col(host), "left").select(*kept, page, slot, texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p, s) for p, s in zip(batch.column("_html").to_pylist(), batch.column("slot").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
+            said = [main_text(*x) for x in zip(*(batch.column(c).to_pylist() for c in (page, slot, texts)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(said, pa.string()), pa.array(map(len, said), pa.int64())], names=[*kept, "text", "n_chars"])
 
     return joined.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

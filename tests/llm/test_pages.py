@@ -34,3 +34,42 @@ def test_generated_pages_give_their_articles(spark, sf_dir):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
         blocks = (" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("</?(?:p|h1)>", article))
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+PROBE = """<html><body><div class="site-header">Acme {k}</div><div class="post has-sidebar"><article><header><h1>Title {k}</h1></header><p class="lead">Lead {k}</p>
+<div class="body"><h2 class="section-header">Part {k}</h2><p data-id="ad-5">Body one {k} {more}</p><p class="reply">He replied {k}</p><div class="related-work">Work {k}</div>
+<p>x <math><mi>y{k}</mi></math> z</p><div class="plain">Read more on our site</div><pre>code  {k}</pre></div><div class="ad-5">Buy {k}</div><div class="comment-list"><p>Nice {k}</p></div></article></div>
+<div class="cookie-notice">We use cookies {k}</div><div id="page-footer">foot {k}</div></body></html>"""
+
+
+def test_nothing_else_is_dropped(spark):
+    more = "and more words of the article " * 20
+    got = pages.extract(frame(spark, [(k, f"https://p.example/{k}", PROBE.format(k=k, more=more)) for k in range(9)])).collect()
+    for r in got:
+        k = r.page_id
+        assert r.text.split("\n") == [f"Title {k}", f"Lead {k}", f"Part {k}", f"Body one {k} {more.strip()}", f"He replied {k}", f"Work {k}", f"x y{k} z", f"code {k}"]
+
+
+def test_pages_that_repeat_keep_their_text(spark):
+    got = pages.extract(frame(spark, [(k, "https://copies.example/", PROBE.format(k=1, more="")) for k in range(30)])).collect()
+    assert len(got) == 30 and all("Read more on our site" in r.text and r.text.startswith("Title 1\nLead 1") for r in got)
+
+
+def test_a_second_section_stays(spark):
+    page = "<body><div class=c><div class=a><p>{long}</p></div><div class=b><h2>Second {k}</h2><p>short {k}</p></div></div><p>&copy; all the same</p></body>"
+    got = pages.extract(frame(spark, [(k, "https://two.example/", page.format(k=k, long=f"long text {k} " * 60)) for k in range(6)])).collect()
+    assert all(f"long text {r.page_id}" in r.text and r.text.endswith(f"Second {r.page_id}\nshort {r.page_id}") for r in got)
+
+
+def test_names():
+    assert all(pages.says([n], pages.CONTAINER_NAMES) for n in ("ad", "site-header", "main_nav", "ad-5", "ads12", "related-posts", "comment-list"))
+    assert not any(pages.says([n], pages.CONTAINER_NAMES) for n in ("section-header", "has-sidebar", "related-work", "lead", "page", "main", "head", "adage", "5"))
+
+
+def test_clashing_names(spark):
+    df = frame(spark, [(k, f"https://p.example/{k}", PROBE.format(k=k, more="")) for k in range(5)])
+    for c in ("slot", "texts", "host", "_slot", "_HTML"):
+        df = df.withColumn(c, df.page_id)
+    got = pages.extract(df)
+    assert got.columns == ["page_id", "url", "slot", "texts", "host", "_slot", "_HTML", "text", "n_chars"]
+    assert all(r.slot == r.page_id == r.host for r in got.collect())
