@@ -21,11 +21,6 @@ def first_match(rules: list[tuple[Column | None, tuple]], names: tuple[str, ...]
     return out
 
 
-def any_word(words: list[str], flags: str = "(?i)") -> str:
-    """A pattern of alternatives between word boundaries."""
-    return flags + r"\b(?:" + "|".join(words) + r")\b"
-
-
 def hits(x: Column, phrases: list[str]) -> Column:
     """How many of the phrases a text contains."""
     total = F.lit(0)
