@@ -225,5 +225,16 @@ def clean_html(x: Column) -> Column:
     return squeezed(unescape(F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", " "), "<[^>]+>", " ")))
 
 
+def fold_without_urls(x: Column) -> Column:
+    """SC-03: fold() of a text without its addresses, slashed o spelled out."""
+    return fold(F.regexp_replace(F.coalesce(x, F.lit("")), r"https?://\S+", " "), slashed_o=True)
+
+
+def page_text(content: Column) -> Column:
+    """SC-10: the bytes of a page as text: UTF-8 where they are that, else Latin-1."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))
+
+
 def page_title(x: Column) -> Column:
     return squeezed(unescape(F.regexp_replace(F.regexp_extract(x, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", " ")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.scratch import scratch
+
 
 def lag_statistics(rows: DataFrame, group: str, lag: str, record: str, quartiles: bool = False) -> DataFrame:
     """Rows, distinct records, mean, median, extremes and, if asked, linearly interpolated quartiles of the valid lags (not negative) of each group."""
@@ -95,12 +97,30 @@ def panel(spine: DataFrame, facts: DataFrame, keys: list[str], measures: list[st
     return spine.join(facts, keys, "left").fillna(0, measures)
 
 
+def placed(rows: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
+    """Adds _at, the position of a row in its stratum (from 0), and _n, the rows of the stratum. Rows are sorted by ranges, and a range goes on from
+    the counts of those before it, so that no stratum, however large, is one task; only counts by range and stratum are ranked."""
+    path = scratch(rows.sparkSession, "ranges")
+    rows.repartitionByRange(*strata, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = rows.sparkSession.read.parquet(path)
+    keys = [F.col(c).alias(f"_{k}") for k, c in enumerate(strata)]
+    names = [f"_{k}" for k in range(len(strata))]
+    sums = ranged.groupBy(*keys, F.col("_range").alias("_of")).agg(F.count("*").alias("_rows"))
+    within = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("_rows").over(within.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*names, "_of", before.alias("_before"), F.sum("_rows").over(within).alias("_n"))
+    numbered = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_range", *strata).orderBy(*order)))
+    same = F.col("_range") == F.col("_of")
+    for c, name in zip(strata, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    return numbered.join(offsets, same).withColumn("_at", F.col("_before") + F.col("_nth") - 1).drop("_range", "_of", "_nth", "_before", *names)
+
+
 def evenly_spaced(rows: DataFrame, strata: list[str], order: list[str], k: int) -> DataFrame:
     """k rows of each stratum at even distances (ends included), half positions to the even row; the middle row if k is 1.
 
     A stratum with fewer than k rows stops the run. With at least k rows two positions never meet."""
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1
-    counted = rows.withColumn("_at", place).withColumn("_n", F.count("*").over(Window.partitionBy(*strata)))
+    counted = placed(rows, strata, order)
     enough = F.when(F.col("_n") < k, F.raise_error(F.concat(F.lit(f"not enough rows to sample {k}: only "), F.col("_n").cast("string"))).cast("boolean")).otherwise(F.lit(True))
     if k == 1:
         picked = F.array(F.floor(F.col("_n") / 2).cast("long"))
@@ -110,10 +130,5 @@ def evenly_spaced(rows: DataFrame, strata: list[str], order: list[str], k: int)
 
 
 def surrogate_ids(rows: DataFrame, order: list[str], prefix: str, name: str) -> DataFrame:
-    """Ids by sorted position: the position within the rows of one leading key, after all rows of smaller keys. Only the table of leading keys is ordered as a whole."""
-    lead = order[0]
-    sizes = rows.groupBy(F.col(lead).alias("_lead")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(lead).orderBy(*order)))
-    joined = placed.join(sizes.withColumn("_before", before), F.col(lead).eqNullSafe(F.col("_lead")))
-    return joined.withColumn(name, F.format_string(prefix + "%06d", F.col("_before") + F.col("_at"))).drop("_at", "_lead", "_n", "_before")
+    """Ids by sorted position."""
+    return placed(rows, [], order).withColumn(name, F.format_string(prefix + "%06d", F.col("_at") + 1)).drop("_at", "_n")

@@ -51,14 +51,6 @@ def best_per(rows: DataFrame, key: list[str], score: str, ordinal: list[str]) ->
     return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
-def token_candidates(left: DataFrame, left_key: str, left_tokens: str, right: DataFrame, right_key: str, right_tokens: str, most: int) -> DataFrame:
-    """Pairs that share a token found in at most `most` rows of the right side: an equi-join on rare tokens, each pair once."""
-    posted = right.select(F.col(right_key), F.explode(right_tokens).alias("_token"))
-    rare = posted.groupBy("_token").agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select("_token")
-    sought = left.select(F.col(left_key), F.explode(left_tokens).alias("_token"))
-    return sought.join(posted.join(rare, "_token"), "_token").select(left_key, right_key).distinct()
-
-
 def shared_tokens(left: DataFrame, left_key: str, left_tokens: str, right: DataFrame, right_key: str, right_tokens: str, salts: int = 16) -> DataFrame:
     """left_key, right_key, shared: how many distinct tokens each pair shares that shares any, over all postings. Keys are unique; right rows are dealt
     over `salts` parts, so that a token of every row isn't one join key."""
@@ -90,11 +82,13 @@ def name_linkage(base: DataFrame, dataset: DataFrame, keys: list[str], full_name
     return left.join(right, keys).where((F.col("_family") != "") & F.exists("_names", lambda n: F.contains(n, F.col("_family")))).drop("_names", "_family")
 
 
-def cascade(rows: DataFrame, key: str, first: DataFrame, second: DataFrame, fields: list[str]) -> DataFrame:
-    """J-14: fields from the first source by key, from the second where the first has none, with a status. Keys are looked up once each."""
+def cascade(rows: DataFrame, key: str, first: DataFrame, second: DataFrame, fields: list[str], ordinal: list[str] | None = None) -> DataFrame:
+    """J-14: fields from the first source by key, from the second where the first has none, with a status. Keys are looked up once each; where a
+    source repeats a key, its first row by the ordinal columns counts, or the least row by its fields where there are none."""
+    once = lambda source: source.groupBy(key).agg(F.min(F.struct(*(ordinal or []), *fields)).alias("_row")).select(key, *[F.col("_row")[f].alias(f) for f in fields])
     keys = rows.select(key).where(F.coalesce(F.col(key), F.lit("")) != "").distinct()
-    one = keys.join(first.select(key, *fields, F.lit(1).alias("_one")).dropDuplicates([key]), key, "left")
-    missed = one.where("_one is null").select(key).join(second.select(key, *fields).dropDuplicates([key]), key).withColumn("_status", F.lit("matched_second"))
+    one = keys.join(once(first).withColumn("_one", F.lit(1)), key, "left")
+    missed = one.where("_one is null").select(key).join(once(second), key).withColumn("_status", F.lit("matched_second"))
     found = one.where("_one = 1").drop("_one").withColumn("_status", F.lit("matched_first")).unionByName(missed)
     return rows.join(found, key, "left").withColumn("match_status", F.coalesce("_status", F.lit("no_match"))).drop("_status")
 
@@ -141,28 +135,15 @@ def best_hits(queries: DataFrame, works: DataFrame) -> DataFrame:
     return hits.groupBy("ref_id", "pos").agg(F.min("_hit").alias("_hit")).select("ref_id", "pos", "_hit.work_id", "_hit.score", "_hit.title_overlap", "_hit.year_match")
 
 
-def search_cascade(queries: DataFrame, works: DataFrame, most: int | None = None) -> DataFrame:
+def search_cascade(queries: DataFrame, works: DataFrame) -> DataFrame:
     """J-15: for each reference the hit of its first query that has an acceptable one.
 
     queries: ref_id, pos, query_tokens, ref_tokens, years; works: work_id, title_tokens, source_tokens, year, article.
-    A query finds works that share a token with it, with `most` only those that share one found in at most `most` works; the best of them by score (first
-    work on ties) is accepted or not."""
-    best = best_hits(queries, works) if most is None else rare_hits(queries, works, most)
-    accepted = best.withColumn("confidence", search_acceptance(F.col("title_overlap"), F.col("year_match"), F.col("score"))).where("confidence is not null")
+    A query finds all works that share a token with it; the best of them by score (first work on ties) is accepted or not."""
+    accepted = best_hits(queries, works).withColumn("confidence", search_acceptance(F.col("title_overlap"), F.col("year_match"), F.col("score"))).where("confidence is not null")
     return accepted.withColumn("_first", F.row_number().over(Window.partitionBy("ref_id").orderBy("pos"))).where("_first = 1").select("ref_id", "pos", "work_id", "score", "confidence")
 
 
-def rare_hits(queries: DataFrame, works: DataFrame, most: int) -> DataFrame:
-    """As best_hits, among works that share a token found in at most `most` works."""
-    asked = queries.withColumn("_ask", F.struct("ref_id", "pos"))
-    pairs = token_candidates(asked.select("_ask", "query_tokens"), "_ask", "query_tokens", works, "work_id", "title_tokens", most)
-    rows = pairs.select(F.col("_ask.ref_id").alias("ref_id"), F.col("_ask.pos").alias("pos"), "work_id").join(queries.drop("query_tokens"), ["ref_id", "pos"]).join(works, "work_id")
-    title, source = containment(F.col("title_tokens"), F.col("ref_tokens")), containment(F.col("source_tokens"), F.col("ref_tokens"))
-    in_year = F.coalesce(F.array_contains("years", F.col("year")), F.lit(False))
-    scored = rows.withColumns({"title_overlap": title, "year_match": in_year, "score": search_score(F.col("article"), in_year, title, source)})
-    return best_per(scored, ["ref_id", "pos"], "score", ["work_id"])
-
-
 def is_mixed_reference(text: Column) -> Column:
     """R-15: a block of several resources; shorter and with other markers than an aggregate of R-01."""
     low = F.lower(text)

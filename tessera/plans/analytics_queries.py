@@ -325,17 +325,17 @@ def snk10_trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.groupBy(period).agg(F.regr_slope("mean", "yr").alias("slope"), F.regr_intercept("mean", "yr").alias("intercept"), F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-@query("""SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_custkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE strftime(o_orderdate, '%Y') END, lower(o_orderstatus), o_orderkey) AS place FROM orders QUALIFY place <= 200""")
-def o03_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-11: the first 200 rows of a review queue; blank years sort first, as text. o03_whole_review_order has all."""
+@query("""SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_custkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE strftime(o_orderdate, '%Y') END, lower(o_orderstatus), o_orderkey) AS place FROM orders QUALIFY place BETWEEN 101 AND 300""")
+def f11_review_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-11: rows 101 to 300 of a review queue (an offset and a limit); blank years sort first, as text. o03_review_order has all."""
     year = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.date_format("o_orderdate", "yyyy"))
-    first = table(spark, sf_dir, "orders").withColumn("_year", year).orderBy("o_orderpriority", "o_custkey", "_year", F.lower("o_orderstatus"), "o_orderkey").limit(200)
+    first = table(spark, sf_dir, "orders").withColumn("_year", year).orderBy("o_orderpriority", "o_custkey", "_year", F.lower("o_orderstatus"), "o_orderkey").limit(300)
     order = Window.orderBy("o_orderpriority", "o_custkey", "_year", F.lower("o_orderstatus"), "o_orderkey")
-    return first.withColumn("place", F.row_number().over(order)).select("o_orderkey", "o_orderpriority", "place")
+    return first.withColumn("place", F.row_number().over(order)).where("place > 100").select("o_orderkey", "o_orderpriority", "place")
 
 
 @query("""SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_custkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE strftime(o_orderdate, '%Y') END, lower(o_orderstatus), o_orderkey) AS place FROM orders""")
-def o03_whole_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def o03_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-03, O-04, O-06: every row of a review queue with its place; blank years sort first, as text. Places are counted inside a priority and customer, after
     those of the priorities and customers before, so that only counts are ranked in one place."""
     year = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.date_format("o_orderdate", "yyyy"))

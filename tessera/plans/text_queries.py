@@ -110,12 +110,12 @@ def sc15_family_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.element_at("c", 1).alias("last"), F.element_at("c", 2).alias("two"), F.get(F.filter("c", lambda x: x.startswith("van ")), 0).alias("particle"))
 
 
-@query("""SELECT p_partkey, lower('Doe') AS comma, lower(split_part(p_name, ' ', 1)) AS plain FROM part""")
+@query("""SELECT p_partkey, lower(split_part(p_name, ' ', -1)) AS comma, lower(split_part(p_name, ' ', 1)) AS plain FROM part""")
 def sc16_dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC-16: family names of a dataset: before the comma, or before short initials."""
     parts = table(spark, sf_dir, "part")
     first = F.split("p_name", " ")[0]
-    return parts.select("p_partkey", X.dataset_family_name(F.concat(F.lit("Doe, "), F.col("p_name"))).alias("comma"), F.when(F.length(first) > 3, X.dataset_family_name(F.concat(first, F.lit(" JR")))).otherwise(F.lower(first)).alias("plain"))
+    return parts.select("p_partkey", X.dataset_family_name(F.concat(F.element_at(F.split("p_name", " "), -1), F.lit(", "), first)).alias("comma"), F.when(F.length(first) > 3, X.dataset_family_name(F.concat(first, F.lit(" JR")))).otherwise(F.lower(first)).alias("plain"))
 
 
 @query("SELECT p_partkey, lower(p_brand) AS short, 'https://openalex.org/' || p_brand AS full_id FROM part")
@@ -137,19 +137,58 @@ def sc23_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.links(table(spark, sf_dir, "pages"), ["page_id"], "html").select("page_id", "pos", "target")
 
 
-@query()
+@query(with_inputs(rf"""SELECT ref_id, 'pdf_link' AS clue_type, 'Report ' || ref_id AS clue_text, '/files/' || ref_id || '.PDF' AS href FROM refs
+  UNION ALL SELECT ref_id, 'doi', every, '' FROM (SELECT *, array_to_string(list_transform(regexp_extract_all(t, '(?i)\b10\.\d{{4,9}}/[^\s"<>]+'), lambda d: rtrim(d, '.,;:)')), '; ') AS every FROM texts) WHERE every <> ''
+  UNION ALL SELECT ref_id, 'reference_like', t, '' FROM texts WHERE regexp_matches(t, '(?i)\b10\.\d{{4,9}}/[^\s"<>]+') OR (regexp_matches(t, '\b(?:18|19|20)\d{{2}}\b') AND (({' OR '.join(f"contains(lower(t), '{w}')" for w in C.PAGE_KEYWORDS)})
+    OR regexp_matches(lower(t), '\bet al\.?\b') OR regexp_matches(lower(t), '\bvol\.?\s*\d+')))""", refs=CITATIONS_SQL, texts=r"SELECT ref_id, trim(regexp_replace(reference_text, '\s+', ' ', 'g')) AS t FROM refs WHERE length(trim(regexp_replace(reference_text, '\s+', ' ', 'g'))) >= 30"))
 def tx01_page_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-01, F-09: clues of pages (decoding references is beyond SQL)."""
-    return E.page_clues(table(spark, sf_dir, "pages"), ["page_id"], "html")
+    """TX-01, F-09: links to files, identifiers and reference-like blocks of pages, one made of each citation."""
+    html = F.concat(F.lit("<body><p class=x>"), "reference_text", F.lit("</p><li>too short</li><a class=f href='/files/"), F.col("ref_id").cast("string"), F.lit(".PDF'>Report <b>"), F.col("ref_id").cast("string"), F.lit("</b></a><a href='/other'>no</a></body>"))
+    return E.page_clues(citations(spark, sf_dir).select("ref_id", html.alias("html")), ["ref_id"], "html")
 
 
-@query()
+@query(r"""SELECT page_id, 'lecture' AS target_type, label, target_url FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target_url ORDER BY pos) AS nth FROM (
+  SELECT page_id, pos, trim(regexp_replace('Lecture ' || regexp_replace(label, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS label, regexp_extract(url, '^[a-z]+://[^/]+') || target AS target_url FROM (
+    SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a href="([^"]*)">(.*?)</a>', 1)) AS target, unnest(regexp_extract_all(html, '(?is)<a href="([^"]*)">(.*?)</a>', 2)) AS label, unnest(range(0, len(regexp_extract_all(html, '(?is)<a href="([^"]*)">(.*?)</a>', 1)))) AS pos FROM pages))) WHERE nth = 1""")
 def tx02_secondary_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-02, SC-22: links to known kinds of pages; every other link is labelled here so that kinds occur."""
+    """TX-02, SC-22: links to known kinds of pages; every link is labelled here so that kinds occur."""
     html = F.regexp_replace("html", r"(<a href=\"[^\"]*\">)", "$1Lecture ")
     return E.secondary_targets(table(spark, sf_dir, "pages").withColumn("html", html), ["page_id"], "html", "url")
 
 
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(html, '&', '+'), '(?i)<br\s*/?>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS said FROM pages")
+def sc09_plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-09: pages without character references as text."""
+    return table(spark, sf_dir, "pages").select("page_id", X.clean_html(F.replace("html", F.lit("&"), F.lit("+"))).alias("said"))
+
+
+@query(rf"""SELECT ref_id, {fold_sql(r"replace(replace(regexp_replace('Øre søk ' || reference_text || ' see https://x.example/Ab?c=' || ref_id || ' end', 'https?://[^\s]+', ' ', 'g'), 'ø', 'o'), 'Ø', 'o')")} AS folded FROM ({CITATIONS_SQL})""")
+def sc03_fold_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-03: texts folded without addresses, slashed letters spelled out."""
+    text = F.concat(F.lit("Øre søk "), "reference_text", F.lit(" see https://x.example/Ab?c="), F.col("ref_id").cast("string"), F.lit(" end"))
+    return citations(spark, sf_dir).select("ref_id", X.fold_without_urls(text).alias("folded"))
+
+
+@query(f"SELECT doc_id, trim({fold_sql('text')} || ' fin 1 2 x2') AS folded FROM documents")
+def sc01_fold_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-01: folding with ligatures, fractions and raised digits taken apart."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.fold_exact(F.concat(F.coalesce("text", F.lit("")), F.lit(" ﬁn ½ x²"))).alias("folded"))
+
+
+@query(r"SELECT doc_id, substr(regexp_replace(trim(regexp_replace(text || ' 12 (34) ', '\s+', ' ', 'g')), '\s+\d{1,3}\s*\(\d{1,3}\)\s*$', ''), 1, 1200) AS clipped FROM documents")
+def sc12_unstamped_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-12: texts without their page stamp, clipped to 1,200 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.unstamped(F.concat("text", F.lit(" 12 (34) ")), 1200).alias("clipped"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS raw_title FROM pages")
+def sc10_title_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-10: titles out of the bytes of pages, half of them in Latin-1."""
+    content = F.when(F.col("page_id") % 2 == 0, F.encode("html", "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
+    raw = F.regexp_replace(F.regexp_extract(X.page_text(content), r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]+>", " ")
+    return table(spark, sf_dir, "pages").select("page_id", X.squeezed(raw).alias("raw_title"))
+
+
 LINES_SQL = r"""SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(range(0, len(l)::BIGINT)) AS line_no, unnest(list_transform(l, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE length(line) >= 20"""
 
@@ -176,14 +215,10 @@ def tx04_reference_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("record_id").agg(F.count("*").alias("items"), F.sum(F.length("reference_text")).alias("chars"))
 
 
-def words_pattern(words: list[str]) -> str:
-    return r"(?i)\b(?:" + "|".join(words) + r")\b"
-
-
 R01_SQL = rf"""SELECT *, CASE WHEN doi <> '' THEN 'doi_present' WHEN book AND NOT journal THEN 'book_or_chapter' WHEN journal AND len(ys) > 0 AND ys[1] < 1945 THEN 'historical_nonindexed_reference'
   WHEN journal AND len(ys) > 0 THEN 'likely_journal_article' ELSE 'needs_manual_review' END AS reference_class FROM (
   SELECT ref_id, pdf_type, record_id, reference_text, lower(rtrim({DOI_SQL}, '.,;:)')) AS doi, list_sort(list_distinct(list_transform(regexp_extract_all(reference_text, '\b(?:18|19|20)\d{{2}}\b'), lambda y: y::INT))) AS ys,
-  regexp_matches(reference_text, '{words_pattern(C.BOOK_WORDS)}') AS book, regexp_matches(reference_text, '{words_pattern(C.JOURNAL_WORDS)}') OR regexp_matches(reference_text, '\b\d{{1,4}}\s*[:;,]\s*[A-Z]?\d{{1,5}}\b') AS journal
+  regexp_matches(reference_text, '{C.BOOK_HINT}') AS book, regexp_matches(reference_text, '{C.JOURNAL_HINT}') OR regexp_matches(reference_text, '\b\d{{1,4}}\s*[:;,]\s*[A-Z]?\d{{1,5}}\b') AS journal
   FROM (SELECT * REPLACE (regexp_replace(trim(regexp_replace(reference_text, '\s+', ' ', 'g')), '\s+\d{{1,3}}\s*\(\d{{1,3}}\)\s*$', '') AS reference_text) FROM refs))"""
 
 
@@ -250,31 +285,11 @@ def j03_name_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.name_linkage(left, right, ["nation"], "full_name", "dataset_name").select("c_custkey", "s_suppkey")
 
 
-BEST_SQL = rf"""SELECT item_id, doc_id, containment, CASE WHEN containment >= 0.75 THEN 'A' WHEN containment >= 0.6 THEN 'B' WHEN containment >= 0.45 THEN 'C' ELSE 'D' END AS confidence FROM (
-  SELECT item_id, doc_id, containment, row_number() OVER (PARTITION BY item_id ORDER BY containment DESC, doc_id) AS place FROM (
-    SELECT b.item_id, d.doc_id, len(list_intersect(b.t, d.t)) / len(b.t) AS containment FROM b JOIN d ON len(list_intersect(b.t, d.t)) > 0
-      JOIN (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, unnest(t) AS token FROM b) x JOIN (SELECT doc_id, unnest(t) AS token FROM d) y USING (token) WHERE token IN (SELECT token FROM (SELECT unnest(t) AS token FROM d) GROUP BY 1 HAVING count(*) <= 20)) c
-      ON c.item_id = b.item_id AND c.doc_id = d.doc_id WHERE len(b.t) > 0)) WHERE place = 1"""
-
-
-@query(with_inputs(BEST_SQL, b=f"SELECT item_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM benchmark", d=f"SELECT doc_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM documents"))
-def j13_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-13, S-05, R-13: the document that holds most of each item's tokens, among those that share a rare one; j13_best_of_all_documents knows no rare ones."""
-    tokens = lambda c: X.match_tokens(X.fold(F.col(c)))
-    items = table(spark, sf_dir, "benchmark").select("item_id", tokens("text").alias("bt"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("dt"))
-    pairs = M.token_candidates(items, "item_id", "bt", docs, "doc_id", "dt", most=20)
-    scored = pairs.join(items, "item_id").join(docs, "doc_id").select("item_id", "doc_id", M.containment(F.col("bt"), F.col("dt")).alias("containment"))
-    best = M.best_per(scored, ["item_id"], "containment", ["doc_id"])
-    confidence = F.when(F.col("containment") >= 0.75, "A").when(F.col("containment") >= 0.6, "B").when(F.col("containment") >= 0.45, "C").otherwise("D")
-    return best.withColumn("confidence", confidence)
-
-
 @query(with_inputs("""SELECT item_id, doc_id, containment, CASE WHEN containment >= 0.75 THEN 'A' WHEN containment >= 0.6 THEN 'B' WHEN containment >= 0.45 THEN 'C' ELSE 'D' END AS confidence FROM (
   SELECT item_id, doc_id, containment, row_number() OVER (PARTITION BY item_id ORDER BY containment DESC, doc_id) AS place FROM (
     SELECT b.item_id, d.doc_id, len(list_intersect(b.t, d.t)) / len(b.t) AS containment FROM b JOIN d ON len(list_intersect(b.t, d.t)) > 0)) WHERE place = 1""",
     b=f"SELECT item_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM benchmark", d=f"SELECT doc_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM documents"))
-def j13_best_of_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j13_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-13, S-05, R-13: the document that holds most of each item's tokens, among all that share any."""
     tokens = lambda c: X.match_tokens(X.fold(F.col(c)))
     items = table(spark, sf_dir, "benchmark").select("item_id", tokens("text").alias("bt"))
@@ -311,19 +326,28 @@ def j14_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cascade(rows, "key", first, second, ["name"]).select("o_orderkey", "match_status", "name")
 
 
-@query()
+NAMED_SQL = r"(?:Phys\.|Physical Review|Nature|Science|Cell|Lancet|PNAS|Proc\.|Rev\.)"
+TITLES_SQL = " || ".join(f"regexp_extract_all(t, '{p}{NAMED_SQL}', 1)" for p in (r"\),\s*([^,]{25,220}?),\s*", r"\.\s*([^\.]{25,220}?)\.\s*", r"\.\s*([^\.]{25,220}?),\s*"))
+
+
+@query(with_inputs(f"""SELECT ref_id, list_filter(found, lambda q, i: list_position(found, q) = i)[1:4] AS queries FROM (
+  SELECT ref_id, list_filter(list_transform({TITLES_SQL}, lambda q: trim(q, ' .,;:')), lambda q: len(list_distinct({words_sql(fold_sql("replace(replace(q, 'ø', 'o'), 'Ø', 'o')"), 3, X.GAP_MATCH_STOP, False)})) >= 4) || [t] AS found
+  FROM (SELECT ref_id, trim(regexp_replace(reference_text, '\\s+', ' ', 'g')) AS t FROM cited))""", refs=CITATIONS_SQL,
+    cited=r"SELECT ref_id, 'Smith (ed.), A study of ' || title || ' and its many uses, Nature ' || reference_text || '. On ' || title || ' in several large rooms. Science 3' AS reference_text FROM refs"))
 def sc18_candidate_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC-18: searches for citations (lazy patterns with context are tested against brute force)."""
-    return citations(spark, sf_dir).select("ref_id", M.candidate_queries(F.col("reference_text")).alias("queries"))
+    """SC-18: searches for citations, put into sentences whose titles the patterns find."""
+    text = F.concat(F.lit("Smith (ed.), A study of "), "title", F.lit(" and its many uses, Nature "), "reference_text", F.lit(". On "), "title", F.lit(" in several large rooms. Science 3"))
+    return citations(spark, sf_dir).select("ref_id", M.candidate_queries(text).alias("queries"))
 
 
 @query(with_inputs(f"""SELECT doc_id, line, score, place FROM (SELECT doc_id, line, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(line), line_no) AS place FROM (
   SELECT doc_id, line_no, line, len(list_intersect(list_distinct({words_sql(fold_sql('line'), 4, X.ALIGNMENT_STOP, True)}), t)) + CASE WHEN line_no = 0 THEN 1 ELSE 0 END AS score
-  FROM lines JOIN (SELECT doc_id, list_distinct({words_sql(fold_sql('substr(text, 1, 200)'), 4, X.ALIGNMENT_STOP, True)}) AS t FROM documents) USING (doc_id))) WHERE place <= 3""", lines=LINES_SQL))
+  FROM lines JOIN (SELECT doc_id, list_distinct({words_sql(fold_sql('context'), 4, X.ALIGNMENT_STOP, True)}) AS t FROM (SELECT doc_id, b.text AS context FROM documents JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark))) USING (doc_id))) WHERE place <= 3""", lines=LINES_SQL))
 def w12_top_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W-12, S-06: the three lines of each document that share most terms with its beginning."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = docs.select("doc_id", F.array_distinct(X.alignment_tokens(X.fold(F.substring("text", 1, 200)))).alias("terms"))
+    """W-12, S-06: the three lines of each document that share most terms with a context of its own, here one of the benchmark's texts."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    contexts = items.select("item_id", F.array_distinct(X.alignment_tokens(X.fold(F.col("text")))).alias("terms"))
+    terms = docs.select("doc_id").join(contexts, F.col("doc_id") % items.count() == F.col("item_id")).select("doc_id", "terms")
     lines = E.lines(docs, ["doc_id"], "text").join(terms, "doc_id")
     return E.top_snippets(lines, "doc_id", "line", "terms", F.col("line_no") == 0, "line_no").select("doc_id", "line", "score", "place")
 
@@ -342,32 +366,29 @@ def src04_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.substring(F.sha2("props", 256), 1, 24).alias("cache_key"))
 
 
+@query("""SELECT c_custkey::VARCHAR AS laureate_id, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_name END, 'known ' || c_custkey) AS full_name, (1901 + n_nationkey)::VARCHAR AS award_year, CASE n_nationkey % 3 WHEN 0 THEN 'Physics' ELSE 'Chemistry' END AS category,
+  CASE WHEN c_custkey % 4 > 0 THEN 'first ' || c_custkey END AS affiliation_name, CASE WHEN c_custkey % 4 > 0 THEN n_name END AS affiliation_country, CASE WHEN c_custkey % 5 > 0 THEN 'https://x.example/' || c_custkey END AS nobel_url
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 < 2""")
+def src04_prize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04, F-01, J-02, J-20: prizes with their laureates, as nested payloads, flattened to one row a prize and laureate with the first affiliation and the external link."""
+    key, en = F.col("c_custkey").cast("string"), lambda c: F.struct(c.alias("en"))
+    place = lambda n: F.struct(en(F.concat(F.lit(n), key)).alias("name"), en(F.col("n_name")).alias("country"))
+    links = F.array(F.struct(F.lit("self").alias("rel"), F.lit("https://api.example").alias("href")), F.struct(F.when(F.col("c_custkey") % 5 > 0, "external").otherwise("other").alias("rel"), F.concat(F.lit("https://x.example/"), key).alias("href")))
+    laureate = F.struct(
+        key.alias("id"), F.when(F.col("c_custkey") % 3 > 0, en(F.col("c_name"))).alias("fullName"), en(F.concat(F.lit("known "), key)).alias("knownName"),
+        F.when(F.col("c_custkey") % 4 > 0, F.array(place("first "), place("second "))).alias("affiliations"), links.alias("links"),
+    )
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(F.collect_list(laureate).alias("laureates"))
+    category = F.element_at(F.array(F.lit("Physics"), F.lit("Chemistry"), F.lit("Peace")), F.col("n_nationkey") % 3 + 1)
+    prize = F.struct((1901 + F.col("n_nationkey")).cast("string").alias("awardYear"), en(category).alias("category"), "laureates")
+    payloads = nations.select(F.to_json(F.struct(F.array(prize).alias("nobelPrizes"))).alias("value"))
+    return S.prize_rows(payloads, ["Physics", "Chemistry"]).select("laureate_id", "full_name", "award_year", "category", "affiliation_name", "affiliation_country", "nobel_url")
 
 
 def token_list_sql(x: str) -> str:
     return f"list_distinct({words_sql(fold_sql(x), 3, X.MATCH_STOP, False)})"
 
 
-@query(with_inputs("""SELECT ref_id, pos, work_id, score, confidence FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY pos) AS k FROM (
-    SELECT *, CASE WHEN title >= 0.75 AND y THEN 'A' WHEN title >= 0.6 AND y THEN 'B' WHEN score >= 65 AND y THEN 'C' END AS confidence FROM (
-      SELECT *, row_number() OVER (PARTITION BY ref_id, pos ORDER BY score DESC, work_id) AS place FROM (
-        SELECT ref_id, pos, work_id, title, y, 10.0 + CASE WHEN y THEN 20.0 ELSE 0 END + 70 * title + CASE WHEN src >= 0.5 THEN 10.0 ELSE 0 END AS score FROM (
-          SELECT q.ref_id, q.pos, w.work_id, w.wy = q.cited_year AS y, CASE WHEN len(wt) > 0 THEN len(list_intersect(wt, rt)) / len(wt) ELSE 0 END AS title, CASE WHEN len(ws) > 0 THEN len(list_intersect(ws, rt)) / len(ws) ELSE 0 END AS src
-          FROM (SELECT DISTINCT ref_id, pos, work_id FROM (SELECT ref_id, pos, unnest(qt) AS token FROM q) a JOIN (SELECT work_id, unnest(wt) AS token FROM w) b USING (token) WHERE token IN (SELECT token FROM (SELECT unnest(wt) AS token FROM w) GROUP BY 1 HAVING count(*) <= 30)) c
-          JOIN q USING (ref_id, pos) JOIN w USING (work_id)))) WHERE place = 1) WHERE confidence IS NOT NULL) WHERE k = 1""",
-    refs=CITATIONS_SQL,
-    w=f"SELECT p_partkey AS work_id, {token_list_sql("p_name || ' item' || p_partkey")} AS wt, {token_list_sql('p_brand')} AS ws, 1900 + p_partkey % 125 AS wy FROM part WHERE p_partkey % 4 < 2",
-    q=f"SELECT ref_id, 0 AS pos, cited_year, {token_list_sql("title || ' item' || ref_id")} AS qt, {token_list_sql("reference_text || ' item' || ref_id")} AS rt FROM refs UNION ALL SELECT ref_id, 1, cited_year, {token_list_sql("reference_text || ' item' || ref_id")}, {token_list_sql("reference_text || ' item' || ref_id")} FROM refs"))
-def j15_search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-15, S-02, S-03: the first search with an acceptable hit over half of the works and rare tokens alone; j15_search_all_works does the whole job."""
-    tokens = lambda c, key=None: X.match_tokens(X.fold(F.concat(c, F.lit(" item"), F.col(key).cast("string")) if key else F.col(c)))
-    refs = citations(spark, sf_dir).select("ref_id", F.array(F.col("cited_year").cast("long")).alias("years"), tokens("reference_text", "ref_id").alias("ref_tokens"), F.array(tokens("title", "ref_id"), tokens("reference_text", "ref_id")).alias("q"))
-    queries = refs.select("ref_id", "years", "ref_tokens", F.posexplode("q").alias("pos", "query_tokens"))
-    parts = table(spark, sf_dir, "part").where("p_partkey % 4 < 2")
-    works = parts.select(F.col("p_partkey").alias("work_id"), tokens("p_name", "p_partkey").alias("title_tokens"), tokens("p_brand").alias("source_tokens"), (1900 + F.col("p_partkey") % 125).alias("year"), F.lit(True).alias("article"))
-    return M.search_cascade(queries, works, most=30)
-
-
 @query(with_inputs("""SELECT ref_id, pos, work_id, score, confidence FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY pos) AS k FROM (
     SELECT *, CASE WHEN title >= 0.75 AND y THEN 'A' WHEN title >= 0.6 AND y THEN 'B' WHEN score >= 65 AND y THEN 'C' END AS confidence FROM (
       SELECT *, row_number() OVER (PARTITION BY ref_id, pos ORDER BY score DESC, work_id) AS place FROM (
@@ -377,7 +398,7 @@ def j15_search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs=CITATIONS_SQL,
     w=f"SELECT p_partkey AS work_id, {token_list_sql("p_name")} AS wt, {token_list_sql('p_brand')} AS ws, 1900 + p_partkey * 7 % 125 AS wy FROM part",
     q=f"SELECT ref_id, 0 AS pos, cited_year, {token_list_sql("title")} AS qt, {token_list_sql("reference_text")} AS rt FROM refs UNION ALL SELECT ref_id, 1, cited_year, {token_list_sql("reference_text")}, {token_list_sql("reference_text")} FROM refs"))
-def j15_search_all_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j15_search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-15, S-02, S-03: the first search of each citation with an acceptable hit among all works, titles before whole texts; years are derived, so that searches miss."""
     tokens = lambda c: X.match_tokens(X.fold(F.col(c)))
     refs = citations(spark, sf_dir).select("ref_id", F.array(F.col("cited_year").cast("long")).alias("years"), tokens("reference_text").alias("ref_tokens"), F.array(tokens("title"), tokens("reference_text")).alias("q"))
@@ -387,15 +408,8 @@ def j15_search_all_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.search_cascade(queries, works)
 
 
-@query(with_inputs("SELECT record_id, ref_id, place FROM (SELECT record_id, ref_id, row_number() OVER (PARTITION BY record_id ORDER BY (ref_id * 7919) % 31 DESC, ref_id) AS place FROM refs) WHERE place <= 3", refs=CITATIONS_SQL))
-def o05_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-05: the first three references of each record by falling score, then id; o05_whole_gap_ranking has all."""
-    order = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "ref_id")
-    return citations(spark, sf_dir).withColumn("score", F.col("ref_id") * 7919 % 31).withColumn("place", F.row_number().over(order)).where("place <= 3").select("record_id", "ref_id", "place")
-
-
 @query(with_inputs("SELECT record_id, ref_id, row_number() OVER (PARTITION BY record_id ORDER BY (ref_id * 7919) % 31 DESC, ref_id) AS place FROM refs", refs=CITATIONS_SQL))
-def o05_whole_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def o05_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-05: all references of each record by falling score, then id."""
     order = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "ref_id")
     return citations(spark, sf_dir).withColumn("score", F.col("ref_id") * 7919 % 31).select("record_id", "ref_id", F.row_number().over(order).alias("place"))

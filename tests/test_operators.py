@@ -114,6 +114,8 @@ def test_cascade_and_containment(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, ""), (4, None), (5, "z")], "id int, k string")
     first, second = (spark.createDataFrame(x, "k string, v string") for x in ([("a", "1")], [("a", "2"), ("b", "2")]))
     assert {r.id: (r.v, r.match_status) for r in M.cascade(rows, "k", first, second, ["v"]).collect()} == {1: ("1", "matched_first"), 2: ("2", "matched_second"), 3: (None, "no_match"), 4: (None, "no_match"), 5: (None, "no_match")}
+    twice = spark.createDataFrame([("a", "9", 2), ("a", "8", 3), ("a", "7", 1)] * 3, "k string, v string, at int").repartition(5)
+    assert {r.id: r.v for r in M.cascade(rows, "k", twice, second.withColumn("at", F.lit(0)), ["v"], ["at"]).collect()}[1] == "7" == {r.id: r.v for r in M.cascade(rows, "k", twice, second, ["v"]).collect()}[1]
     sets = spark.createDataFrame([(["a", "b"], ["b"]), ([], ["b"])], "a array<string>, b array<string>")
     assert [r[0] for r in sets.select(M.containment(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0]
 
@@ -130,6 +132,12 @@ def test_files(spark, tmp_path):
     assert sinks.copy_if_needed(str(tmp_path / "a.tab"), str(tmp_path / "d/b.tab")) and not sinks.copy_if_needed(str(tmp_path / "a.tab"), str(tmp_path / "d/b.tab"))
     (tmp_path / "p.bin").write_bytes(b"one\fb\xffd")
     assert readers.documents(spark, [str(tmp_path / "p.bin")]).first().text == "one\fb�d"
+    rng = random.Random(1)
+    broken = [bytes(rng.choice([0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF]) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    for k, raw in enumerate(broken):
+        (tmp_path / f"raw{k:03d}.bin").write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in readers.documents(spark, [f"{tmp_path}/raw*.bin"]).collect()}
+    assert [got[f"raw{k:03d}.bin"] for k in range(400)] == [raw.decode("utf-8", "replace") for raw in broken]
     pages = readers.document_pages(spark, [str(tmp_path / "p.bin"), str(tmp_path / "a.tab")], lambda raw: raw.decode("ascii").split("\f") if b"Name" not in raw else 1 / 0)
     assert {r.error for r in pages.collect()} and pages.count() == 2
 

@@ -48,8 +48,7 @@ def test_shared_tokens_of_frequent_tokens(spark):
     left, right = spark.createDataFrame(items, schema.format("item_id", "bt")), spark.createDataFrame(docs, schema.format("doc_id", "dt"))
     got = sorted(map(tuple, M.shared_tokens(left, "item_id", "bt", right, "doc_id", "dt").collect()))
     assert got == sorted((i, d, len(set(b) & set(t))) for i, b in items for d, t in docs if set(b) & set(t))
-    found = M.token_candidates(left, "item_id", "bt", right, "doc_id", "dt", most=20)
-    assert found.count() == 0 and len(got) > 60
+    assert len(got) > 60
 
 
 def test_best_document_of_an_item_without_rare_tokens(spark, tmp_path):
@@ -58,4 +57,4 @@ def test_best_document_of_an_item_without_rare_tokens(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = [(k, "alpha delta") for k in range(25)] + [(30 + k, "alpha beta gamma") for k in range(25)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(r) for r in T.j13_best_of_all_documents(spark, str(tmp_path)).collect()] == [(1, 30, 1.0, "A")]
+    assert [tuple(r) for r in T.j13_best_document(spark, str(tmp_path)).collect()] == [(1, 30, 1.0, "A")]
