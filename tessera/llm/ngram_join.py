@@ -34,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import bound_batches, discard, stored, unused
 from .components import components
@@ -342,10 +341,12 @@ def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", wor
     table = stored(nodes_of(docs, frequent_tokens(docs, words), words, percent), "shingle-nodes")
 
     posted = table.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    of_token = Window.partitionBy("token")
-    several = F.min("node").over(of_token) != F.max("node").over(of_token)
-    cleanest = F.min(F.struct("pos", "node", "n")).over(of_token)
-    live = stored(posted.withColumn("several", several).withColumn("first", cleanest).where("several").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.pos").cast("long").alias("pivot_pos")), "shingle-lists")
+    # Lists are told by an aggregate, stored, and a join, which can split the postings of one token; a window over them could not.
+    cleanest = F.min(F.struct("pos", "node", "n")).alias("first")
+    lists = stored(posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), cleanest).where("low != high").select("token", "first"), "shingle-tokens")
+    pivots = [F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.pos").cast("long").alias("pivot_pos")]
+    live = stored(posted.join(lists, "token").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), *pivots), "shingle-lists")
+    discard(lists)
     texts = docs.select("row", "text")
     nodes = stored(table.where("prefix is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity")), "shingle-sets")
     # Here a pair may be left out: lists that still hold several components are searched in full below.
@@ -357,14 +358,17 @@ def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", wor
     discard(stars)
     grown = components(first)
 
-    labelled = live.join(grown, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "n", "pos", "component").distinct()
-    open_lists = labelled.withColumn("several", F.min("component").over(of_token) != F.max("component").over(of_token)).withColumn("size", F.count("*").over(of_token)).where("several")
+    labelled = stored(live.join(grown, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "n", "pos", "component").distinct(), "shingle-labelled")
+    discard(live)
+    sizes = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    still = stored(sizes.where("low != high").select("token", "size"), "shingle-open")
+    open_lists = labelled.join(still, "token")
     blocks = F.ceil(F.col("size") / LIST_ROWS).cast("long")
     blocked = open_lists.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     blocked = blocked.withColumn("block_a", F.least("block", "with")).withColumn("block_b", F.greatest("block", "with")).join(nodes.select("node", "parity"), "node")
     dealt = blocked.repartition("token", "block_a", "block_b").sortWithinPartitions("token", "block_a", "block_b", "pos", "node")
     late = stored(cross_pairs(dealt.select("token", "block_a", "block_b", "block", "node", "n", "pos", "component", "parity"), percent), "shingle-pairs")
-    discard(live)
+    discard(labelled, still)
     last = linked(late, texts, nodes, words, percent, merge=False)
     final = components(first.unionByName(last))
     discard(late, nodes, first, last)
@@ -387,11 +391,13 @@ def representatives(df: DataFrame, row_id: str = "doc_id", text: str = "text", w
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "row", "h")).alias("first")
     chosen = rows.where("component is not null").groupBy("component").agg(first).select(F.col("first.row").alias("_row"), F.col("first.h").alias("_h"))
     solid = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    row, h, nth = unused(df, "_row", "_h", "_nth")
+    row, h = unused(df, "_row", "_h")
     own = [c.alias(n) for c, n in zip(_keyed(df, row_id, text), (row, h), strict=True)]
     kept = df.where(solid).select("*", *own).join(chosen.withColumnsRenamed({"_row": row, "_h": h}), [row, h])
-    once = kept.withColumn(nth, F.row_number().over(Window.partitionBy(row, h).orderBy(F.lit(0)))).where(F.col(nth) == 1)
-    return once.select(*df.columns).unionByName(df.where(~solid))
+    # Of rows alike in id and text, the one of the least hash: repeats collapse before they are shuffled.
+    whole = F.struct(*(F.col(c) for c in df.columns))
+    once = kept.groupBy(row, h).agg(F.min_by(whole, F.xxhash64(whole)).alias("one")).select("one.*")
+    return once.unionByName(df.where(~solid))
 
 
 #: The same components in DuckDB SQL, over all pairs that share a shingle.
