@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K, SCALE = 20, 64
-SHARD_ROWS, QUERY_ROWS, STRIDE = 16_384, 2_048, 4_096
+#: Rows of a shard and of a query block at most, of the steps in which a shard is searched. Smaller inputs are dealt over all cores, in shards of a step or more.
+SHARD_ROWS, QUERY_ROWS, STRIDE = 65_536, 8_192, 4_096
 
 
 def integers(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -87,7 +88,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: in
     width_of = F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")
     n, width = candidates.agg(F.count("*"), width_of).first()
     n_queries, query_width = queries.agg(F.count("*"), width_of).first()
-    shards, blocks, width = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows)), max(1, width, query_width)
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    shards, blocks, width = max(1, -(-n // shard_rows), min(cores, n // STRIDE)), max(1, -(-n_queries // query_rows)), max(1, width, query_width)
     shard, block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
     left = candidates.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     right = queries.distinct().withColumn("key", F.xxhash64("v")).withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
