@@ -9,7 +9,8 @@ a seeded order until the target is reached. That order is cut into hash buckets:
 bucket totals, so that only the one bucket at the border is ordered row by row, and a hot source is never in one task.
 
 Cases: null and empty texts have size 0 and a null source is a source of its own, last in order; sources without words get a
-target of 0; an empty table gives an empty result; rows with equal ids are rows of their own; further columns are kept.
+target of 0; an empty table gives an empty result; rows with equal ids are rows of their own; rows without an id are placed by
+their size; very long texts count whole; further columns are kept, but columns named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def seeded_order(row_id: Column, seed: str) -> Column:
-    """A 32-bit position from the id, alike in every run."""
-    key = F.concat(F.lit(seed + ":"), F.coalesce(row_id.cast("string"), F.lit("")))
+def seeded_order(row_id: Column, size: Column, seed: str) -> Column:
+    """A 32-bit position from the id, or from the size where there is none, alike in every run."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(row_id.cast("string"), F.concat(F.lit("n"), size.cast("string")), F.lit("")))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
@@ -53,7 +54,7 @@ def targets(sized: DataFrame, source: str = "source", size: str = "size", weight
 
 def mix(df: DataFrame, row_id: str = "doc_id", source: str = "source", size: str = "size", weights: tuple = WEIGHTS, epochs: float = EPOCHS, share: float = SHARE, seed: str = SEED) -> DataFrame:
     """Adds source_size, target and repeats (times the mix takes the row) to a frame with a size column."""
-    keyed = df.withColumn("_mix_at", seeded_order(F.col(row_id), seed))
+    keyed = df.withColumn("_mix_at", seeded_order(F.col(row_id), F.col(size), seed))
     keyed = keyed.withColumn("_mix_bucket", F.shiftright("_mix_at", BUCKET_BITS))
     sums = keyed.groupBy(F.col(source).alias("_mix_source"), "_mix_bucket").agg(F.sum(size).alias("_mix_sum"))
     goal = targets(df, source, size, weights, epochs, share).withColumnRenamed("source", "_mix_goal")
@@ -88,7 +89,7 @@ def repeated(mixed: DataFrame) -> DataFrame:
 ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         CAST('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, {HASH_DIGITS}) AS BIGINT) AS place
+         CAST('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'n' || len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')))), 1, {HASH_DIGITS}) AS BIGINT) AS place
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 caps AS (

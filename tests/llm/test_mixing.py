@@ -50,6 +50,13 @@ def test_repeats_meet_targets(spark):
     assert mixing.repeated(mixing.mix(df)).count() == sum(r.repeats for r in got)
 
 
+def test_rows_without_ids_are_spread(spark):
+    df = spark.createDataFrame([(None, "s0", 1 + k % 300) for k in range(3000)] + [(k, "s1", 5) for k in range(2000)], "doc_id long, source string, size long")
+    places = df.where("doc_id is null").select(F.shiftright(mixing.seeded_order(F.col("doc_id"), F.col("size"), mixing.SEED), mixing.BUCKET_BITS)).distinct().count()
+    taken = {r.source: (r.n, r.target) for r in mixing.mix(df).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("repeats")).alias("n")).collect()}
+    assert places > 200 and all(abs(n - target) <= 300 for n, target in taken.values())
+
+
 def test_words_and_edges(spark, docs):
     for r in docs.withColumn("size", mixing.n_words(F.col("text"))).collect():
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
