@@ -86,6 +86,13 @@ def discard(*tables: DataFrame) -> None:
         _delete(made.sparkSession, made.stored_at)
 
 
+def discard_since(spark: SparkSession, mark: int, kept: DataFrame) -> None:
+    """Deletes the intermediate tables made since MADE had `mark` entries, but one."""
+    for path in [p for p in MADE[mark:] if p != kept.stored_at]:
+        MADE.remove(path)
+        _delete(spark, path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes a frame as a Parquet table in the shared folder and reads it back: lineage ends here, lost executors cost nothing above it.
 
