@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, mixing, ngram_join, piece_codec, suffix_dedup
-from tessera.llm.common import stored, table
+from tessera.llm.common import MADE, discard_since, stored, table
 
 
 #: Passages of more words than this that occur elsewhere are cut; strings of so many bytes hold them, if their words have three letters.
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order. Each stage's rows are a table for the next one; what it was made of is deleted."""
     docs = table(spark, sf_dir, "documents")
+    mark = len(MADE)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard_since(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
