@@ -41,3 +41,23 @@ def snk12_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = segments.agg(F.sum("customers").alias("customers"), F.count("*").alias("segments")).first().asDict()
     put(spark, path, sinks.markdown("Customers", metrics, {"By segment": segments}).encode())
     return spark.createDataFrame([(get(spark, path).decode(),)], "report string")
+
+
+@query("SELECT nth - 1 AS bar, n * 200 // max(n) OVER () AS height FROM (SELECT row_number() OVER (ORDER BY year(o_orderdate)) AS nth, count(*) AS n FROM orders GROUP BY year(o_orderdate))")
+def snk10_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-10: orders by year as a bar chart, its bars read off the image."""
+    path = scratch(spark, "figure") + ".png"
+    years = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("yr")).agg(F.count("*").alias("n")).orderBy("yr")
+    put(spark, path, sinks.bar_chart([n for _, n in sinks.report_rows(years, 1000)]))
+    return spark.createDataFrame(list(enumerate(sinks.bar_heights(get(spark, path)))), "bar long, height long")
+
+
+@query("SELECT * FROM (VALUES (1, true, 5), (2, false, 5), (3, true, 9)) AS t(attempt, copied, size)")
+def snk07_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-07: a file is copied where it is missing or its size differs."""
+    source, target = scratch(spark, "source"), scratch(spark, "target")
+    out = []
+    for attempt, body in enumerate((b"first", b"other", b"nine more"), 1):
+        put(spark, source, body)
+        out.append((attempt, sinks.copy_between(spark, source, target), len(get(spark, target))))
+    return spark.createDataFrame(out, "attempt int, copied boolean, size int")
