@@ -93,16 +93,17 @@ def discard_since(spark: SparkSession, mark: int, kept: DataFrame) -> None:
         _delete(spark, path)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, parts: int | None = None) -> DataFrame:
     """Writes a frame as a Parquet table in the shared folder and reads it back: lineage ends here, lost executors cost nothing above it.
 
+    parts: the most files it is written in, for tables whose size is known not to need more.
     The write's shuffle files go as soon as it ends, where this Spark can do that."""
     spark = df.sparkSession
     path, cleanup = fresh_dir(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     made = spark.read.schema(df.schema).parquet(path)

@@ -43,6 +43,8 @@ WORDS, PERCENT = 4, 85
 SAMPLE_OF, SAMPLE_DOCS, SAMPLE_LEAST, FREQUENT = 64, 20_000, 3, 50_000
 #: Nodes of a block of a list, of a block of a search; nodes that a task remembers as posted; pairs held before they are passed on.
 LIST_ROWS, BLOCK_ROWS, SEEN, HELD = 2_048, 256, 500_000, 50_000
+#: Documents for each file of the tables made of them, at least: small inputs in many partitions are kept in few files.
+PART_DOCS = 4_000
 U64 = np.uint64
 _rng = np.random.default_rng(20)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -210,16 +212,16 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int =
     return sorted(found)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int, merge: bool) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int, merge: bool, parts: int) -> DataFrame:
     """The pairs (a, b) that link, stored: each a's set against the sets of its b, in blocks. Every node's text is fetched once and its set sent where it is needed.
 
-    merge: whether the nodes asked for may be many, so that texts are joined by a shuffle; else Spark decides by the size of their table."""
+    parts: the most files of its tables. merge: whether the nodes asked for may be many, so that texts are joined by a shuffle; else Spark decides by the size of their table."""
     per = pairs.groupBy("a").agg(F.count("*").alias("_of"))
-    salted = stored(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_of") / BLOCK_ROWS)).cast("long").alias("salt")), "shingle-blocks")
+    salted = stored(pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("_of") / BLOCK_ROWS)).cast("long").alias("salt")), "shingle-blocks", parts)
     asked = salted.select(F.col("a").alias("node"), "a", "salt", F.lit(True).alias("query")).distinct()
     roles = asked.unionByName(salted.select(F.col("b").alias("node"), "a", "salt", F.lit(False).alias("query")))
     wanted = roles.groupBy("node").agg(F.collect_list(F.struct("a", "salt", "query")).alias("roles")).join(nodes.select("node", "row"), "node")
-    wanted = stored(wanted.select("node", "row", "roles"), "shingle-wanted")
+    wanted = stored(wanted.select("node", "row", "roles"), "shingle-wanted", parts)
     schema = "a long, salt long, query boolean, node long, tokens binary"
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +246,7 @@ def linked(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, per
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
     joined = texts.join(wanted.hint("merge") if merge else wanted, "row").select("node", "text", "roles")
-    found = stored(joined.mapInArrow(sets, schema).groupBy("a", "salt").applyInArrow(search, "a long, b long"), "shingle-links")
+    found = stored(joined.mapInArrow(sets, schema).groupBy("a", "salt").applyInArrow(search, "a long, b long"), "shingle-links", parts)
     discard(salted, wanted)
     return found
 
@@ -339,37 +341,38 @@ def labelled_rows(df: DataFrame, row_id: str = "doc_id", text: str = "text", wor
     bound_batches(df.sparkSession)
     docs = df.select(*_keyed(df, row_id, text), F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     table = stored(nodes_of(docs, frequent_tokens(docs, words), words, percent), "shingle-nodes")
+    parts = 1 + table.count() // PART_DOCS
 
     posted = table.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     # Lists are told by an aggregate, stored, and a join, which can split the postings of one token; a window over them could not.
     cleanest = F.min(F.struct("pos", "node", "n")).alias("first")
-    lists = stored(posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), cleanest).where("low != high").select("token", "first"), "shingle-tokens")
+    lists = stored(posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), cleanest).where("low != high").select("token", "first"), "shingle-tokens", parts)
     pivots = [F.col("first.node").alias("pivot"), F.col("first.n").alias("pivot_n"), F.col("first.pos").cast("long").alias("pivot_pos")]
-    live = stored(posted.join(lists, "token").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), *pivots), "shingle-lists")
+    live = stored(posted.join(lists, "token").select("token", "node", "n", F.col("pos").cast("long").alias("pos"), *pivots), "shingle-lists", parts)
     discard(lists)
     texts = docs.select("row", "text")
-    nodes = stored(table.where("prefix is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity")), "shingle-sets")
+    nodes = stored(table.where("prefix is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity")), "shingle-sets", parts)
     # Here a pair may be left out: lists that still hold several components are searched in full below.
     total = F.col("n") + F.col("pivot_n")
     within = F.col("pos") + F.col("pivot_pos") <= total - 2 * F.ceil(total * percent / (100 + percent))
     stars = live.where((F.col("node") != F.col("pivot")) & size_fits(F.col("n"), F.col("pivot_n"), percent) & within).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    stars = stored(plausible(stars.distinct(), nodes, percent), "shingle-stars")
-    first = linked(stars, texts, nodes, words, percent, merge=True)
+    stars = stored(plausible(stars.distinct(), nodes, percent), "shingle-stars", parts)
+    first = linked(stars, texts, nodes, words, percent, True, parts)
     discard(stars)
     grown = components(first)
 
-    labelled = stored(live.join(grown, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "n", "pos", "component").distinct(), "shingle-labelled")
+    labelled = stored(live.join(grown, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "n", "pos", "component").distinct(), "shingle-labelled", parts)
     discard(live)
     sizes = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    still = stored(sizes.where("low != high").select("token", "size"), "shingle-open")
+    still = stored(sizes.where("low != high").select("token", "size"), "shingle-open", parts)
     open_lists = labelled.join(still, "token")
     blocks = F.ceil(F.col("size") / LIST_ROWS).cast("long")
     blocked = open_lists.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     blocked = blocked.withColumn("block_a", F.least("block", "with")).withColumn("block_b", F.greatest("block", "with")).join(nodes.select("node", "parity"), "node")
     dealt = blocked.repartition("token", "block_a", "block_b").sortWithinPartitions("token", "block_a", "block_b", "pos", "node")
-    late = stored(cross_pairs(dealt.select("token", "block_a", "block_b", "block", "node", "n", "pos", "component", "parity"), percent), "shingle-pairs")
+    late = stored(cross_pairs(dealt.select("token", "block_a", "block_b", "block", "node", "n", "pos", "component", "parity"), percent), "shingle-pairs", parts)
     discard(labelled, still)
-    last = linked(late, texts, nodes, words, percent, merge=False)
+    last = linked(late, texts, nodes, words, percent, False, parts)
     final = components(first.unionByName(last))
     discard(late, nodes, first, last)
 

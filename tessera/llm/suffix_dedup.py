@@ -39,6 +39,8 @@ HOT_PIECES, FINE_STEP = 512, 4
 #: A difference cover: every distance modulo CYCLE is a difference of two of its members.
 CYCLE, COVER = 7, (1, 2, 4)
 TIE = LENGTH - CYCLE + 1
+#: Runs for each file of the tables made of them, at least: small inputs in many partitions are kept in few files.
+PART_RUNS = 50_000
 PLACE_BITS = 24
 CHUNK = 1 << 22
 U64 = np.uint64
@@ -231,29 +233,30 @@ def repeats(df: DataFrame, text: str = "text", row_id: str = "doc_id", length: i
     bound_batches(df.sparkSession)
     docs = df.select(*keys(row_id, text), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     table = stored(run_table(docs, length), "suffix-runs")
+    parts = 1 + table.count() // PART_RUNS
     # Counts are stored before they are joined: a join on its own exchanges can split a hot bucket, one behind an aggregate cannot.
-    twice = stored(table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "suffix-twice")
-    near = stored(table.join(twice, "bucket", "left_semi"), "suffix-near")
+    twice = stored(table.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "suffix-twice", parts)
+    near = stored(table.join(twice, "bucket", "left_semi"), "suffix-near", parts)
     discard(table, twice)
-    copied = stored(near.groupBy("b1", "b2").agg(F.count("*").alias("n")).where("n > 1").select("b1", "b2", F.lit(True).alias("whole")), "suffix-copied")
-    marked = stored(near.join(copied, ["b1", "b2"], "left"), "suffix-marked")
+    copied = stored(near.groupBy("b1", "b2").agg(F.count("*").alias("n")).where("n > 1").select("b1", "b2", F.lit(True).alias("whole")), "suffix-copied", parts)
+    marked = stored(near.join(copied, ["b1", "b2"], "left"), "suffix-marked", parts)
     discard(near, copied)
     whole = marked.where("whole").select("d", "h", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     # The rest may also equal parts of runs that are copied as a whole: one of each such run joins in.
     rest = marked.where("whole is null")
-    opened = stored(rest.select("bucket").distinct(), "suffix-open")
+    opened = stored(rest.select("bucket").distinct(), "suffix-open", parts)
     copies = marked.where("whole").join(opened, "bucket", "left_semi")
     one = copies.groupBy("b1", "b2").agg(F.min(F.struct("d", "h", "first", "last", "place")).alias("one")).select("one.*")
-    first = stored(piece_table(docs, rest.select("d", "h", "first", "last", "place").unionByName(one), length), "suffix-pieces")
+    first = stored(piece_table(docs, rest.select("d", "h", "first", "last", "place").unionByName(one), length), "suffix-pieces", parts)
     discard(opened)
-    hot = stored(first.select("bucket", "offset", "id").distinct().groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PIECES).select("bucket"), "suffix-hot")
-    fine = stored(cut_again(first.join(hot, "bucket", "left_semi").select(*PIECE, "bytes"), length), "suffix-fine")
+    hot = stored(first.select("bucket", "offset", "id").distinct().groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PIECES).select("bucket"), "suffix-hot", parts)
+    fine = stored(cut_again(first.join(hot, "bucket", "left_semi").select(*PIECE, "bytes"), length), "suffix-fine", parts)
     table = first.join(hot, "bucket", "left_anti").select(*PIECE, "bytes").unionByName(fine)
     masks = bucket_masks(table.select("bucket", "offset", "id", "bytes"), length)
     hit = table.select("d", "h", "start", "bucket", "offset", "id").join(masks, ["bucket", "offset", "id"])
     bits = F.filter(F.sequence(F.lit(0), F.lit(STEP - 1)), lambda k: F.getbit("mask", k) == 1)
     single = hit.withColumn("k", F.explode(bits)).select("d", "h", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + length).alias("end"))
-    found = stored(whole.unionByName(single).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "suffix-ranges")
+    found = stored(whole.unionByName(single).groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "suffix-ranges", parts)
     discard(marked, first, hot, fine)
     return found
 
