@@ -7,7 +7,8 @@ traversed; survivors have the other terms probed one by one, strongest first, wh
 shards are merged by query.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; shorter vectors count
-as padded with zeros; a query never meets rows of its own id; equal scores go to the smaller id; repeated candidates each count, repeated queries ask once,
+as padded with zeros; a query never meets rows of its own id; equal scores go to the smaller id; repeated candidates each count, but are summed before they
+are dealt and only k of them, which is all that can be among the k best, reach a shard; repeated queries ask once,
 and different query vectors of one id are queries of their own, each with its ranks;
 fewer than k candidates give all; an empty table gives an empty result; other columns are not looked at. Sums of products must
 stay below 2^53, which is checked.
@@ -86,6 +87,9 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 def search(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best candidates; both frames as integers() gives them."""
     width_of = F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")
+    # Rows alike in id and vector share a hash and so a shard: collapsed first, they can't outgrow it.
+    copies = candidates.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    candidates = copies.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
     n, width = candidates.agg(F.count("*"), width_of).first()
     n_queries, query_width = queries.agg(F.count("*"), width_of).first()
     cores = candidates.sparkSession.sparkContext.defaultParallelism

@@ -53,3 +53,11 @@ def test_queries_of_one_id_are_apart(spark):
     vectors = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = topk.search(vectors, vectors.where("vec_id = 0"), k=2).collect()
     assert sorted((r.rank, r.vec_id, r.score) for r in got) == sorted([(1, 1, 64 * 128), (2, 2, 64 * 16), (1, 2, 64 * 192), (2, 2, 64 * 192)])
+
+
+def test_many_repeated_candidates(spark):
+    one = spark.createDataFrame([(5, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    hot = spark.range(30_000).crossJoin(one).select("vec_id", "embedding").unionByName(spark.createDataFrame([(0, [1.0, 1.0]), (9, [2.0, 2.0]), (4, [1.0, 2.0])], one.schema))
+    vectors = topk.integers(hot)
+    got = topk.search(vectors, vectors.where("vec_id = 0"), k=4, shard_rows=8, query_rows=2).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 9, 64 * 64 * 4), (2, 4, 64 * 64 * 3), (3, 5, 64 * 64 * 3), (4, 5, 64 * 64 * 3)]
