@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import unused, without
+
 #: Words: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, EPOCHS, SHARE, SEED = (5, 2, 1), 2, 1.5, "mix-1"
@@ -54,35 +56,37 @@ def targets(sized: DataFrame, source: str = "source", size: str = "size", weight
 
 def mix(df: DataFrame, row_id: str = "doc_id", source: str = "source", size: str = "size", weights: tuple = WEIGHTS, epochs: float = EPOCHS, share: float = SHARE, seed: str = SEED) -> DataFrame:
     """Adds source_size, target and repeats (times the mix takes the row) to a frame with a size column."""
-    keyed = df.withColumn("_mix_at", seeded_order(F.col(row_id), F.col(size), seed))
-    keyed = keyed.withColumn("_mix_bucket", F.shiftright("_mix_at", BUCKET_BITS))
-    sums = keyed.groupBy(F.col(source).alias("_mix_source"), "_mix_bucket").agg(F.sum(size).alias("_mix_sum"))
-    goal = targets(df, source, size, weights, epochs, share).withColumnRenamed("source", "_mix_goal")
-    running = F.sum("_mix_sum").over(Window.partitionBy("_mix_source").orderBy("_mix_bucket"))
+    kept = without(df, "source_size", "target", "repeats")
+    at, bucket, of, part, plan = unused(df, "_mix_at", "_mix_bucket", "_mix_source", "_mix_part", "_mix_plan")
+    keyed = df.withColumn(at, seeded_order(F.col(row_id), F.col(size), seed))
+    keyed = keyed.withColumn(bucket, F.shiftright(at, BUCKET_BITS))
+    sums = keyed.groupBy(F.col(source).alias("of"), F.col(bucket).alias("part")).agg(F.sum(size).alias("sum"))
+    goal = targets(df, source, size, weights, epochs, share)
+    running = F.sum("sum").over(Window.partitionBy("of").orderBy("part"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = (
-        sums.withColumn("_mix_end", running)
-        .join(goal, F.col("_mix_source").eqNullSafe(F.col("_mix_goal")))
-        .withColumn("_mix_whole", whole)
-        .withColumn("_mix_need", F.col("target") - F.col("_mix_whole") * F.col("source_size"))
-        .withColumn("_mix_start", F.col("_mix_end") - F.col("_mix_sum"))
-        .select("_mix_source", F.col("_mix_bucket").alias("_mix_b"), "source_size", "target", "_mix_whole", "_mix_need", "_mix_start", "_mix_end")
+    planned = (
+        sums.withColumn("end", running)
+        .join(goal, F.col("of").eqNullSafe(F.col("source")))
+        .withColumn("whole", whole)
+        .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+        .withColumn("start", F.col("end") - F.col("sum"))
+        .select(F.col("of").alias(of), F.col("part").alias(part), F.struct("source_size", "target", "whole", "need", "start", "end").alias(plan))
     )
-    joined = keyed.drop("source_size", "target", "repeats").join(plan, F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_b")))
-    inside = F.col("_mix_end") <= F.col("_mix_need")
-    border = ~inside & (F.col("_mix_start") < F.col("_mix_need"))
-    in_order = Window.partitionBy("_mix_source", "_mix_b").orderBy("_mix_at", row_id, size)
-    up_to = F.col("_mix_start") + F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    at_border = joined.where(border).withColumn("repeats", F.col("_mix_whole") + (up_to - F.col(size) / 2 <= F.col("_mix_need")).cast("long"))
-    others = joined.where(~border).withColumn("repeats", F.col("_mix_whole") + inside.cast("long"))
-    kept = [c for c in df.columns if c not in ("source_size", "target", "repeats")]
-    return others.unionByName(at_border).select(*kept, "source_size", "target", "repeats")
+    joined = keyed.join(planned, F.col(source).eqNullSafe(F.col(of)) & (F.col(bucket) == F.col(part)))
+    its = F.col(plan)
+    inside = its["end"] <= its["need"]
+    border = ~inside & (its["start"] < its["need"])
+    in_order = Window.partitionBy(of, part).orderBy(at, row_id, size)
+    up_to = its["start"] + F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    outputs = lambda taken: [*kept, its["source_size"].alias("source_size"), its["target"].alias("target"), (its["whole"] + taken.cast("long")).alias("repeats")]
+    at_border = joined.where(border).select(*outputs(up_to - F.col(size) / 2 <= its["need"]))
+    return joined.where(~border).select(*outputs(inside)).unionByName(at_border)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row as often as the mix takes it."""
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int")))
-    return mixed.where("repeats > 0").withColumn("_mix_copy", copies).drop("_mix_copy", "source_size", "target", "repeats")
+    copies, copy = F.explode(F.array_repeat(F.lit(0), F.col("repeats").cast("int"))), unused(mixed, "_mix_copy")[0]
+    return mixed.where("repeats > 0").withColumn(copy, copies).drop(copy, "source_size", "target", "repeats")
 
 
 #: The same mix in DuckDB SQL.

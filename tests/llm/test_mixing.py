@@ -63,3 +63,15 @@ def test_words_and_edges(spark, docs):
     sized = docs.withColumn("size", mixing.n_words(F.col("text"))).withColumn("target", F.lit("old"))
     assert mixing.mix(sized).count() == docs.count()
     assert mixing.mix(sized.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(k, f"s{k % 3}", 1 + k % 9) for k in range(300)], "doc_id long, source string, size long")
+    wide = df
+    for c in ("_mix_at", "_mix_bucket", "_mix_source", "_mix_plan", "_MIX_part", "_mix_copy", "Target", "of", "part", "end"):
+        wide = wide.withColumn(c, F.col("doc_id"))
+    got, plain = mixing.mix(wide), mixing.mix(df)
+    assert got.columns == ["doc_id", "source", "size", "_mix_at", "_mix_bucket", "_mix_source", "_mix_plan", "_MIX_part", "_mix_copy", "of", "part", "end", "source_size", "target", "repeats"]
+    assert all(r._mix_at == r._mix_bucket == r._mix_source == r._mix_plan == r.end == r.doc_id for r in got.collect())
+    assert sorted(got.select(plain.columns).collect()) == sorted(plain.collect())
+    assert mixing.repeated(got).select("_mix_copy").count() == mixing.repeated(plain).count()
