@@ -15,7 +15,7 @@ sample are told apart. Languages are the non-null labels.
 
 Cases: null texts and texts without a letter are "und" with score 0; letters that the sample lacks are unknown symbols,
 each a phrase of its own; equal rates go to the language first by name; repeated rows are judged alike; rows without an id teach
-nothing; without labelled rows everything is "und"; an empty table gives an empty result; other columns are kept, but columns
+nothing, and rows of one id that differ count one by one towards SAMPLE_DOCS; without labelled rows everything is "und"; an empty table gives an empty result; other columns are kept, but columns
 named like an output give way to it.
 """
 
@@ -207,7 +207,10 @@ def learn(labelled: DataFrame, row_id: str = "doc_id", text: str = "text", lang:
     chosen = keys.withColumn("_rank", rank).where(F.col("_rank") <= docs).select("_id", "_lang").distinct()
     rows = labelled.select(F.col(row_id).alias("_row"), F.col(lang).alias("_of"), F.coalesce(text, F.lit("")).alias("_said")).join(F.broadcast(chosen), (F.col("_row") == F.col("_id")) & (F.col("_of") == F.col("_lang")))
     place = F.pmod(F.xxhash64("_said"), F.greatest(F.lit(1), F.length("_said") - chars + 1)).cast("int") + 1
-    found = rows.select("_lang", F.xxhash64("_id").alias("_key"), F.substring(F.col("_said"), place, F.lit(chars)).alias("_text")).distinct().collect()
+    said = rows.select("_lang", F.xxhash64("_id").alias("_key"), F.substring(F.col("_said"), place, F.lit(chars)).alias("_text")).distinct()
+    # An id may stand on any number of rows.
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_text"))
+    found = said.withColumn("_nth", nth).where(F.col("_nth") <= docs).select("_lang", "_key", "_text").collect()
     texts: dict[str, dict[str, None]] = {}
     for name, _, said in sorted(found):
         texts.setdefault(name, {})[said] = None

@@ -94,3 +94,9 @@ def test_learned_passages_lie_anywhere(spark):
     n = {name: 2 ** scale for name, scale in zip(got.names, got.scale, strict=True)}
     assert n["en"] > 9 * language.PASSAGE and n["fr"] < 12
     assert got.rates([got.symbols(rows[3][1][5000:6000])])[0, 0] < got.rates([got.symbols("k" * 500)])[0, 0]
+
+
+def test_rows_of_one_id_stay_within_the_bound(spark):
+    rows = [(1, f"text number {'abcdefghij'[k % 10] * (k % 37)}", "en") for k in range(3000)] + [(2, "une copie", "fr")]
+    got = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs=5)
+    assert got.names == ["en", "fr"] and 2 ** got.scale[0] <= 5 * 60
