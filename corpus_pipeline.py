@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language, mixing, ngram_join, piece_codec, suffix_dedup
-from tessera.llm.common import MADE, discard_since, stored, table
+from tessera.llm.common import MADE, discard_since, stored, table, unused
 
 
 #: Passages of more words than this that occur elsewhere are cut; strings of so many bytes hold them, if their words have three letters.
 PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 
 
+def beside(docs: DataFrame, outputs: tuple[str, ...], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What made() gives of the documents, in their columns; those named like one of its outputs are kept out of its way."""
+    clashing = [c for c in docs.columns if c.lower() in outputs]
+    aside = dict(zip(clashing, unused(docs, *(f"_aside{k}" for k in range(len(clashing)))), strict=True))
+    return made(docs.withColumnsRenamed(aside)).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
     samples = language.learn(docs.where(F.coalesce(language.remainder(F.col("doc_id"), 4) != 2, F.lit(True))))
-    return language.identify(docs, samples).where(F.col("lang_pred") != "und").select(*docs.columns)
+    return beside(docs, ("lang_pred", "score", "phrase_rate"), lambda d: language.identify(d, samples).where(F.col("lang_pred") != "und"))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,16 +35,22 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of over PASSAGE_WORDS words, and repeated strings that are as long, go from the texts; what a cut leaves of a character goes with it. Every document stays, if with less text."""
-    cut = suffix_dedup.dedup(docs, as_text=True, length=PASSAGE_BYTES, words=PASSAGE_WORDS + 1)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    return cut.withColumn("n_chars", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
+
+    def cut(d: DataFrame) -> DataFrame:
+        spans = suffix_dedup.dedup(d, as_text=True, length=PASSAGE_BYTES, words=PASSAGE_WORDS + 1)
+        if "n_chars" in d.columns:
+            spans = spans.withColumn("n_chars", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
+        return spans.withColumn("text", text)
+
+    return beside(docs, ("n_bytes", "n_removed", "n_spans", "spans", "kept"), cut)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    sized = docs.withColumn("_size", mixing.n_words(F.col("text")))
-    return mixing.repeated(mixing.mix(sized, size="_size")).select(*docs.columns)
+    size = unused(docs, "_size")[0]
+    return beside(docs, ("source_size", "target", "repeats"), lambda d: mixing.repeated(mixing.mix(d.withColumn(size, mixing.n_words(F.col("text"))), size=size)))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
