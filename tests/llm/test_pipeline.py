@@ -40,3 +40,15 @@ def test_stages_in_order(spark, model_file):
 def test_run_gives_the_last_stage(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() > 0
+
+
+def test_clashing_columns_pass_through(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for c in ("Score", "kept", "target", "_size", "_aside0", "_mix_at"):
+        docs = docs.withColumn(c, docs.doc_id)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        rows = got.collect()
+        assert got.columns == docs.columns and rows
+        assert all(r.Score == r.kept == r.target == r._size == r._aside0 == r._mix_at == r.doc_id for r in rows)
