@@ -82,3 +82,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
     return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans", text)
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import leaf, prove
+
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda text: leaf([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text])
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    was = docs.select("lang", "doc_id", digest(F.col("text")).alias("leaf"), F.when(changed, digest(lowered)).alias("lowered"))
+    rows = prove(was.withColumn("claimed", F.coalesce("lowered", "leaf")), "lang", "doc_id", "leaf", "claimed")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
