@@ -139,11 +139,9 @@ def descended(nodes: DataFrame, paths: dict | DataFrame, levels: int, finish, sc
 
 
 def _paths_of(rows: pa.Table, tree: Tree, path: str) -> pa.Table:
-    """tree, block, path for the nodes of a block of upper nodes."""
+    """tree, block, path for the nodes of a block of upper nodes; own and own_place tell which block below each of them is."""
     in_roots = rows["tree"][0].as_py() == ROOTS
-    below = rows["own"] if in_roots else rows["tree"]
-    at = pa.array([0] * rows.num_rows, pa.int64()) if in_roots else rows["place"]
-    return pa.table({"tree": below, "block": at, "path": pa.array([_joined(tree.path(i), path, in_roots) for i in range(rows.num_rows)], pa.string())})
+    return pa.table({"tree": rows["own"], "block": rows["own_place"], "path": pa.array([_joined(tree.path(i), path, in_roots) for i in range(rows.num_rows)], pa.string())})
 
 
 def prove(leaves: DataFrame, group: str, id: str, digest: str, claimed: str, levels: int = BLOCK_LEVELS, top_nodes: int = TOP_NODES) -> DataFrame:
@@ -164,13 +162,13 @@ def prove(leaves: DataFrame, group: str, id: str, digest: str, claimed: str, lev
             break
         if not up.where("n > 1").limit(1).count():
             roots = placed(up.select(F.lit(ROOTS).alias("all"), F.col("tree").alias("own"), "digest"), "all", [F.col("own")], ["own", "digest"], "manifest-roots")
-            up = stored(roots.select(F.lit(ROOTS).alias("tree"), "place", F.lit(up.count()).alias("n"), "digest", "own"), "manifest-nodes")
+            up = stored(roots.select(F.lit(ROOTS).alias("tree"), "place", F.lit(up.count()).alias("n"), "digest", "own", F.lit(0).cast("long").alias("own_place")), "manifest-nodes")
         floors.append(up)
         here = up
     paths, root = built(up.collect()) if up.limit(1).count() else ({}, "")
 
     for floor in reversed(floors):
-        own = floor if "own" in floor.columns else floor.withColumn("own", F.col("tree"))
+        own = floor if "own" in floor.columns else floor.select("*", F.col("tree").alias("own"), F.col("place").alias("own_place"))
         paths = stored(descended(own, paths, levels, _paths_of, "tree string, block long, path string"), "manifest-paths")
 
     def proofs(rows: pa.Table, tree: Tree, path: str) -> pa.Table:
