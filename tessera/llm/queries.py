@@ -94,3 +94,9 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     was = docs.select("lang", "doc_id", digest(F.col("text")).alias("leaf"), F.when(changed, digest(lowered)).alias("lowered"))
     rows = prove(was.withColumn("claimed", F.coalesce("lowered", "leaf")), "lang", "doc_id", "leaf", "claimed")
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
