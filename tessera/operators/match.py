@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as X
 from tessera.functions.rules import first_match
+from tessera.sources.scratch import materialised
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -51,12 +52,41 @@ def best_per(rows: DataFrame, key: list[str], score: str, ordinal: list[str]) ->
     return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 
-def shared_tokens(left: DataFrame, left_key: str, left_tokens: str, right: DataFrame, right_key: str, right_tokens: str, salts: int = 16) -> DataFrame:
-    """left_key, right_key, shared: how many distinct tokens each pair shares that shares any, over all postings. Keys are unique; right rows are dealt
-    over `salts` parts, so that a token of every row isn't one join key."""
-    posted = right.select(right_key, F.explode(F.array_distinct(right_tokens)).alias("_token"), F.pmod(F.xxhash64(right_key), F.lit(salts)).alias("_salt"))
-    sought = left.select(left_key, F.explode(F.array_distinct(left_tokens)).alias("_token")).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return posted.join(sought, ["_token", "_salt"]).groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+def best_containment(items: DataFrame, item: str, item_tokens: str, docs: DataFrame, doc: str, doc_tokens: str, rounds: list[int] | None = None) -> DataFrame:
+    """J-13: item, doc, shared, size: for each item the document that holds most of its distinct tokens, of equals the smallest; items that share nothing are left out.
+
+    An item's tokens are taken from the rarest on. Documents that hold none of the first p of its m tokens share at most m - p, so once the best
+    document found shares more than that, no other can beat or equal it. Each round takes as many tokens again, up to m - best + 1, counts only the postings
+    of those, scores only documents that can still reach the best so far, and goes on with the items that are not done. rounds, if given, gets the number of pairs met in
+    each round. Keys are unique."""
+    sought = items.select(F.col(item).alias("_item"), F.array_distinct(item_tokens).alias("_all"))
+    wanted = sought.select(F.explode("_all").alias("_token")).distinct()
+    found = docs.select(F.col(doc).alias("_doc"), F.explode(F.array_distinct(doc_tokens)).alias("_token")).join(wanted, "_token", "left_semi")
+    held = materialised(found.groupBy("_doc").agg(F.collect_list("_token").alias("_held")), "held-tokens")
+    postings = held.select("_doc", F.explode("_held").alias("_token"))
+    rarity = postings.groupBy("_token").agg(F.count("*").alias("_df"))
+    ordered = sought.select("_item", F.size("_all").alias("_size"), F.explode("_all").alias("_token")).join(rarity, "_token").groupBy("_item", "_size").agg(F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_rare"))
+    queries = ordered.select("_item", "_size", F.transform("_rare", lambda x: x["_token"]).alias("_tokens"), F.size("_rare").alias("_m"))
+    state = materialised(queries.select("*", F.lit(0).alias("_done"), F.lit(0).alias("_shared"), F.lit(None).cast(docs.schema[doc].dataType).alias("_doc")), "best-so-far")
+    enough = F.least(F.col("_m") - F.col("_shared") + 1, F.col("_m"))
+    open_ = F.col("_done") < enough
+    while state.where(open_).limit(1).count():
+        reach = F.least(enough, F.greatest(F.col("_done") * 2, F.lit(1)))
+        todo = state.where(open_).withColumn("_reach", reach)
+        fresh = todo.select("_item", F.explode(F.slice("_tokens", F.col("_done") + 1, F.col("_reach") - F.col("_done"))).alias("_token"))
+        met = fresh.join(postings, "_token").groupBy("_item", "_doc").agg(F.count("*").alias("_hits"))
+        if rounds is not None:
+            rounds.append(met.count())
+        # A document that was met before has been scored; of any other these are all its hits so far.
+        able = met.join(todo.select("_item", "_tokens", "_m", "_reach", "_shared"), "_item").where(F.col("_hits") + F.col("_m") - F.col("_reach") >= F.col("_shared"))
+        scored = able.select("_item", "_doc", "_tokens").join(held, "_doc").select("_item", F.struct((-F.size(F.array_intersect("_tokens", "_held"))).alias("less"), F.col("_doc").alias("doc")).alias("_new"))
+        top = scored.groupBy("_item").agg(F.min("_new").alias("_new"))
+        better = F.col("_new").isNotNull() & (F.col("_new") < F.struct((-F.col("_shared")).alias("less"), F.col("_doc").alias("doc")))
+        state = materialised(state.join(top, "_item", "left").select(
+            "_item", "_size", "_tokens", "_m", F.when(open_, reach).otherwise(F.col("_done")).alias("_done"),
+            F.when(better, -F.col("_new.less")).otherwise(F.col("_shared")).alias("_shared"), F.when(better, F.col("_new.doc")).otherwise(F.col("_doc")).alias("_doc"),
+        ), "best-so-far")
+    return state.where("_shared > 0").select(F.col("_item").alias(item), F.col("_doc").alias(doc), F.col("_shared").alias("shared"), F.col("_size").alias("size"))
 
 
 def gap_score(cls: Column, pdf: Column, candidate_year: Column, award: Column, overlap: Column, name: Column, doi: Column) -> Column:
@@ -75,11 +105,33 @@ def gap_tier(score: Column) -> Column:
     return first_match(rules, ("gap_tier",))[0]
 
 
+#: Characters of the parts by which names are looked up, and parts that a frequent one is dealt over.
+GRAM, GRAM_SALTS = 3, 8
+
+
+def grams(x: Column, size: Column) -> Column:
+    """The distinct runs of `size` characters of a text."""
+    return F.array_distinct(F.when(F.length(x) >= size, F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda k: x.substr(k, size))).otherwise(F.array().cast("array<string>")))
+
+
 def name_linkage(base: DataFrame, dataset: DataFrame, keys: list[str], full_name: str, dataset_name: str) -> DataFrame:
-    """J-03: rows of the same keys whose dataset family name lies in one of the family-name candidates. The keys are an equi-join; names are folded before it."""
+    """J-03: rows of the same keys whose dataset family name lies in one of the family-name candidates.
+
+    A name that lies in another shares all its runs of GRAM characters with it (a shorter name is one run). Each dataset name is looked up by the one of its runs
+    that fewest names of its block have, and only what is found there is compared. Equal names of a block are compared once; names are folded before the joins."""
     left = base.withColumn("_names", X.family_names(F.col(full_name)))
-    right = dataset.withColumn("_family", X.dataset_family_name(F.col(dataset_name)))
-    return left.join(right, keys).where((F.col("_family") != "") & F.exists("_names", lambda n: F.contains(n, F.col("_family")))).drop("_names", "_family")
+    right = dataset.withColumn("_family", X.dataset_family_name(F.col(dataset_name))).where("_family != ''")
+    sizes = [F.lit(k) for k in range(1, GRAM + 1)]
+    parts = F.array_distinct(F.flatten(F.flatten(F.transform("_names", lambda n: F.array(*[grams(n, k) for k in sizes])))))
+    names = left.select(*keys, "_names").distinct().select(*keys, "_names", F.explode(parts).alias("_gram"))
+    families = right.select(*keys, "_family").distinct()
+    known = names.groupBy(*keys, "_gram").agg(F.count("*").alias("_n"))
+    tried = families.select(*keys, "_family", F.explode(grams(F.col("_family"), F.least(F.length("_family"), F.lit(GRAM)))).alias("_gram"))
+    rarest = tried.join(known, [*keys, "_gram"], "left").groupBy(*keys, "_family").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least"))
+    asked = rarest.where("_least.n > 0").select(*keys, "_family", F.col("_least.gram").alias("_gram"), F.explode(F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))).alias("_salt"))
+    dealt = names.withColumn("_salt", F.pmod(F.xxhash64("_names"), F.lit(GRAM_SALTS)).cast("int"))
+    pairs = dealt.join(asked, [*keys, "_gram", "_salt"]).where(F.exists("_names", lambda n: F.contains(n, F.col("_family")))).select(*keys, "_names", "_family")
+    return left.join(pairs, [*keys, "_names"]).join(right, [*keys, "_family"]).drop("_names", "_family")
 
 
 def cascade(rows: DataFrame, key: str, first: DataFrame, second: DataFrame, fields: list[str], ordinal: list[str] | None = None) -> DataFrame:
@@ -104,44 +156,78 @@ def candidate_queries(text: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(long, F.array(text))), 1, 4)
 
 
-def title_classes(queries: DataFrame, works: DataFrame) -> DataFrame:
-    """ref_id, pos, years and the query's and reference's tokens that any work has: _q of titles, _r of titles or sources. No other token counts for a score."""
-    titles = works.select(F.explode("title_tokens").alias("_token")).distinct()
-    known = titles.union(works.select(F.explode("source_tokens").alias("_token"))).distinct()
-    of = lambda tokens, words, name: queries.select("ref_id", "pos", F.explode(tokens).alias("_token")).join(words, "_token").groupBy("ref_id", "pos").agg(F.array_sort(F.collect_set("_token")).alias(name))
-    rows = queries.select("ref_id", "pos", "years").join(of("query_tokens", titles, "_q"), ["ref_id", "pos"]).join(of("ref_tokens", known, "_r"), ["ref_id", "pos"], "left")
-    return rows.withColumn("_r", F.coalesce("_r", F.array().cast("array<string>")))
+# What S-02 and S-03 imply: an acceptable hit is in a cited year and scores 62 at least (B: 20 + 70 * 0.6), so a hit that counts for or against
+# one shares 22/70 of its title in a cited year (22 + 40 points for the rest), 42/70 outside (42 + 20).
+LEAST_IN_YEAR, LEAST_OUTSIDE, WHOLE_TITLE = 22, 42, 70
+
+
+def rare_first(titles: DataFrame) -> DataFrame:
+    """_t, _rare: each distinct title's tokens, those of fewest titles first."""
+    distinct = titles.select("_t").distinct()
+    each = distinct.select("_t", F.explode("_t").alias("_token"))
+    rarity = each.groupBy("_token").agg(F.count("*").alias("_df"))
+    return each.join(rarity, "_token").groupBy("_t").agg(F.transform(F.array_sort(F.collect_list(F.struct("_df", "_token"))), lambda x: x["_token"]).alias("_rare"))
+
+
+def title_prefix(least: int) -> Column:
+    """The rarest tokens of a title of which a text must have one, if it has least / WHOLE_TITLE of them."""
+    n = F.size("_rare")
+    return F.slice("_rare", 1, n - F.floor((n * least + WHOLE_TITLE - 1) / WHOLE_TITLE).cast("int") + 1)
+
+
+class WorkIndex:
+    """Works to search: equal works once (by the first id), each under the rare tokens of its title, by year and without."""
 
+    def __init__(self, works: DataFrame):
+        of = works.select(F.array_sort("title_tokens").alias("_t"), F.array_sort("source_tokens").alias("_s"), "article", "year", "work_id").where(F.size("_t") > 0)
+        rare = rare_first(of)
+        ordered = of.join(rare, "_t")
+        self.dated = materialised(ordered.where("year is not null").groupBy("_t", "_s", "_rare", "article", "year").agg(F.min("work_id").alias("work_id")), "works-by-year")
+        self.whole = materialised(ordered.groupBy("_t", "_s", "_rare", "article").agg(F.min("work_id").alias("work_id")), "works")
 
-def best_hits(queries: DataFrame, works: DataFrame) -> DataFrame:
-    """The best of all works that share a title token with a query, by score, then first work. No token is too frequent: queries and works of equal
-    tokens are compared once. Works of a cited year are found by title and year, others are scored as if in no cited year; a work in both counts by its higher score."""
-    asked = title_classes(queries, works)
-    of = works.select(F.array_sort("title_tokens").alias("_t"), F.array_sort("source_tokens").alias("_s"), "article", "year", "work_id")
-    classes, titles = asked.select("_q", "_r").distinct(), of.select("_t").distinct()
-    shared = classes.select("_q", "_r", F.explode("_q").alias("_token")).join(titles.select("_t", F.explode("_t").alias("_token")), "_token").select("_q", "_r", "_t").distinct()
-    title, source = containment(F.col("_t"), F.col("_r")), containment(F.col("_s"), F.col("_r"))
+    def in_year(self, asked: DataFrame) -> DataFrame:
+        """The best work of a cited year for each class of searches, if it scores enough to count: _class, score, work_id, title_overlap."""
+        under = self.dated.select("year", "work_id", F.explode(title_prefix(LEAST_IN_YEAR)).alias("_token"))
+        words = asked.select("_class", F.explode("_r").alias("_token"), "years").select("_class", "_token", F.explode("years").alias("year"))
+        met = words.join(under, ["year", "_token"]).select("_class", "work_id").distinct()
+        return best_per(self._scored(met, asked, self.dated, True), ["_class"], "score", ["work_id"])
 
-    def best(rows: DataFrame, key: list[str], in_year: bool) -> DataFrame:
-        scored = rows.withColumns({"title_overlap": title, "year_match": F.lit(in_year), "score": search_score(F.col("article"), F.lit(in_year), title, source)})
-        return best_per(scored, key, "score", ["work_id"]).select(*key, F.struct((-F.col("score")).alias("_least"), "work_id", "score", "title_overlap", "year_match").alias("_hit"))
+    def better_outside(self, asked: DataFrame) -> DataFrame:
+        """_class of searches (with score and work_id of a hit) for which a work scores better without a cited year, or as well under a smaller id."""
+        under = self.whole.select(F.col("work_id").alias("other"), F.explode(title_prefix(LEAST_OUTSIDE)).alias("_token"))
+        met = asked.select("_class", F.explode("_r").alias("_token")).join(under, "_token").select("_class", F.col("other").alias("work_id")).distinct()
+        scored = self._scored(met, asked, self.whole, False).select("_class", F.col("score").alias("_score"), F.col("work_id").alias("_work"))
+        rival = (F.col("_score") > F.col("score")) | ((F.col("_score") == F.col("score")) & (F.col("_work") < F.col("work_id")))
+        return scored.join(asked.select("_class", "score", "work_id"), "_class").where(rival).select("_class").distinct()
 
-    undated = of.groupBy("_t", "_s", "article").agg(F.min("work_id").alias("work_id"))
-    dated = of.groupBy("_t", "_s", "article", "year").agg(F.min("work_id").alias("work_id"))
-    years = asked.select("ref_id", "pos", "_q", "_r", F.explode(F.array_distinct("years")).alias("year"))
-    whole = best(shared.join(undated, "_t"), ["_q", "_r"], False)
-    in_year = best(years.select("_q", "_r", "year").distinct().join(shared, ["_q", "_r"]).join(dated, ["_t", "year"]), ["_q", "_r", "year"], True)
-    hits = asked.join(whole, ["_q", "_r"]).select("ref_id", "pos", "_hit").unionByName(years.join(in_year, ["_q", "_r", "year"]).select("ref_id", "pos", "_hit"))
-    return hits.groupBy("ref_id", "pos").agg(F.min("_hit").alias("_hit")).select("ref_id", "pos", "_hit.work_id", "_hit.score", "_hit.title_overlap", "_hit.year_match")
+    def _scored(self, met: DataFrame, asked: DataFrame, works: DataFrame, in_year: bool) -> DataFrame:
+        title, source = containment(F.col("_t"), F.col("_r")), containment(F.col("_s"), F.col("_r"))
+        pairs = met.join(asked.select("_class", "_q", "_r"), "_class").join(works.select("work_id", "_t", "_s", "article"), "work_id").where(F.arrays_overlap("_t", "_q"))
+        return pairs.select("_class", "work_id", title.alias("title_overlap"), search_score(F.col("article"), F.lit(in_year), title, source).alias("score"))
 
 
 def search_cascade(queries: DataFrame, works: DataFrame) -> DataFrame:
     """J-15: for each reference the hit of its first query that has an acceptable one.
 
     queries: ref_id, pos, query_tokens, ref_tokens, years; works: work_id, title_tokens, source_tokens, year, article.
-    A query finds all works that share a token with it; the best of them by score (first work on ties) is accepted or not."""
-    accepted = best_hits(queries, works).withColumn("confidence", search_acceptance(F.col("title_overlap"), F.col("year_match"), F.col("score"))).where("confidence is not null")
-    return accepted.withColumn("_first", F.row_number().over(Window.partitionBy("ref_id").orderBy("pos"))).where("_first = 1").select("ref_id", "pos", "work_id", "score", "confidence")
+    A query finds all works that share a title token with it; the best of them by score (first work on ties) is accepted or not. One round for each position: only
+    references that no earlier round has settled are searched again. A round looks for the best work of a cited year among those that share enough of their titles to count,
+    and only for the acceptable ones among these for a better work of any year. Searches of equal tokens and years are made once."""
+    index, settled = WorkIndex(works), None
+    ready = materialised(queries.select("ref_id", "pos", F.array_sort("query_tokens").alias("_q"), F.array_sort("ref_tokens").alias("_r"), F.array_sort(F.array_distinct("years")).alias("years")), "searches")
+    # At most as many positions as a reference has queries (SC-18: four).
+    for pos in sorted(r.pos for r in ready.select("pos").distinct().collect()):
+        live = ready.where(F.col("pos") == pos)
+        if settled is not None:
+            live = live.join(settled.select("ref_id"), "ref_id", "left_anti")
+        live = materialised(live.withColumn("_class", F.sha2(F.to_json(F.struct("_q", "_r", "years")), 256)), "searches-left")
+        asked = live.groupBy("_class").agg(F.any_value("_q").alias("_q"), F.any_value("_r").alias("_r"), F.any_value("years").alias("years"))
+        hits = index.in_year(asked).withColumn("confidence", search_acceptance(F.col("title_overlap"), F.lit(True), F.col("score"))).where("confidence is not null")
+        likely = materialised(hits.join(asked, "_class"), "hits")
+        found = likely.join(index.better_outside(likely), "_class", "left_anti").select("_class", "work_id", "score", "confidence")
+        now = materialised(live.join(found, "_class").select("ref_id", "pos", "work_id", "score", "confidence"), "accepted")
+        settled = now if settled is None else settled.unionByName(now)
+    return settled if settled is not None else ready.select("ref_id", "pos", F.lit(None).cast("long").alias("work_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("confidence"))
 
 
 def is_mixed_reference(text: Column) -> Column:

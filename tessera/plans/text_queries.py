@@ -297,13 +297,12 @@ def j03_name_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT b.item_id, d.doc_id, len(list_intersect(b.t, d.t)) / len(b.t) AS containment FROM b JOIN d ON len(list_intersect(b.t, d.t)) > 0)) WHERE place = 1""",
     b=f"SELECT item_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM benchmark", d=f"SELECT doc_id, list_distinct({words_sql(fold_sql('text'), 3, X.MATCH_STOP, False)}) AS t FROM documents"))
 def j13_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-13, S-05, R-13: the document that holds most of each item's tokens, among all that share any."""
+    """J-13, S-05, R-13: the document that holds most of each item's tokens, of all documents."""
     tokens = lambda c: X.match_tokens(X.fold(F.col(c)))
     items = table(spark, sf_dir, "benchmark").select("item_id", tokens("text").alias("bt"))
     docs = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("dt"))
-    sizes = items.select("item_id", F.size("bt").alias("_n"))
-    scored = M.shared_tokens(items, "item_id", "bt", docs, "doc_id", "dt").join(sizes, "item_id").select("item_id", "doc_id", (F.col("shared") / F.col("_n")).alias("containment"))
-    best = M.best_per(scored, ["item_id"], "containment", ["doc_id"])
+    found = M.best_containment(items, "item_id", "bt", docs, "doc_id", "dt")
+    best = found.select("item_id", "doc_id", (F.col("shared") / F.col("size")).alias("containment"))
     confidence = F.when(F.col("containment") >= 0.75, "A").when(F.col("containment") >= 0.6, "B").when(F.col("containment") >= 0.45, "C").otherwise("D")
     return best.withColumn("confidence", confidence)
 

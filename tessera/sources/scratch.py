@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Paths that this process has made.
@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return MADE[-1]
 
 
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: what was needed to make it isn't planned or run again."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what stands in the paths that this process has made; frames that read them are lost."""
     while MADE:
