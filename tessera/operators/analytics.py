@@ -42,10 +42,21 @@ def mode_first(rows: DataFrame, group: list[str], value: str, ordinal: str) -> D
     return counts.groupBy(*group).agg(F.max_by(value, F.struct("_n", (-F.col("_at")).alias("_at"))).alias(value))
 
 
-def ordered_distinct(value: str, ordinal: str) -> Column:
-    """Distinct values of a group in the order of their first appearance."""
-    pairs = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull() & (F.trim(value) != ""), F.struct(ordinal, value))))
-    return F.array_distinct(F.transform(pairs, lambda p: p[value]))
+def ordered_lists(rows: DataFrame, key: list[str], values: list[str], ordinal: str) -> DataFrame:
+    """Distinct non-blank values of each column and key, in the order of their first appearance; keys without any have empty lists.
+
+    First the least ordinal of every distinct (key, column, value), then lists of these: a key with many rows and few values is summed up where its rows are,
+    and what is gathered for a key is its distinct values."""
+    fields = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.when(F.trim(v) != "", F.col(v)).cast("string").alias("value")) for k, v in enumerate(values)]))
+    each = rows.select(*key, F.col(ordinal).alias("_at"), fields.alias("_f")).select(*key, "_at", F.col("_f.field").alias("_field"), F.col("_f.value").alias("_value"))
+    firsts = each.groupBy(*key, "_field", "_value").agg(F.min("_at").alias("_at"))
+    listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when((F.col("_field") == k) & F.col("_value").isNotNull(), F.struct("_at", "_value")))), lambda p: p["_value"])
+    return firsts.groupBy(*key).agg(*[listed(k).alias(v) for k, v in enumerate(values)])
+
+
+def first_rows(rows: DataFrame, key: list[str], order: list[str | Column], k: int) -> DataFrame:
+    """The first k rows of each key by an order, with their place from 1. Spark keeps k rows of a key in each task before the shuffle (WindowGroupLimit)."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("place") <= k)
 
 
 def first_filled(value: str, ordinal: str) -> Column:
@@ -97,7 +108,7 @@ def panel(spine: DataFrame, facts: DataFrame, keys: list[str], measures: list[st
     return spine.join(facts, keys, "left").fillna(0, measures)
 
 
-def placed(rows: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
+def placed(rows: DataFrame, strata: list[str], order: list[str | Column]) -> DataFrame:
     """Adds _at, the position of a row in its stratum (from 0), and _n, the rows of the stratum. Rows are sorted by ranges, and a range goes on from
     the counts of those before it, so that no stratum, however large, is one task; only counts by range and stratum are ranked."""
     path = scratch(rows.sparkSession, "ranges")

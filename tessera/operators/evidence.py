@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 
 from . import classify as C
-from .analytics import first_filled, ordered_distinct
+from .analytics import first_filled, first_rows, ordered_lists
 
 SEPARATOR = " || "
 #: Cells that gather distinct values, and cells where the first value stays.
@@ -46,8 +46,14 @@ def merged(sources: list[DataFrame], key: list[str], ordinal: str, first: list[s
     """J-08: one row a key from several sources, earlier sources first and by ordinal within one: first filled values, ordered distinct lists, flags that any row sets."""
     tagged = [s.withColumn("_seq", F.struct(F.lit(k).alias("source"), F.col(ordinal).alias("at"))) for k, s in enumerate(sources)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    aggs = [first_filled(c, "_seq").alias(c) for c in first] + [ordered_distinct(c, "_seq").alias(c) for c in lists] + [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags]
-    return rows.groupBy(*key).agg(*aggs)
+    aggs = [first_filled(c, "_seq").alias(c) for c in first] + [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags]
+    ones = rows.groupBy(*key).agg(*aggs)
+    if not lists:
+        return ones
+    names = [f"_key{k}" for k in range(len(key))]
+    listed = ordered_lists(rows, key, lists, "_seq").withColumnsRenamed(dict(zip(key, names, strict=True)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)])
+    return ones.join(listed, same).select(*key, *first, *lists, *flags)
 
 
 def registry(sources: list[DataFrame], key: list[str], ordinal: str, first: list[str], lists: list[str]) -> DataFrame:
@@ -82,12 +88,46 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], ordinal: st
     )
 
 
+#: Statuses of late matches that may enter the registry.
+MERGEABLE_STATUSES = ("metadata_matched_needs_official_alignment", "metadata_candidate_needs_review")
+
+
+def mergeable(rows: DataFrame, confidence: str = "metadata_match_confidence", status: str = "review_status") -> DataFrame:
+    """F-07: late matches that may be merged: of another confidence than D (a missing one counts as another), and of a status that is meant for it."""
+    return rows.where((F.coalesce(confidence, F.lit("")) != "D") & F.coalesce(F.col(status).isin(*MERGEABLE_STATUSES), F.lit(False)))
+
+
 def context(clues: DataFrame, baseline: DataFrame, key: str, text: str, ordinal: str) -> DataFrame:
-    """J-10: snippets of each record in order; records without clues, and ids only in clues, are kept."""
+    """J-10: snippets of each record in order; records without clues, and ids only in clues, are kept. A record's snippets are one cell: for records of any size see evidence_context()."""
     gathered = clues.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, text))), lambda s: s[text]).alias("snippets"))
     return baseline.join(gathered, key, "full_outer").withColumn("snippets", F.coalesce("snippets", F.array().cast("array<string>")))
 
 
+#: Kinds of pages whose snippets count one more; snippets that are shown of a record, and their length.
+PRIVILEGED_TARGETS = ("secondary_lecture", "secondary_biographical", "facts", "advanced-information")
+SHOWN_SNIPPETS, SNIPPET_LENGTH = 3, 300
+
+
+def evidence_context(clues: DataFrame, records: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """J-10, W-12, S-06: key, source_pages, pdf_links, snippets: what a review sees of each record's clues, without gathering them.
+
+    clues: key, ordinal, target_type, clue_type, clue_text, source_page, href; records: key, terms (the tokens that snippets are measured by).
+    Pages and files are distinct values in order of appearance. Links to files are no snippets. Of the snippets those with most terms stay, the shorter ones
+    first, then in order; each task hands on three of a record. Records without clues, and ids only in clues, are kept."""
+    is_link = (F.col("clue_type") == "pdf_link") & (F.coalesce("href", F.lit("")) != "")
+    given = clues.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    lists = ordered_lists(given.select(key, ordinal, F.col("source_page").alias("source_pages"), F.when(is_link, F.col("href")).alias("pdf_links")), [key], ["source_pages", "pdf_links"], ordinal)
+    texts = given.where(~F.coalesce(is_link, F.lit(False)) & (F.coalesce("clue_text", F.lit("")) != "")).join(records.select(key, "terms"), key, "left")
+    shared = F.size(F.array_intersect(X.alignment_tokens(X.fold(F.col("clue_text"))), F.coalesce("terms", F.array().cast("array<string>"))))
+    scored = texts.withColumn("_score", shared + F.coalesce(F.col("target_type").isin(*PRIVILEGED_TARGETS), F.lit(False)).cast("int"))
+    top = first_rows(scored, [key], [F.col("_score").desc(), F.length("clue_text"), F.col(ordinal)], SHOWN_SNIPPETS)
+    label = F.concat(F.lit("["), filled(F.col("target_type"), F.col("clue_type"), F.lit("official")), F.lit("] "), X.clipped(X.squeezed(F.col("clue_text")), SNIPPET_LENGTH))
+    shown = top.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", label.alias("text")))), lambda s: s["text"]).alias("snippets"))
+    none = F.array().cast("array<string>")
+    out = records.select(key).join(lists, key, "full_outer").join(shown, key, "left")
+    return out.select(key, *[F.coalesce(c, none).alias(c) for c in ("source_pages", "pdf_links", "snippets")])
+
+
 def aligned(rows: DataFrame, title: str, official: str, motivation: str, year: str, official_text: str, status: str, evidence: str) -> DataFrame:
     """R-05 over token columns: official and motivation are token arrays made once a record; titles are tokenised once a row."""
     titles = F.array_distinct(X.alignment_tokens(X.fold(F.col(title))))
@@ -112,11 +152,10 @@ def fallback(records: DataFrame, first: DataFrame, second: DataFrame, key: str,
 
 
 def audit(baseline: DataFrame, key: str, counts: dict[str, DataFrame]) -> DataFrame:
-    """J-16: counts of several tables for every record, each summed before it is joined."""
-    out = baseline.select(key)
-    for name, rows in counts.items():
-        out = out.join(rows.groupBy(key).agg(F.count("*").alias(name)), key, "left")
-    return out.fillna(0, list(counts))
+    """J-16, G-04: counts of several tables for every record, in one pass: the rows of all tables under a tag each, and one aggregate over them."""
+    tagged = reduce(lambda a, b: a.unionByName(b), [rows.select(F.col(key).alias(key), F.lit(k).alias("_tag")) for k, rows in enumerate([baseline, *counts.values()])])
+    per = tagged.groupBy(key).agg(F.count_if(F.col("_tag") == 0).alias("_known"), *[F.count_if(F.col("_tag") == k).alias(name) for k, name in enumerate(counts, 1)])
+    return per.where(F.col("_known") > 0).drop("_known")
 
 
 def expanded(records: DataFrame, kinds: list[tuple[str, ...]], names: tuple[str, ...]) -> DataFrame:

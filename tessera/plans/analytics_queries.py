@@ -87,7 +87,7 @@ def a08_mode_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, string_agg(event_type, ' || ' ORDER BY place) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS place FROM events GROUP BY 1, 2) GROUP BY 1""")
 def a09_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-09: distinct event types of each user in order of appearance, joined."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(A.ordered_distinct("event_type", "event_id"), " || ").alias("kinds"))
+    return A.ordered_lists(table(spark, sf_dir, "events"), ["user_id"], ["event_type"], "event_id").select("user_id", F.array_join("event_type", " || ").alias("kinds"))
 
 
 @query("""SELECT o_custkey, arg_min(o_orderpriority, seq) FILTER (WHERE o_orderpriority <> '1-URGENT') AS priority, arg_min(o_orderstatus, seq) AS status
@@ -222,8 +222,9 @@ def a22_coverage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey, array_to_string(list(substr(o_orderpriority, 1, 6) ORDER BY o_orderkey)[1:4], '; ') AS listed FROM orders GROUP BY 1")
 def a23_capped_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-23: the first four clipped values of each group, joined."""
-    pairs = F.slice(F.array_sort(F.collect_list(F.struct("o_orderkey", F.substring("o_orderpriority", 1, 6).alias("p")))), 1, 4)
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(pairs, lambda p: p["p"]), "; ").alias("listed"))
+    first = A.first_rows(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.substring("o_orderpriority", 1, 6).alias("p")), ["o_custkey"], ["o_orderkey"], 4)
+    pairs = F.array_sort(F.collect_list(F.struct("place", "p")))
+    return first.groupBy("o_custkey").agg(F.array_join(F.transform(pairs, lambda p: p["p"]), "; ").alias("listed"))
 
 
 @query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderstatus)), '; ') AS statuses FROM orders GROUP BY 1")
@@ -336,20 +337,10 @@ def f11_review_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_custkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE strftime(o_orderdate, '%Y') END, lower(o_orderstatus), o_orderkey) AS place FROM orders""")
 def o03_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-03, O-04, O-06: every row of a review queue with its place; blank years sort first, as text. Places are counted inside a priority and customer, after
-    those of the priorities and customers before, so that only counts are ranked in one place."""
+    """O-03, O-04, O-06: every row of a review queue with its place; blank years sort first, as text. Places come from sorted ranges, so that no priority or customer is one task."""
     year = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.date_format("o_orderdate", "yyyy"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey", year.alias("_year"), F.lower("o_orderstatus").alias("_status"))
-    group = ["o_orderpriority", "o_custkey"]
-    counts = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    inside = Window.partitionBy("o_orderpriority").orderBy("o_custkey").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("o_orderpriority").agg(F.sum("_n").alias("_all"))
-    outside = totals.select("o_orderpriority", F.coalesce(F.sum("_all").over(Window.orderBy("o_orderpriority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_outer"))
-    before = counts.select(*group, F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inner")).alias("c")
-    before = before.join(outside.alias("t"), F.expr("c.o_orderpriority <=> t.o_orderpriority")).select(*(F.col(f"c.{g}").alias(f"_{g}") for g in group), (F.col("_inner") + F.col("_outer")).alias("_before"))
-    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*group).orderBy("_year", "_status", "o_orderkey")))
-    same = F.expr(" AND ".join(f"{g} <=> _{g}" for g in group))
-    return ranked.join(before, same).select("o_orderkey", "o_orderpriority", (F.col("_before") + F.col("_nth")).alias("place"))
+    return A.placed(rows, [], ["o_orderpriority", "o_custkey", "_year", "_status", "o_orderkey"]).select("o_orderkey", "o_orderpriority", (F.col("_at") + 1).alias("place"))
 
 
 @query(f"SELECT decade, row_number() OVER (ORDER BY substr(decade, 1, 4)::INT) AS place FROM (SELECT DISTINCT decade FROM ({LAGS_SQL}))")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as X
+from tessera.operators import analytics as A
 from tessera.operators import classify as C
 from tessera.operators import extract as E
 from tessera.operators import match as M
@@ -416,9 +417,9 @@ def j15_search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_inputs("SELECT record_id, ref_id, row_number() OVER (PARTITION BY record_id ORDER BY (ref_id * 7919) % 31 DESC, ref_id) AS place FROM refs", refs=CITATIONS_SQL))
 def o05_gap_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-05: all references of each record by falling score, then id."""
-    order = Window.partitionBy("record_id").orderBy(F.col("score").desc(), "ref_id")
-    return citations(spark, sf_dir).withColumn("score", F.col("ref_id") * 7919 % 31).select("record_id", "ref_id", F.row_number().over(order).alias("place"))
+    """O-05: all references of each record by falling score, then id; places come from sorted ranges, so that no record is one task."""
+    rows = citations(spark, sf_dir).select("record_id", "ref_id", (F.col("ref_id") * 7919 % 31).alias("score"))
+    return A.placed(rows, ["record_id"], [F.col("score").desc(), F.col("ref_id")]).select("record_id", "ref_id", (F.col("_at") + 1).alias("place"))
 
 
 @query(f"""SELECT a.doc_id, len(list_intersect(a.t, b.t)) AS shared, len(list_distinct(list_concat(a.t, b.t))) AS either FROM (SELECT doc_id, {token_list_sql('text')} AS t FROM documents) a JOIN (SELECT doc_id, {token_list_sql('text')} AS t FROM documents) b ON b.doc_id = a.doc_id + 1""")
