@@ -10,12 +10,15 @@ from tessera.functions import text as X
 
 from .classify import file_reference_like, page_reference_like
 
+# Shapes of elements, markers of sections, beginnings of items.
 LINK = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 OPTION = r"""(?is)<option\b[^>]*value=["']([^"']+)["'][^>]*>(.*?)</option>"""
 BLOCK = r"(?is)<(?:p|li|td|h[1-6])\b[^>]*>(.*?)</(?:p|li|td|h[1-6])>"
 MARKERS = "references|further reading|selected literature|bibliography"
 ITEM_START = r"^\s*(?:\[\d+\]|\d+[\).])\s+"
 LEAST_BLOCK, LEAST_LINE, LEAST_REFERENCE = 30, 20, 25
+#: Lines of a segment: longer documents are worked on in several tasks.
+SEGMENT_LINES = 4096
 # Labels of secondary pages, in the order in which they are tried.
 TARGET_LABELS = [
     ("nobel prize lecture", "lecture"),
@@ -80,12 +83,35 @@ def lines(docs: DataFrame, keys: list[str], text: str, least: int = LEAST_LINE)
     return found.withColumn("line", X.squeezed(F.col("raw"))).where(F.length("line") >= least).drop("raw")
 
 
+def _segmented(kept: DataFrame) -> DataFrame:
+    return kept.withColumn("_segment", F.floor(F.col("line_no") / SEGMENT_LINES))
+
+
+def _long(docs: DataFrame, text: str) -> DataFrame:
+    """Documents that can have more than one segment: of so many bytes, a line break has one at least."""
+    return docs.where(F.octet_length(text) >= SEGMENT_LINES)
+
+
 def line_chunks(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """W-08: windows of one, two and three lines."""
-    kept = lines(docs, keys, text)
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    two, three = F.lead("line", 1).over(order), F.lead("line", 2).over(order)
-    wide = kept.select(*keys, "line_no", "line", two.alias("two"), three.alias("three"))
+    """W-08: windows of one, two and three lines.
+
+    Windows are made inside segments of a document; a segment's last lines go on with the first two of what follows, which are looked up only for documents of several
+    segments. So a document of a million lines is hundreds of tasks' work."""
+    kept = _segmented(lines(docs, keys, text))
+    order = Window.partitionBy(*keys, "_segment").orderBy("line_no")
+    of = [f"_of{k}" for k in range(len(keys))]
+    later = _segmented(lines(_long(docs, text), keys, text)).where(F.col("_segment") > 0).select(*[F.col(k).alias(n) for k, n in zip(keys, of, strict=True)], "line_no", "_segment", "line")
+    # Two lines a segment.
+    heads = later.withColumn("_nth", F.row_number().over(Window.partitionBy(*of, "_segment").orderBy("line_no"))).where("_nth <= 2")
+    along = Window.partitionBy(*of).orderBy("line_no")
+    follows = heads.select(*of, "_nth", "_segment", F.col("line").alias("_next1"), F.lead("line").over(along).alias("_next2"), F.coalesce(F.lag("_segment").over(along), F.lit(0)).alias("_since")).where("_nth = 1")
+    carried = follows.select(*of, "_next1", "_next2", F.explode(F.sequence("_since", F.col("_segment") - 1)).alias("_after"))
+    same = F.col("_segment") == F.col("_after")
+    for k, n in zip(keys, of, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    wide = kept.withColumns({"_two": F.lead("line", 1).over(order), "_three": F.lead("line", 2).over(order)}).join(carried, same, "left")
+    two, three = F.coalesce("_two", "_next1"), F.coalesce("_three", F.when(F.col("_two").isNotNull(), F.col("_next1")).otherwise(F.col("_next2")))
+    wide = wide.select(*keys, "line_no", "line", two.alias("two"), three.alias("three"))
     joined = [F.col("line"), F.when(F.col("two").isNotNull(), F.concat_ws(" ", "line", "two")), F.when(F.col("three").isNotNull(), F.concat_ws(" ", "line", "two", "three"))]
     exploded = wide.select(*keys, "line_no", F.posexplode(F.array(*joined)).alias("size", "chunk")).where("chunk is not null")
     return exploded.withColumn("size", F.col("size") + 1)
@@ -103,10 +129,20 @@ def reference_section(text: Column) -> tuple[Column, Column]:
 
 
 def numbered_items(docs: DataFrame, keys: list[str], section: str) -> DataFrame:
-    """W-10: lines gathered into items that start at numbered lines; what is before the first number is an item too. Items need some length and a year or identifier."""
-    kept = lines(docs, keys, section, least=1)
-    order = Window.partitionBy(*keys).orderBy("line_no")
-    numbered = kept.withColumn("item", F.sum(F.col("line").rlike(ITEM_START).cast("int")).over(order))
+    """W-10: lines gathered into items that start at numbered lines; what is before the first number is an item too. Items need some length and a year or identifier.
+
+    Items are counted inside segments of a document and moved on by those of the segments before; an item goes on over their borders."""
+    kept = _segmented(lines(docs, keys, section, least=1)).withColumn("_starts", F.col("line").rlike(ITEM_START).cast("int"))
+    within = F.sum("_starts").over(Window.partitionBy(*keys, "_segment").orderBy("line_no"))
+    # Items of the segments before, for documents of several segments: one row a segment.
+    of = [f"_of{k}" for k in range(len(keys))]
+    counts = _segmented(lines(_long(docs, section), keys, section, least=1)).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, of, strict=True)], F.col("_segment").alias("_in")).agg(F.sum(F.col("line").rlike(ITEM_START).cast("int")).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*of).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1))
+    carried = counts.select(*of, "_in", before.alias("_before")).where("_before is not null")
+    same = F.col("_segment") == F.col("_in")
+    for k, n in zip(keys, of, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    numbered = kept.withColumn("_item", within).join(carried, same, "left").select(*keys, "line_no", "line", (F.col("_item") + F.coalesce("_before", F.lit(0))).alias("item"))
     texts = numbered.groupBy(*keys, "item").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
     item = F.trim(F.regexp_replace(X.squeezed(F.array_join(F.transform("parts", lambda p: p["line"]), " ")), ITEM_START, ""))
     cleaned = texts.select(*keys, "item", item.alias("reference_text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics_queries, evidence_queries, gap_queries, report_queries, source_queries, text_queries, transfer_queries  # noqa: F401
+from . import analytics_queries, evidence_queries, file_queries, gap_queries, report_queries, source_queries, text_queries, transfer_queries  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 
