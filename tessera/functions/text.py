@@ -1,10 +1,13 @@
 """Text kernel: folding, tokens, years, identifiers, names and clips, as column expressions.
 
 Python's text rules count Unicode white space and word characters; the patterns here do too ((?U)), so that a no-break space is white space.
-Only what Spark has no expression for is a vectorised UDF: full NFKD folding, character references and relative URLs."""
+Only what Spark has no expression for is a vectorised UDF: relative URLs."""
 
 from __future__ import annotations
 
+import html
+import html.entities
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -35,48 +38,89 @@ FAMILY_PARTICLES = ("de", "del", "du", "van", "von", "der", "zu")
 SAMPLE_PARTICLES = ("de", "van", "von")
 
 
+def _ranges(codes: list[int]) -> str:
+    """A pattern's class of code points."""
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str]:
-    """Letters and digits whose compatibility decomposition, without marks, is one ASCII letter or digit; derived from the Unicode tables."""
-    pairs = []
-    for code in range(0x80, 0x10000):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base.isalnum():
-            pairs.append((chr(code), base.lower()))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _folding() -> tuple[str, str, str, dict[str, str]]:
+    """What compatibility decomposition, without marks, makes of characters beyond ASCII, derived from the Unicode tables: characters that become one ASCII letter or
+    digit, and which; a class of those that vanish; what is left of those that become several characters (ligatures, fractions). All others become spaces."""
+    pairs, gone, spelled = [], [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).lower()
+        made = "".join(c if c.isascii() and c.isalnum() else " " for c in base)
+        if not made:
+            gone.append(code)
+        elif len(made) == 1 and made != " ":
+            pairs.append((chr(code), made))
+        elif made.strip():
+            spelled[chr(code)] = made
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), _ranges(gone), spelled
 
 
 def fold(x: Column, eszett: bool = True, slashed_o: bool = False, drop: str = "") -> Column:
-    """Lower-case ASCII letters and digits, single spaces. Marks are dropped; eszett and slashed o are spelled out if asked; drop: characters removed without a space."""
-    x = F.regexp_replace(F.coalesce(x, F.lit("")), r"\p{M}+", "")
+    """Lower-case ASCII letters and digits, single spaces. Marks are dropped, ligatures and the like spelled out; eszett and slashed o as well if asked; drop: characters
+    removed without a space. Texts of ASCII alone take a shorter way."""
+    x = F.coalesce(x, F.lit(""))
+    old, new, gone, spelled = _folding()
+    several = _ranges(sorted(map(ord, spelled)))
+    words = lambda y: F.trim(F.regexp_replace(F.lower(F.translate(y, drop, "") if drop else y), "[^a-z0-9]+", " "))
+    table = F.from_json(F.lit(json.dumps(spelled)), "map<string,string>")
+    runs = F.regexp_extract_all(x, F.lit(f"{several}|[^{several[1:-1]}]+"), F.lit(0))
+    y = F.when(x.rlike(several), F.array_join(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.coalesce(F.try_element_at(table, r), r)).otherwise(r)), "")).otherwise(x)
+    y = F.regexp_replace(y, f"{gone}+", "")
     if eszett:
-        x = F.regexp_replace(x, "[ßẞ]", "ss")
+        y = F.regexp_replace(y, "[ßẞ]", "ss")
     if slashed_o:
-        x = F.translate(x, "øØ", "oo")
-    old, new = _folding()
-    x = F.lower(F.translate(x, old, new))
-    if drop:
-        x = F.translate(x, drop, "")
-    return F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))
+        y = F.translate(y, "øØ", "oo")
+    return F.when(F.octet_length(x) == F.length(x), words(x)).otherwise(words(F.translate(y, old, new)))
 
 
-@F.pandas_udf(T.StringType())
-def fold_exact(x: pd.Series) -> pd.Series:
-    """fold() with decompositions into several characters (ligatures, fractions) as well."""
-
-    def one(s: str | None) -> str:
-        s = "".join(c for c in unicodedata.normalize("NFKD", s or "") if not unicodedata.combining(c)).lower().replace("ß", "ss")
-        return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in s).split())
+def fold_exact(x: Column) -> Column:
+    """fold(), which spells out ligatures and fractions as well."""
+    return fold(x)
 
-    return x.map(one)
 
+#: A character reference, as browsers and Python find it.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
-@F.pandas_udf(T.StringType())
-def unescape(x: pd.Series) -> pd.Series:
-    """Character references decoded."""
-    import html
 
-    return x.map(html.unescape, na_action="ignore")
+@lru_cache(maxsize=1)
+def _references() -> tuple[str, str, dict[str, str]]:
+    """Names of references and what they stand for; a pattern of those that need no semicolon, longest first; numbers that stand for something else, or nothing."""
+    named = html.entities.html5
+    open_ended = sorted((n for n in named if not n.endswith(";")), key=len, reverse=True)
+    numbers = {str(n): html.unescape(f"&#{n};") for n in range(0x110000) if not 0xD800 <= n < 0xE000 and html.unescape(f"&#{n};") != chr(n)}
+    return json.dumps(named), "^(?:" + "|".join(open_ended) + ")", numbers
+
+
+def unescape(x: Column) -> Column:
+    """Character references decoded: by name (the longest that fits, where the semicolon is missing) and by number. Texts without an ampersand stay as they are."""
+    json_names, open_ended, odd = _references()
+    names, numbers = F.from_json(F.lit(json_names), "map<string,string>"), F.from_json(F.lit(json.dumps(odd)), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        name = F.substr(piece, F.lit(2))
+        stem = F.regexp_extract(name, open_ended, 0)
+        by_name = F.coalesce(F.try_element_at(names, name), F.when(stem != "", F.concat(F.try_element_at(names, stem), F.substr(name, F.length(stem) + 1))), piece)
+        is_hex = piece.rlike("^&#[xX]")
+        digits = F.regexp_replace(piece, "^&#[xX]?0*|;$", "")
+        # Seven decimal or six hexadecimal digits hold the last code point.
+        number = F.when(digits == "", F.lit(0)).when(F.length(digits) > 7, F.lit(0x110000)).when(is_hex, F.conv(digits, 16, 10).cast("int")).otherwise(digits.cast("int"))
+        beyond = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        by_number = F.when(beyond, F.lit("\ufffd")).otherwise(F.coalesce(F.try_element_at(numbers, number.cast("string")), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
+        return F.when(piece.rlike("^&#."), by_number).when(F.length(piece) > 1, F.when(piece.startswith("&"), by_name).otherwise(piece)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(x, F.lit(REFERENCE + "|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(x)
 
 
 @F.pandas_udf(T.StringType())
@@ -167,8 +211,14 @@ def clipped(x: Column, limit: int, room: int = 1) -> Column:
     return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.rtrim(F.substring(x, 1, limit - room)), F.lit("...")))
 
 
+#: Characters of a fingerprint, and of the beginning of a text that holds them as a rule.
+FINGERPRINT, BEGINNING = 240, 1000
+
+
 def fingerprint(x: Column) -> Column:
-    return F.substring(fold(x), 1, 240)
+    """The first FINGERPRINT characters of the folded text. A text's beginning folds to the beginning of the folded text, so where that is long enough the rest isn't folded."""
+    begin = fold(F.substring(x, 1, BEGINNING))
+    return F.substring(F.when((F.length(begin) >= FINGERPRINT) | (F.coalesce(F.length(x), F.lit(0)) <= BEGINNING), begin).otherwise(fold(x)), 1, FINGERPRINT)
 
 
 def family_names(full_name: Column, particles: tuple[str, ...] = FAMILY_PARTICLES) -> Column:
