@@ -20,7 +20,8 @@ def test_mode_and_firsts_survive_shuffling(spark):
         random.Random(seed).shuffle(rows)
         df = spark.createDataFrame(rows, "g int, at int, v string").repartition(3)
         assert [tuple(r) for r in A.mode_first(df, ["g"], "v", "at").collect()] == [(1, "b")]
-        got = {r.g: (r.first, r.every) for r in df.groupBy("g").agg(A.first_filled("v", "at").alias("first"), A.ordered_distinct("v", "at").alias("every")).collect()}
+        every = A.ordered_lists(df, ["g"], ["v"], "at").withColumnRenamed("v", "every")
+        got = {r.g: (r.first, r.every) for r in df.groupBy("g").agg(A.first_filled("v", "at").alias("first")).join(every, "g").collect()}
         assert got == {1: ("b", ["b", "a", "c"]), 2: (None, [])}
         assert [(r.g, r.at) for r in A.first_wins(df, ["g"], ["at"]).orderBy("g").collect()] == [(1, 0), (2, 9)]
 
