@@ -9,13 +9,12 @@ the moves of a state start at its base, and a slot belongs to the state that its
 side with array operations, against all languages at once; the few that go on longer than all others are finished one symbol after
 the other. Whole texts are parsed, and no phrase is cut.
 
-The learned sample is bounded: at most SAMPLE_DOCS rows a language, chosen by a hash of the id; equal texts count once. A text is
-learned whole; one of more than PASSAGE characters gives a passage of that size from a place that its hash names. All letters of the
-sample are told apart. Languages are the non-null labels.
+The learned sample is bounded: at most SAMPLE_DOCS texts a language, chosen by a hash among the distinct ones that hold a letter. A chosen text is
+learned whole, however long. All letters of the sample are told apart. Languages are the non-null labels.
 
 Cases: null texts and texts without a letter are "und" with score 0; letters that the sample lacks are unknown symbols,
 each a phrase of its own; equal rates go to the language first by name; repeated rows are judged alike; rows without an id teach
-nothing, and rows of one id that differ count one by one towards SAMPLE_DOCS; without labelled rows everything is "und"; an empty table gives an empty result; other columns are kept, but columns
+nothing, and equal texts of a language count once, whatever their ids; without labelled rows everything is "und"; an empty table gives an empty result; other columns are kept, but columns
 named like an output give way to it.
 """
 
@@ -32,8 +31,8 @@ from pyspark.sql.window import Window
 
 from .common import bound_batches, without
 
-#: Labelled rows learned for a language; characters above which a text gives a passage of that size, placed by a hash.
-SAMPLE_DOCS, PASSAGE = 64, 2_048
+#: Labelled texts learned for a language.
+SAMPLE_DOCS = 64
 #: Texts that are still parsed side by side; slope of the score against differences of rates.
 LEAST_LANES, SLOPE = 12, 12.0
 GAP, OTHER = 0, 1
@@ -200,20 +199,18 @@ class CrossParser:
         return names, scores, best
 
 
-def learn(labelled: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, chars: int = PASSAGE) -> CrossParser:
-    """The parser of the bounded sample. Ids are chosen without their texts, which are then fetched by a broadcast of at most docs ids a language."""
-    keys = labelled.where(F.col(lang).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("_id"), F.col(lang).alias("_lang"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = keys.withColumn("_rank", rank).where(F.col("_rank") <= docs).select("_id", "_lang").distinct()
-    rows = labelled.select(F.col(row_id).alias("_row"), F.col(lang).alias("_of"), F.coalesce(text, F.lit("")).alias("_said")).join(F.broadcast(chosen), (F.col("_row") == F.col("_id")) & (F.col("_of") == F.col("_lang")))
-    place = F.pmod(F.xxhash64("_said"), F.greatest(F.lit(1), F.length("_said") - chars + 1)).cast("int") + 1
-    said = rows.select("_lang", F.xxhash64("_id").alias("_key"), F.substring(F.col("_said"), place, F.lit(chars)).alias("_text")).distinct()
-    # An id may stand on any number of rows.
-    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_text"))
-    found = said.withColumn("_nth", nth).where(F.col("_nth") <= docs).select("_lang", "_key", "_text").collect()
-    texts: dict[str, dict[str, None]] = {}
-    for name, _, said in sorted(found):
-        texts.setdefault(name, {})[said] = None
+def learn(labelled: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS) -> CrossParser:
+    """The parser of the bounded sample. Texts are chosen by their digests, at most `docs` a language, and then fetched whole by a broadcast of these."""
+    said = labelled.where(F.col(lang).isNotNull() & F.col(row_id).isNotNull()).select(F.col(lang).alias("_of"), F.col(text).alias("_said"), F.xxhash64(text).alias("_mark"))
+    lettered = said.where(F.col("_said").rlike(r"\p{L}"))
+    marks = lettered.select(F.col("_of").alias("_lang"), F.col("_mark").alias("_key")).distinct()
+    # Each task hands on as many digests of a language as are chosen.
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key"))
+    chosen = marks.withColumn("_rank", rank).where(F.col("_rank") <= docs).select("_lang", "_key")
+    found = lettered.join(F.broadcast(chosen), (F.col("_of") == F.col("_lang")) & (F.col("_mark") == F.col("_key"))).groupBy("_lang", "_key").agg(F.min("_said").alias("_text")).collect()
+    texts: dict[str, list[str]] = {}
+    for name, _, whole in sorted(found):
+        texts.setdefault(name, []).append(whole)
     return CrossParser({name: "\n".join(said) for name, said in texts.items()})
 
 

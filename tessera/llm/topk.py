@@ -1,10 +1,11 @@
 """Exact top-k search by inner product with MaxScore.
 
 Vectors become integers. Candidates are dealt into shards and queries into blocks, both of bounded size; a task holds one shard
-against one block. Every dimension of a query is a term with a score bound taken from the shard. Terms in order of bound split
-into non-essential ones, which together can't reach the k-th score so far, and essential ones. Only essential postings are
-traversed; survivors have the other terms probed one by one, strongest first, while they stay competitive. The k best of all
-shards are merged by query.
+against one block. A shard's rows are ordered by falling norm and cut into steps; every dimension of a query is a term, with a score bound in each step. The
+terms are taken by falling weight. What the terms from some place on can add at most is bounded twice, by the sum of their bounds and by the product of norms
+(their weights' and the step's rows'); a step whose terms together stay below the k-th score so far is skipped. The first terms without which that
+score is out of reach are the essential ones: only their postings are multiplied for all rows of a step. The others are probed some at a time for the
+rows that stay competitive. The k best of all shards are merged by query.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; shorter vectors count
 as padded with zeros; a query never meets rows of its own id; equal scores go to the smaller id; repeated candidates each count, but are summed before they
@@ -25,6 +26,8 @@ from pyspark.sql.window import Window
 K, SCALE = 20, 64
 #: Rows of a shard and of a query block at most, of the steps in which a shard is searched. Smaller inputs are dealt over all cores, in shards of a step or more.
 SHARD_ROWS, QUERY_ROWS, STRIDE = 65_536, 8_192, 4_096
+#: Rows of the first step, all of whose products are made, and terms that are probed at a time.
+FIRST_ROWS, PROBED = 512, 8
 
 
 def integers(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -43,38 +46,59 @@ def matrix(rows: pa.Table, width: int) -> np.ndarray:
     return out
 
 
-def maxscore(query: np.ndarray, own: int, ids: np.ndarray, postings: np.ndarray, high: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows of one shard. postings: one row for each dimension; high, low: its bounds."""
-    most = np.where(query > 0, query * high, query * low)
-    least = np.where(query > 0, query * low, query * high)
-    order = np.argsort(most - least, kind="stable")  # weakest term first
-    # reach[i]: the best score of a row that has the i weakest terms at their most and no essential posting above its least
-    reach = np.concatenate((np.zeros(1), np.cumsum(most[order]))) + least.sum() - np.concatenate((np.zeros(1), np.cumsum(least[order])))
-    best_ids, best, floor = np.empty(0, np.int64), np.empty(0), -np.inf
-    for at in range(0, len(ids), STRIDE):
-        if reach[-1] < floor:
-            break
-        to = min(at + STRIDE, len(ids))
-        split = max(0, int(np.searchsorted(reach, floor, side="left")) - 1)
-        essential = query.copy()
-        essential[order[:split]] = 0
-        score = essential @ postings[:, at:to]
-        alive = np.arange(at, to)
-        left = most[order[:split]].sum()
-        for term in order[:split][::-1]:
-            keep = score + left >= floor
-            if not keep.all():
-                alive, score = alive[keep], score[keep]
-            score = score + query[term] * postings[term, alive]
-            left -= most[term]
+def steps(rows: int) -> list[tuple[int, int]]:
+    """Where the steps of a shard begin and end."""
+    edges = [0, *range(min(FIRST_ROWS, STRIDE), rows, STRIDE), rows]
+    return list(zip(edges, edges[1:], strict=False)) if rows else []
+
+
+def maxscore(query: np.ndarray, own: int, ids: np.ndarray, postings: np.ndarray, high: np.ndarray, low: np.ndarray, k: int, norms: np.ndarray | None = None, counted: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best rows of one shard. postings: one row for each dimension; high, low: its bounds, of all rows or by step; norms: the largest
+    norm in each step; counted gets the number of products made."""
+    order = np.argsort(-np.abs(query), kind="stable")
+    weights = query[order]
+    tail = np.sqrt(np.append(np.cumsum((weights**2)[::-1])[::-1], 0.0))
+    best_ids, best, floor, made = np.empty(0, np.int64), np.empty(0), -np.inf, 0
+    for step, (at, to) in enumerate(steps(len(ids))):
+        top, bottom = (high, low) if high.ndim == 1 else (high[step], low[step])
+        most = np.where(weights > 0, weights * top[order], weights * bottom[order])
+        # left[i]: what the terms from i on can add at most. Rounding must not make a bound too small: scores are whole numbers.
+        left = np.append(np.cumsum(most[::-1])[::-1], 0.0)
+        if norms is not None:
+            left = np.minimum(left, np.floor(tail * norms[step] * (1 + 1e-9) + 1))
+        if left[0] < floor:
+            continue
+        n = int(np.argmax(left < floor)) if floor > left[-1] else len(weights)
+        score = weights[:n] @ postings[order[:n], at:to]
+        alive, made = np.arange(at, to), made + n * (to - at)
+        while n < len(weights):
+            keep = score + left[n] >= floor
+            alive, score = alive[keep], score[keep]
+            if not len(alive):
+                break
+            more = min(n + PROBED, len(weights))
+            score = score + weights[n:more] @ postings[order[n:more, None], alive]
+            made, n = made + (more - n) * len(alive), more
         keep = (score >= floor) & (ids[alive] != own)
         if keep.any():
             best_ids, best = best_of(np.concatenate((best_ids, ids[alive[keep]])), np.concatenate((best, score[keep])), k)
             if len(best) == k:
                 floor = best[-1]
+    if counted is not None:
+        counted.append(made)
     return best_ids, best
 
 
+def by_norm(ids: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's rows by falling norm: ids, postings, and by step the bounds of each dimension and the largest norm."""
+    norms = np.sqrt((data**2).sum(1))
+    order = np.lexsort((ids, -norms))
+    ids, data, norms = ids[order], data[order], norms[order]
+    cuts = steps(len(ids))
+    high, low = (np.array([f(data[a:b], axis=0) for a, b in cuts]) for f in (np.max, np.min))
+    return ids, np.ascontiguousarray(data.T), high, low, np.array([norms[a] for a, _ in cuts])
+
+
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best, best first, ties to the smaller id."""
     if len(ids) > k:
@@ -101,14 +125,12 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: in
     def probe(rows: pa.Table, asked: pa.Table) -> pa.Table:
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
         if rows.num_rows and asked.num_rows:
-            data = matrix(rows, width)
-            ids, postings = rows.column("vec_id").to_numpy(), np.ascontiguousarray(data.T)
-            high, low = postings.max(1), postings.min(1)
+            ids, postings, high, low, norms = by_norm(rows.column("vec_id").to_numpy(), matrix(rows, width))
             weights = matrix(asked, width)
             if np.abs(weights).sum(1).max() * max(abs(high).max(), abs(low).max()) >= 2.0**53:
                 raise OverflowError("scores leave the range of exact integers")
             for own, query, key in zip(asked.column("vec_id").to_numpy(), weights, asked.column("key").to_numpy(), strict=True):
-                best_ids, best = maxscore(query, own, ids, postings, high, low, k)
+                best_ids, best = maxscore(query, own, ids, postings, high, low, k, norms)
                 found.append((np.full(len(best), own), best_ids, best, np.full(len(best), key)))
         query_ids, best_ids, scores, keys = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"query_id": pa.array(query_ids, pa.int64()), "vec_id": pa.array(best_ids, pa.int64()), "score": pa.array(scores).cast(pa.int64()), "key": pa.array(keys, pa.int64())})

@@ -88,11 +88,11 @@ def test_edges(spark, docs):
     assert clash.columns == ["doc_id", "text", "lang", "source", "_lang", "lang_pred", "score", "phrase_rate"] and clash.count() == docs.count()
 
 
-def test_learned_passages_lie_anywhere(spark):
+def test_every_part_of_a_long_text_is_learned(spark):
     rows = [(k, "header " * 400 + "".join("abcdefghij"[(k * 7 + i) % 10] for i in range(6000)), "en") for k in range(20)] + [(100 + k, "une copie", "fr") for k in range(90)]
     got = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     n = {name: 2 ** scale for name, scale in zip(got.names, got.scale, strict=True)}
-    assert n["en"] > 9 * language.PASSAGE and n["fr"] < 12
+    assert n["en"] > 10 * 8_000 and n["fr"] < 12
     assert got.rates([got.symbols(rows[3][1][5000:6000])])[0, 0] < got.rates([got.symbols("k" * 500)])[0, 0]
 
 
@@ -100,3 +100,18 @@ def test_rows_of_one_id_stay_within_the_bound(spark):
     rows = [(1, f"text number {'abcdefghij'[k % 10] * (k % 37)}", "en") for k in range(3000)] + [(2, "une copie", "fr")]
     got = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs=5)
     assert got.names == ["en", "fr"] and 2 ** got.scale[0] <= 5 * 60
+
+
+def test_chosen_texts_are_learned_whole_and_once(spark):
+    """Texts far above and below 2,048 characters, copies, empty ones: each distinct text with a letter is a text of the sample."""
+    random.seed(11)
+    words = lambda n: " ".join("".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long, short = words(4000), words(20)
+    rows = [(1, long, "x"), (2, short, "x"), (3, "", "x"), (4, None, "x"), (5, "12 34", "x")] + [(10 + k, long, "x") for k in range(200)] + [(300 + k, words(30), "y") for k in range(70)]
+    parser = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert parser.names == ["x", "y"]
+    pieces = [long[k : k + 300] for k in range(0, len(long) - 300, 1710)] + [short, long]
+    counts = [round(r[0] * len(parser.symbols(p)) / parser.scale[0]) for r, p in zip(parser.rates([parser.symbols(p) for p in pieces]), pieces, strict=True)]
+    assert counts == [1] * len(pieces)
+    symbols = len(parser.symbols(long + "\n" + short))
+    assert parser.scale[0] == np.log2(symbols)

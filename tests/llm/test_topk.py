@@ -61,3 +61,35 @@ def test_many_repeated_candidates(spark):
     vectors = topk.integers(hot)
     got = topk.search(vectors, vectors.where("vec_id = 0"), k=4, shard_rows=8, query_rows=2).orderBy("rank").collect()
     assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 9, 64 * 64 * 4), (2, 4, 64 * 64 * 3), (3, 5, 64 * 64 * 3), (4, 5, 64 * 64 * 3)]
+
+
+def test_products_are_skipped_and_nothing_that_competes(spark, monkeypatch):
+    """Rows by norm, in steps with bounds of their own: the same rows as all products give, from fewer products."""
+    rng = np.random.default_rng(3)
+    for first, stride in ((512, 4096), (16, 64), (1, 1), (7, 1000)):
+        monkeypatch.setattr(topk, "FIRST_ROWS", first)
+        monkeypatch.setattr(topk, "STRIDE", stride)
+        for width, scale in ((64, 1.0), (5, 1.0), (1, 1.0), (64, 0.0)):
+            data = np.floor(rng.normal(0, 20, (2000 if stride > 1 else 60, width)) * scale)
+            data[: len(data) // 3] *= rng.integers(0, 4, (len(data) // 3, 1))
+            data[5:9] = data[4]
+            ids = rng.permutation(len(data)) + 10
+            shard = topk.by_norm(ids, data)
+            for own in (4, 30, 50):
+                got_ids, got = topk.maxscore(data[own], ids[own], *shard[:4], 20, shard[4])
+                full = data @ data[own]
+                order = [i for i in np.lexsort((ids, -full)) if i != own][:20]
+                assert got_ids.tolist() == ids[order].tolist() and got.tolist() == full[order].tolist()
+    monkeypatch.setattr(topk, "FIRST_ROWS", 512)
+    monkeypatch.setattr(topk, "STRIDE", 4096)
+    rows = [(r.vec_id, list(r.v)) for r in topk.integers(spark.read.parquet("/root/testdata/check_s/embeddings.parquet")).collect()]
+    ids, data = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    shard, counted = topk.by_norm(ids, data), []
+    for i in np.flatnonzero(ids % 20 == 0)[:60]:
+        topk.maxscore(data[i], ids[i], *shard[:4], 20, shard[4], counted)
+    assert sum(counted) < 0.65 * 60 * data.size
+    skewed = topk.by_norm(ids, data * (1 + (ids[:, None] % 50 == 0) * 9))
+    counted.clear()
+    for i in np.flatnonzero(ids % 20 == 0)[:60]:
+        topk.maxscore(data[i], ids[i], *skewed[:4], 20, skewed[4], counted)
+    assert sum(counted) < 0.3 * 60 * data.size
