@@ -11,8 +11,8 @@ from tessera.llm import language, mixing, ngram_join, piece_codec, suffix_dedup
 from tessera.llm.common import MADE, discard_since, stored, table, unused
 
 
-#: Passages of more words than this that occur elsewhere are cut; strings of so many bytes hold them, if their words have three letters.
-PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+#: Passages of more words than this that occur elsewhere are cut; no passage of 51 words has fewer bytes than 51 letters and 50 spaces.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 101
 
 
 def beside(docs: DataFrame, outputs: tuple[str, ...], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -23,9 +23,14 @@ def beside(docs: DataFrame, outputs: tuple[str, ...], made: Callable[[DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go; the others have the language that their text is in, whatever they were labelled."""
     samples = language.learn(docs.where(F.coalesce(language.remainder(F.col("doc_id"), 4) != 2, F.lit(True))))
-    return beside(docs, ("lang_pred", "score", "phrase_rate"), lambda d: language.identify(d, samples).where(F.col("lang_pred") != "und"))
+
+    def told(d: DataFrame) -> DataFrame:
+        known = language.identify(d, samples).where(F.col("lang_pred") != "und")
+        return known.withColumn("lang", F.col("lang_pred")) if "lang" in d.columns else known
+
+    return beside(docs, ("lang_pred", "score", "phrase_rate"), told)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
