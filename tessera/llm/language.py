@@ -31,8 +31,8 @@ from pyspark.sql.window import Window
 
 from .common import bound_batches, without
 
-#: Labelled texts learned for a language.
-SAMPLE_DOCS = 64
+#: Labelled texts learned for a language, shares of a language that they are chosen in.
+SAMPLE_DOCS, SHARES = 64, 64
 #: Texts that are still parsed side by side; slope of the score against differences of rates.
 LEAST_LANES, SLOPE = 12, 12.0
 GAP, OTHER = 0, 1
@@ -204,9 +204,12 @@ def learn(labelled: DataFrame, row_id: str = "doc_id", text: str = "text", lang:
     said = labelled.where(F.col(lang).isNotNull() & F.col(row_id).isNotNull()).select(F.col(lang).alias("_of"), F.col(text).alias("_said"), F.xxhash64(text).alias("_mark"))
     lettered = said.where(F.col("_said").rlike(r"\p{L}"))
     marks = lettered.select(F.col("_of").alias("_lang"), F.col("_mark").alias("_key")).distinct()
-    # Each task hands on as many digests of a language as are chosen.
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key"))
-    chosen = marks.withColumn("_rank", rank).where(F.col("_rank") <= docs).select("_lang", "_key")
+    # First in shares of a language, then among the firsts of all shares: no task meets all digests of a language.
+    marks = marks.withColumn("_share", F.pmod(F.xxhash64("_key", F.lit("share")), F.lit(SHARES)))
+    for group in (["_lang", "_share"], ["_lang"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("_key"), "_key"))
+        marks = marks.withColumn("_rank", rank).where(F.col("_rank") <= docs)
+    chosen = marks.select("_lang", "_key")
     found = lettered.join(F.broadcast(chosen), (F.col("_of") == F.col("_lang")) & (F.col("_mark") == F.col("_key"))).groupBy("_lang", "_key").agg(F.min("_said").alias("_text")).collect()
     texts: dict[str, list[str]] = {}
     for name, _, whole in sorted(found):

@@ -14,11 +14,13 @@ or, on the level of the page itself, right there, it is the element around them.
 What a template can't tell is left out by what elements say they are, as a last resort: by tag (menus, page headers, footers, sidebars, forms
 and their controls; noscript holds what readers with scripts don't see, svg and canvas are pictures), and by whole names of classes, ids
 and roles. A compound name counts if each of its parts does ("site-header"; not "section-header" or "has-sidebar"). Names that may also be
-those of a paragraph's contents ("reply", "related") count on containers only. A header in an article is the article's own. Where
-nothing would be left of a page, names are not believed.
+those of a paragraph's contents ("reply", "related") count on containers only, and inside an article or main element only names that no part of
+an article has ("comments", "advert"; a discussion, a form of words or a notice may be the article's own). A header in an article is the article's own. A
+control inside a paragraph goes without cutting it in two. Where nothing would be left of a page, names are not believed.
 
-Hosts with few pages share the template of all pages of such hosts. A page without its host's slot is read whole, without the elements
-left out above.
+Every host has its own template, however few its pages. Text counts as template text from two pages on that differ, unless it makes up most of the slot's text, as on
+pages that are near copies; headings in the slot stay, since sections of articles have equal names. A page without its host's slot is read whole, without
+the elements left out above.
 
 Cases: null and empty html give an empty text and null urls are one host; unclosed and stray tags, comments and raw script text
 are dealt with as browsers do; pages that repeat count as pages, but text that they alone share is no template text; any length is read
@@ -41,9 +43,9 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, stored, unused, without
 
-#: Pages under which a host shares the pooled template; shares of pages that a class and a template text must stand on; share of a host's text a slot must hold.
-LEAST_PAGES, FREQUENT, CONSTANT, HOLDS = 4, 0.5, 0.9, 0.8
-POOLED = "*"
+#: Different pages that template text must stand on; shares of pages that a class and a template text must stand on; share of a host's text a slot must hold, and
+#: that text may have which is the same on all pages.
+LEAST_DIFFERENT, FREQUENT, CONSTANT, HOLDS, SAME = 2, 0.5, 0.9, 0.8, 0.5
 
 RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|noembed|noframes"
 TOKEN = re.compile(
@@ -51,21 +53,24 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle".split())
 #: Start tags that close an open element of the same group.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("ul ol dl table article section main aside nav div body blockquote td th".split())
 #: Tags of elements that aren't the article, and of those whose own header belongs to it.
-LEFT_OUT = frozenset("head nav header footer aside form button dialog menu fieldset input".split())
+LEFT_OUT = frozenset("head nav header footer aside form dialog menu fieldset".split())
 OWNERS = frozenset("article main".split())
 #: Names of adverts, menus, notices and comments, on any element; names that count on containers only; parts that say nothing by themselves.
 SURE_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs masthead contentinfo sidebar cookie cookies consent gdpr comments commentlist disqus newsletter toolbar".split())
 CONTAINER_NAMES = SURE_NAMES | frozenset("promotion banner header footer aside complementary widget widgets notice notices alert comment discussion reply replies respond form search login signup subscribe subscription share sharing social related popup modal".split())
 PLAIN_PARTS = frozenset("site page main top bottom left right global primary secondary list box bar block area wrapper wrap container inner outer links items posts articles".split())
+#: Names that count inside an article.
+INNER_NAMES = SURE_NAMES - {"menu", "toolbar"} | frozenset("comment comments replies widget widgets promotion login signup subscribe subscription popup modal sharing".split())
 CONTAINERS = frozenset("div section ul ol dl table aside details figure footer header nav form iframe center".split())
 NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Blocks whose text belongs to what stands beside them.
 PAGE_LEVEL = re.compile(r"(?:\A|/)(?:body|html)(?:\.[^/]*)?\Z")
+HEADING = re.compile(r"h[1-6](?:\.|\Z)")
 PROSE = re.compile(r"(?:h[1-6]|p|blockquote|pre|figure)(?:\.|\Z)")
 
 
@@ -118,7 +123,7 @@ def parsed(page: str) -> tuple[list[tuple[str, ...]], list[Block]]:
 
     def said(text: str) -> None:
         nonlocal links
-        if text:
+        if text and not any(s[0] == "button" for s in stack):
             text = entities.unescape(text)
             pieces.append(text)
             if any(s[0] == "a" for s in stack):
@@ -158,9 +163,10 @@ def parsed(page: str) -> tuple[list[tuple[str, ...]], list[Block]]:
         if tag in VOID or m["rest"].endswith("/") and tag not in INLINE and tag not in ("p", "div"):
             continue
         out = stack[-1][2] if stack else 0
-        if tag in LEFT_OUT and not (tag == "header" and any(x[0] in OWNERS for x in stack)):
+        inside = any(x[0] in OWNERS for x in stack)
+        if tag in LEFT_OUT and not (tag == "header" and inside):
             out = 2
-        elif not out and names and tag not in ("html", "body", *OWNERS) and says(names, CONTAINER_NAMES if tag in CONTAINERS else SURE_NAMES):
+        elif not out and names and tag not in ("html", "body", *OWNERS) and says(names, (INNER_NAMES if inside else CONTAINER_NAMES) if tag in CONTAINERS else SURE_NAMES):
             out = 1
         stack.append((tag, step, out))
         if tag not in INLINE:
@@ -179,6 +185,7 @@ def page_tokens(page: str) -> dict[tuple[str, str], list[int]]:
     for b in blocks:
         out[b.token()][0] += 1
         if not b.out:
+            out[b.token()][1] += len(b.text) - b.links
             for k in range(1, len(b.path) + 1):
                 out["/".join(b.path[:k]), ""][1] += len(b.text) - b.links
     return out
@@ -246,12 +253,22 @@ def skeleton_slot(tags: list[tuple[str, int, int, int]], constant: set[str]) ->
     return slot
 
 
+def template_texts(slot: str, members: list[tuple[str, str, int]]) -> list[str]:
+    """Path and digest of the blocks that are template text, from the template's tags and texts (path, digest or "", characters)."""
+    within = lambda path: not slot or path == slot or path.startswith(f"{slot}/")
+    own = [m for m in members if m[1] and within(m[0])]
+    whole = sum(m[2] for m in members if not m[1] and (m[0] == slot if slot else "/" not in m[0]))
+    if sum(m[2] for m in own) > SAME * whole:
+        own = []
+    return sorted(f"{path} {word}" for path, word, _ in own if not HEADING.match(path.rpartition("/")[2]))
+
+
 def templates(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     """host, slot, texts (path and digest of each template text): the template of each host, from the equivalence classes of its tokens."""
     classes = tokens.groupBy("host", "vector", "pages", "total").agg(F.count("*").alias("members"))
     valid = classes.join(sizes, "host").where((F.col("members") >= 2) & (F.col("pages") >= FREQUENT * F.col("host_pages"))).select("host", "vector", "pages", "total", "host_pages", "differing")
     # Pages that repeat show nothing about their texts.
-    sure = (F.col("pages") >= CONSTANT * F.col("host_pages")) & (F.col("differing") >= F.greatest(F.lit(LEAST_PAGES), F.col("host_pages") / 2))
+    sure = (F.col("pages") >= CONSTANT * F.col("host_pages")) & (F.col("differing") >= F.greatest(F.lit(LEAST_DIFFERENT), F.col("host_pages") / 2))
     members = tokens.join(valid, ["host", "vector", "pages", "total"]).where((F.col("word") == "") | sure)
     found = members.groupBy("host").agg(F.collect_list(F.struct("path", "word", "pages", "total", "chars")).alias("members"))
 
@@ -259,8 +276,9 @@ def templates(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
         for batch in batches:
             made, texts = [], []
             for members in batch.column("members").to_pylist():
-                texts.append(sorted(f"{m['path']} {m['word']}" for m in members if m["word"]))
-                made.append(skeleton_slot([(m["path"], m["pages"], m["total"], m["chars"]) for m in members if not m["word"]], {m["path"] for m in members if m["word"]}))
+                slot = skeleton_slot([(m["path"], m["pages"], m["total"], m["chars"]) for m in members if not m["word"]], {m["path"] for m in members if m["word"]})
+                made.append(slot)
+                texts.append(template_texts(slot, [(m["path"], m["word"], m["chars"]) for m in members]))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string()), pa.array(texts, pa.list_(pa.string()))], names=["host", "slot", "texts"])
 
     return found.mapInArrow(slots, "host string, slot string, texts array<string>")
@@ -288,15 +306,9 @@ def extract(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     tokens = stored(token_sums(hosts), "page-tokens")
     counts = F.count("*").alias("host_pages"), F.approx_count_distinct(F.xxhash64("html")).alias("differing")
     sizes = stored(hosts.groupBy("host").agg(*counts), "page-hosts")
-    small = sizes.where(F.col("host_pages") < LEAST_PAGES).select("host")
-    pool = _summed(tokens.join(small, "host", "left_semi").withColumn("host", F.lit(POOLED)))
-    pool_size = sizes.where(F.col("host_pages") < LEAST_PAGES).select(F.lit(POOLED).alias("host"), "host_pages", "differing").groupBy("host").agg(F.sum("host_pages").alias("host_pages"), F.sum("differing").alias("differing"))
-    own = templates(tokens, sizes.where(F.col("host_pages") >= LEAST_PAGES))
-    shared = templates(pool, pool_size).select("slot", "texts").first()  # at most one row
-    of_pool = F.lit(shared["slot"] if shared else None).cast("string"), F.array(*[F.lit(t) for t in (shared["texts"] if shared else [])]).cast("array<string>")
     # A table of one row a host; its size on disk decides whether it is broadcast.
     host, of, slot, texts, page = unused(df, "_host", "_of", "_slot", "_texts", "_html")
-    slots = stored(own.unionByName(small.select("host", of_pool[0].alias("slot"), of_pool[1].alias("texts"))), "page-slots").select(F.col("host").alias(host), F.col("slot").alias(slot), F.col("texts").alias(texts))
+    slots = stored(templates(tokens, sizes), "page-slots").select(F.col("host").alias(host), F.col("slot").alias(slot), F.col("texts").alias(texts))
     keyed = df.select(*kept, F.col(html).alias(page), host_of(F.col(url)).alias(of))
     joined = keyed.join(slots, F.col(of) == F.col(host), "left").select(*kept, page, slot, texts)
 

@@ -7,7 +7,8 @@ from left to right; the ids are read off backwards. Cost is linear in the text,
 
 Texts are cut where no piece can reach across (before a run of the space mark, around line ends, between a word of letters and
 one of MARKS), so units repeat and bounded memos hold their ids and spellings. Cases: null and empty texts give no ids and an empty text; characters outside the vocabulary
-become their UTF-8 byte pieces; repeated rows are encoded alike; other columns of the input are kept as they are.
+become their UTF-8 byte pieces; repeated rows are encoded alike; an empty table gives an empty result; other columns of the input are kept as they are, but
+columns named like an output, whatever their case, give way to it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, without
 
 SPACE = "▁"
 #: Marks before which a unit may end after a letter, where the vocabulary allows it.
@@ -293,8 +294,8 @@ def codec(model_file: str) -> PieceCodec:
 
 
 def _with(df: DataFrame, fields: list[T.StructField], make) -> DataFrame:
-    """The frame with further columns, made from batches by make(batch) -> arrays; columns of these names give way."""
-    kept = [c for c in df.columns if c not in {f.name for f in fields}]
+    """The frame with further columns, made from batches by make(batch) -> arrays; columns of these names, whatever their case, give way."""
+    kept = without(df, *(f.name for f in fields))
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

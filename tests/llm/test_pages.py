@@ -73,3 +73,37 @@ def test_clashing_names(spark):
     got = pages.extract(df)
     assert got.columns == ["page_id", "url", "slot", "texts", "host", "_slot", "_HTML", "text", "n_chars"]
     assert all(r.slot == r.page_id == r.host for r in got.collect())
+
+
+def body(page):
+    return [b.text for b in pages.parsed(page)[1] if not b.out]
+
+
+def test_parts_of_an_article_stay_whatever_they_are_called():
+    for name in "discussion form search social header menu alert notice related reply share".split():
+        assert body(f'<article><p>Body</p><section class="{name}"><h2>Discussion</h2><p>More</p></section></article>') == ["Body", "Discussion", "More"]
+        assert body(f'<body><div class="{name}"><p>More</p></div></body>') == []
+    assert body('<article><p>Body</p><div class="comments"><p>Nice</p></div><div class="advert">Buy</div></article>') == ["Body"]
+
+
+def test_controls_do_not_cut_a_paragraph():
+    assert body("<p>Press <button>OK</button> to go on</p><p>Name <input name=x> and <select><option>a</select> end</p>") == ["Press to go on", "Name and end"]
+    assert body("<button>Menu</button><p>text</p>") == ["text"]
+
+
+TEMPLATE = "<body><div class=top>The Daily Site</div><div class=wrap><div class=text><h1>Title {k}</h1><h2>Introduction</h2><p>Words of {k}, {more}</p><h2>Results</h2><p>Found {k}</p></div></div><div class=foot>All rights reserved, the same on all pages</div></body>"
+
+
+def test_small_and_large_hosts_have_templates_of_their_own(spark):
+    """Two, three and eight pages: the same article; recurring headings stay."""
+    for n in (2, 3, 8):
+        rows = [(k, f"https://n{n}.example/{k}", TEMPLATE.format(k=k, more=f"long text {k} " * 40)) for k in range(n)]
+        for r in pages.extract(frame(spark, rows)).collect():
+            k = r.page_id
+            assert r.text.split("\n") == [f"Title {k}", "Introduction", f"Words of {k}, " + (f"long text {k} " * 40).strip(), "Results", f"Found {k}"]
+
+
+def test_near_copies_on_a_small_host_keep_their_text(spark):
+    page = "<body><div class=a><p>{}</p><p>{}</p><p>Signed by {}</p></div></body>"
+    rows = [(k, f"https://two.example/{k}", page.format("The first paragraph of both. " * 9, "The second paragraph of both. " * 9, k)) for k in range(2)]
+    assert all(len(r.text.split("\n")) == 3 for r in pages.extract(frame(spark, rows)).collect())

@@ -1,6 +1,7 @@
 """Encoding and decoding against the library, on fixtures and random texts."""
 
 import hashlib
+import random
 
 import pytest
 import sentencepiece
@@ -56,3 +57,26 @@ def test_operators_keep_columns_and_handle_edges(spark, docs, model_file):
         ids = library.encode(r.text or "")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
     assert piece_codec.encode(docs.limit(0), model_file).count() == 0
+
+
+def test_clashing_names_and_an_empty_table(spark, model_file):
+    df = spark.createDataFrame([(1, "some text", 7)], "doc_id long, text string, n int")
+    clashing = df.selectExpr("*", "1 AS N_TOKENS", "2 AS IDS", "3 AS Decoded", "4 AS Ids_SHA256")
+    got = piece_codec.round_trip_digests(clashing, model_file)
+    assert got.columns == ["doc_id", "text", "n", "IDS", "Decoded", "n_tokens", "ids_sha256", "decoded_sha256"] and got.select("n_tokens").first()[0] > 1
+    coded = piece_codec.encode(clashing, model_file)
+    assert coded.columns == ["doc_id", "text", "n", "N_TOKENS", "Decoded", "Ids_SHA256", "ids"]
+    back = piece_codec.decode(coded, model_file)
+    assert back.columns[-1] == "decoded" and "Decoded" not in back.columns and back.select("decoded").first()[0] == "some text"
+    assert piece_codec.round_trip_digests(clashing.limit(0), model_file).count() == 0 == piece_codec.encode(clashing.limit(0), model_file).count()
+
+
+def test_the_round_trip_decodes_as_decode_does(model_file):
+    rng = random.Random(12)
+    own = piece_codec.codec(model_file)
+    pieces = ["the", " ", "  ", "\n", "é", "日本", "\U0001f600", "a", "ing", ".", ",", "\t", "\u00a0", "▁", "1", "X", "\x00", "ﬁ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(40)))
+        n, ids, decoded = own.round_trip(text)
+        coded = own.encode(text)
+        assert n == len(coded) and ids == ",".join(map(str, coded)) and decoded == own.decode(coded)

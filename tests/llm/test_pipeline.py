@@ -1,9 +1,11 @@
 """Stages of the corpus pipeline against what they stand for, each on its own input."""
 
+import random
 import re
 
 import corpus_pipeline
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tests.llm.test_near_copies import groups
 from tests.llm.test_suffix_dedup import brute as cuts
@@ -26,7 +28,7 @@ def test_stages_in_order(spark, model_file):
     before, rows = kept["near_copies"]
     assert sorted(str(r.doc_id) for r in rows) == sorted({str(c) for c in groups([(r.doc_id, r.text) for r in before])})
     before, rows = kept["repeats"]
-    expected = {i: k.decode(errors="ignore") for i, _, _, _, k in cuts([(r.doc_id, r.text) for r in before], 200, 51)}
+    expected = {i: k.decode(errors="ignore") for i, _, _, _, k in cuts([(r.doc_id, r.text) for r in before], corpus_pipeline.PASSAGE_BYTES, 51)}
     assert {r.doc_id: r.text for r in rows} == expected and all(r.n_chars == len(r.text) for r in rows)
     before, rows = kept["mix"]
     words = lambda rs: sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rs)
@@ -52,3 +54,31 @@ def test_clashing_columns_pass_through(spark):
         rows = got.collect()
         assert got.columns == docs.columns and rows
         assert all(r.Score == r.kept == r.target == r._size == r._aside0 == r._mix_at == r.doc_id for r in rows)
+
+
+def test_an_empty_table_gives_no_rows(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_of_51_words_go_however_short_the_words(spark):
+    """Words of one to four letters: passages of 101, 199, 201 and 400 bytes; one of 50 words stays."""
+    stage = dict(corpus_pipeline.STAGES)["repeats"]
+    rng = random.Random(3)
+    words = lambda n, size: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice(size))) for _ in range(n))
+    passages = [words(51, [1]), words(51, [2, 3, 4]), words(51, [3]), words(51, [6, 7]), words(50, [5])]
+    rows = [(10 * k + j, f"{words(30, [4, 5])} {p} {words(30, [4, 5])}") for k, p in enumerate(passages) for j in range(2)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
+    for k, p in enumerate(passages):
+        for j in range(2):
+            assert (p in texts[10 * k + j]) == (k == 4), (k, len(p))
+
+
+def test_the_language_stage_tells_the_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = corpus_pipeline.identify_language(spark, docs, "").collect()
+    given = {r.doc_id: r.lang for r in docs.collect()}
+    assert rows and sum(r.lang == given[r.doc_id] for r in rows) > 0.95 * len(rows)
+    unlabelled = corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))), "").collect()
+    assert len(unlabelled) == len(rows) and all(r.lang for r in unlabelled)
