@@ -46,7 +46,10 @@ def _ranges(codes: list[int]) -> str:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+    written = lambda some: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in some)
+    # Few characters of Latin texts are tried against the long list.
+    low, high = written(r for r in runs if r[0] < 0x250), written(r for r in runs if r[0] >= 0x250)
+    return f"[{low}[\\x{{250}}-\\x{{10ffff}}&&[{high}]]]"
 
 
 @lru_cache(maxsize=1)
@@ -74,7 +77,7 @@ def fold(x: Column, eszett: bool = True, slashed_o: bool = False, drop: str = ""
     several = _ranges(sorted(map(ord, spelled)))
     words = lambda y: F.trim(F.regexp_replace(F.lower(F.translate(y, drop, "") if drop else y), "[^a-z0-9]+", " "))
     table = F.from_json(F.lit(json.dumps(spelled)), "map<string,string>")
-    runs = F.regexp_extract_all(x, F.lit(f"{several}|[^{several[1:-1]}]+"), F.lit(0))
+    runs = F.regexp_extract_all(x, F.lit(f"{several}|(?:(?!{several})[\\s\\S])+"), F.lit(0))
     y = F.when(x.rlike(several), F.array_join(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.coalesce(F.try_element_at(table, r), r)).otherwise(r)), "")).otherwise(x)
     y = F.regexp_replace(y, f"{gone}+", "")
     if eszett:
