@@ -55,12 +55,12 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import remainder
-    from .quality import featured, fit, scored
+    from .quality import featured, learn, scored
 
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    features = stored(featured(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "quality-features")
-    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality")
-    result = scored(features, fit(features, labels))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    known, model = learn(docs, table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality"))
+    result = scored(stored(featured(docs, known=known), "quality-features"), model)
     return result.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -3,7 +3,8 @@
 import numpy as np
 
 from tessera.llm import queries
-from tessera.llm.quality import FEATURES, AdditiveModel, featured, fit, scored, text_features
+from tessera.llm import quality
+from tessera.llm.quality import FEATURES, LEXICAL, SLOTS, AdditiveModel, Lexicon, featured, fit, label_counts, learn, lexical_slots, lexicons, part_of, scored, text_features
 
 
 def test_held_out_accuracy(spark):
@@ -79,3 +80,80 @@ def test_clashing_names_and_long_texts(spark, docs):
     got = scored(features, fit(features, spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")))
     assert got.columns == ["doc_id", "lang", "source", "digits", "_x", "_id", "score"]
     assert all(r.digits == r.doc_id and 0 <= r.score <= 1 for r in got.collect())
+
+
+def plain_slots(raw):
+    """The slots of a text by Python integers, byte by byte."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words = []
+    for w in low.split():
+        code = sum((b + 1) * pow(0x100000001B3, k + 1, 1 << 64) for k, b in enumerate(w)) % (1 << 64)
+        words.append((code * 0x9E3779B97F4A7C15 % (1 << 64)) >> 49)
+    runs, before = [], []
+    for k in range(len(low) - 3):
+        code = int.from_bytes(low[k : k + 4], "little")
+        runs.append((code * 0x9E3779B1 % (1 << 32)) >> 17)
+        before.append(((code & 0xFFFFFF) * 0x85EBCA6B % (1 << 32)) >> 17)
+    return words, runs, before
+
+
+def test_slots_equal_plain_ones_over_steps(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [b"", b" ", b"ab", b"A b\n", "Große Wörter, zum Teil lange".encode(), *(rng.choice(list(b"abC. \n"), rng.integers(1, 200)).astype(np.uint8).tobytes() for _ in range(30))]
+    for step in (quality.STEP, 32):  # no word of these is longer than a step
+        monkeypatch.setattr(quality, "STEP", step)
+        for raw in texts:
+            if max(map(len, raw.split()), default=0) > step:
+                continue
+            got = [np.concatenate([np.zeros(0, int), *k]).tolist() for k in zip(*lexical_slots(raw), strict=True)] or [[], [], []]
+            assert [*got] == [*plain_slots(raw)]
+
+
+def test_counts_and_odds_equal_plain_ones(spark):
+    rows = [(1.0, "good words here"), (0.0, "bad words THERE"), (1.0, "good words here"), (0.0, None), (1.0, ""), (0.0, "x")]
+    counts = label_counts(spark.createDataFrame(rows, "_label double, text string").repartition(3))
+    expected = np.zeros_like(counts)
+    for label, text in rows:
+        raw = (text or "").encode()
+        for kind, slots in enumerate(plain_slots(raw)):
+            np.add.at(expected[part_of(raw), int(label), kind], slots, 1)
+    assert (counts == expected).all()
+    lexicon = lexicons(counts)[-1]
+    good, bad = expected.sum(0)[1, 0], expected.sum(0)[0, 0]
+    words = plain_slots(b"good bad news")[0]
+    odds = [np.log((good[w] + 1) / (good.sum() + SLOTS)) - np.log((bad[w] + 1) / (bad.sum() + SLOTS)) for w in words]
+    assert abs(lexicon.features(b"good bad news")[0] - np.mean(odds)) < 1e-5
+    assert lexicon.features(b"good")[0] > 0 > lexicon.features(b"bad")[0]
+    assert lexicon.features(b"") == [0.0] * len(LEXICAL)
+    assert Lexicon(np.zeros((2, 3, SLOTS))).features(b"some words")[:2] == [0.0, 0.0]
+
+
+def test_words_alone_tell_quality(spark):
+    """Two vocabularies of equal surface: only the lexical features can tell them apart, and held-out texts show it."""
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrst"))
+    vocabulary = ["".join(rng.choice(letters, 5)) for _ in range(400)]
+    rows = []
+    for k in range(600):
+        half = vocabulary[:200] if k % 2 else vocabulary[200:]
+        words = np.where(rng.random(60) < 0.65, rng.choice(half, 60), rng.choice(vocabulary, 60))
+        rows.append((k, " ".join(words), k % 2))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = frame.select("doc_id", "text"), frame.where("doc_id < 400").select("doc_id", "quality")
+    known, model = learn(docs, labels)
+    late = [(r.score > 0.5) == r.doc_id % 2 for r in scored(featured(docs, known=known), model).where("doc_id >= 400").collect()]
+    assert len(late) == 200 and np.mean(late) > 0.95
+    surface = featured(docs)
+    late = [(r.score > 0.5) == r.doc_id % 2 for r in scored(surface, fit(surface, labels)).where("doc_id >= 400").collect()]
+    assert np.mean(late) < 0.7
+
+
+def test_lexical_edges(spark, docs):
+    """Nulls, no labels, no rows, a word of many steps."""
+    df = docs.unionByName(docs.limit(1).selectExpr("77L doc_id", "repeat('x', 700000) text", "lang", "source", "score"), allowMissingColumns=True)
+    for labels in ([(1, 1), (1, 0), (3, None), (5, 0), (99, 1)], [(1, 1)], []):
+        known, model = learn(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+        got = scored(featured(df, known=known), model).collect()
+        assert len(got) == df.count() and all(0 <= r.score <= 1 for r in got)
+    known, model = learn(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
+    assert scored(featured(docs.limit(0), known=known), model).count() == 0
