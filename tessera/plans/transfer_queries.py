@@ -7,9 +7,11 @@ import urllib.error
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.sources import readers as S
 from tessera.sources import sinks
+from tessera.sources.paged_text import paged_text
 from tessera.sources.scratch import scratch
 from tessera.streaming import incremental
 
@@ -86,6 +88,26 @@ def src12_document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.regexp_extract("path", r"n_nationkey=(\d+)/", 1).cast("int").alias("n_nationkey"), "page", "text", "error")
 
 
+#: Documents as pages of files, two hundred ids a file; every fifth file has a zero byte in its first page.
+PAGED_SQL = "SELECT doc_id, doc_id // 200 AS file, replace(coalesce(text, ''), chr(12), ' ') AS text FROM documents"
+
+
+@query(f"""SELECT file, row_number() OVER (PARTITION BY file ORDER BY doc_id)::INT AS page, md5(text) AS mark, length(text) AS n_chars, NULL::VARCHAR AS error FROM ({PAGED_SQL}) WHERE file % 5 <> 4
+  UNION ALL SELECT DISTINCT file, NULL, NULL, NULL, 'not a text file' FROM ({PAGED_SQL}) WHERE file % 5 = 4""")
+def src12_paged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12: documents written as the pages of large files, and read back page by page; files that are no text are one row each."""
+    path = scratch(spark, "paged")
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\f"), F.lit(" "))
+    paged = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 200).cast("long").alias("file"), text.alias("text"))
+    # One shuffle brings a file's documents together, in order.
+    first = F.row_number().over(Window.partitionBy("file").orderBy("doc_id")) == 1
+    value = F.when(first & (F.col("file") % 5 == 4), F.concat(F.lit("\0"), "text")).otherwise(F.col("text"))
+    paged.withColumn("value", value).select("file", "value").write.partitionBy("file").option("lineSep", "\f").text(path)
+    pages = paged_text(spark, f"{path}/*/*.txt")
+    file = F.regexp_extract("path", r"/file=(-?\d+)/", 1).cast("long").alias("file")
+    return pages.select(file, "page", F.md5(F.col("text").cast("binary")).alias("mark"), F.length("text").cast("long").alias("n_chars"), "error")
+
+
 class _Answer(io.BytesIO):
     status = 200
 

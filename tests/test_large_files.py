@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import extract as E
 from tessera.sources import readers
+from tessera.sources.paged_text import paged_text
 from tessera.sources.split_csv import records, split_csv
 from tessera.sources.yearly_counts import write_works, yearly_counts
 
@@ -124,3 +125,31 @@ def test_counts_of_groups_that_are_asked_for(spark, tmp_path):
     assert "publication_count" in above and "s1" not in above and "1990" not in above, plan
     with pytest.raises(Exception):  # noqa: B017
         counts.where("source = 's3'").collect()
+
+
+def plain_pages(raw):
+    return [p.decode("utf-8", "replace") for p in (raw[:-1] if raw.endswith(b"\f") else raw).split(b"\f")] if raw else []
+
+
+@pytest.mark.parametrize("size", [23, 300, 10**7])
+def test_pages_over_borders_of_splits(spark, tmp_path, small_splits, size):
+    rng = random.Random(size)
+    files = {f"{k}.txt": b"".join(rng.choice([b"", b"line\nline\r\n", "é€".encode(), b"x" * 90, b"\xff bad", b"\n"]) + b"\f" for _ in range(rng.randrange(1, 60))) for k in range(5)}
+    files |= {"empty.txt": b"", "one.txt": b"no form feed", "blank.txt": b"\f", "open.txt": b"a\f\fb", "zero.txt": b"page\f" * 40 + b"\0" + b"\fpage" * 40}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    small_splits(size)
+    got = paged_text(spark, str(tmp_path))
+    rows = got.collect()
+    expected = {(name, k + 1, t, None) for name, raw in files.items() if b"\0" not in raw for k, t in enumerate(plain_pages(raw))}
+    assert {(r.path.rsplit("/", 1)[1], r.page, r.text, r.error) for r in rows} == expected | {("zero.txt", None, None, "not a text file")}
+    assert len(rows) == len(expected) + 1
+
+
+def test_one_paged_file_is_read_by_several_tasks(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr("tessera.sources.paged_text.BROADCAST_SPLITS", 0)  # the join beyond the size that is broadcast
+    (tmp_path / "a.txt").write_bytes(b"".join(f"page {k}\nof many\f".encode() for k in range(5000)))
+    small_splits(8192)
+    pages = paged_text(spark, str(tmp_path))
+    assert [(r.page, r.text) for r in pages.orderBy("page").collect()] == [(k + 1, f"page {k}\nof many") for k in range(5000)]
+    assert spark.read.option("lineSep", "\f").text(str(tmp_path)).rdd.getNumPartitions() > 8
