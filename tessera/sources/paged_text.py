@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import materialised
+
 #: Splits, one row of some 100 bytes each, whose counts are broadcast; more are joined by a shuffle.
 BROADCAST_SPLITS = 500_000
 
@@ -45,7 +47,8 @@ def paged_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     counts = found.groupBy("path", "block").agg(F.count("*").alias("n"), F.bool_or(F.contains("value", F.lit("\0"))).alias("bad"))
     every = Window.partitionBy("path")
     before = every.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.bool_or("bad").over(every).alias("bad"))
+    summed = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.bool_or("bad").over(every).alias("bad"))
+    splits = materialised(summed, "page-splits")  # the files are read twice, not once for each use of the counts
     small = splits.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
     failed = splits.where("bad").select("path", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), F.lit("not a text file").alias("error")).distinct()
     # Counted before anything is joined: a shuffle would mix up the pages.
