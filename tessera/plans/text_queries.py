@@ -373,11 +373,13 @@ def src04_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.substring(F.sha2("props", 256), 1, 24).alias("cache_key"))
 
 
-@query("""SELECT c_custkey::VARCHAR AS laureate_id, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_name END, 'known ' || c_custkey) AS full_name, (1901 + n_nationkey)::VARCHAR AS award_year, CASE n_nationkey % 3 WHEN 0 THEN 'Physics' ELSE 'Chemistry' END AS category,
-  CASE WHEN c_custkey % 4 > 0 THEN 'first ' || c_custkey END AS affiliation_name, CASE WHEN c_custkey % 4 > 0 THEN n_name END AS affiliation_country, CASE WHEN c_custkey % 5 > 0 THEN 'https://x.example/' || c_custkey END AS nobel_url
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 < 2""")
-def src04_prize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-04, F-01, J-02, J-20: prizes with their laureates, as nested payloads, flattened to one row a prize and laureate with the first affiliation and the external link."""
+#: Customers in a row that a page of prizes is made of, as an interface gives its results by pages: no payload holds more laureates, however many a nation has.
+PAGE_BITS = 6
+PAGE_CUSTOMERS = 1 << PAGE_BITS
+
+
+def prize_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a nation's prize with at most PAGE_CUSTOMERS laureates each, as nested payloads."""
     key, en = F.col("c_custkey").cast("string"), lambda c: F.struct(c.alias("en"))
     place = lambda n: F.struct(en(F.concat(F.lit(n), key)).alias("name"), en(F.col("n_name")).alias("country"))
     links = F.array(F.struct(F.lit("self").alias("rel"), F.lit("https://api.example").alias("href")), F.struct(F.when(F.col("c_custkey") % 5 > 0, "external").otherwise("other").alias("rel"), F.concat(F.lit("https://x.example/"), key).alias("href")))
@@ -385,11 +387,21 @@ def src04_prize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("id"), F.when(F.col("c_custkey") % 3 > 0, en(F.col("c_name"))).alias("fullName"), en(F.concat(F.lit("known "), key)).alias("knownName"),
         F.when(F.col("c_custkey") % 4 > 0, F.array(place("first "), place("second "))).alias("affiliations"), links.alias("links"),
     )
-    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(F.collect_list(laureate).alias("laureates"))
+    # Pages are numbered on the scan, before any exchange: how customers fall into pages changes no row of the result.
+    customers = table(spark, sf_dir, "customer").withColumn("page", F.shiftright(F.monotonically_increasing_id(), PAGE_BITS))
+    pages = table(spark, sf_dir, "nation").join(customers, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "page").agg(F.collect_list(laureate).alias("laureates"))
     category = F.element_at(F.array(F.lit("Physics"), F.lit("Chemistry"), F.lit("Peace")), F.col("n_nationkey") % 3 + 1)
     prize = F.struct((1901 + F.col("n_nationkey")).cast("string").alias("awardYear"), en(category).alias("category"), "laureates")
-    payloads = nations.select(F.to_json(F.struct(F.array(prize).alias("nobelPrizes"))).alias("value"))
-    return S.prize_rows(payloads, ["Physics", "Chemistry"]).select("laureate_id", "full_name", "award_year", "category", "affiliation_name", "affiliation_country", "nobel_url")
+    return pages.select(F.to_json(F.struct(F.array(prize).alias("nobelPrizes"))).alias("value"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS laureate_id, coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_name END, 'known ' || c_custkey) AS full_name, (1901 + n_nationkey)::VARCHAR AS award_year, CASE n_nationkey % 3 WHEN 0 THEN 'Physics' ELSE 'Chemistry' END AS category,
+  CASE WHEN c_custkey % 4 > 0 THEN 'first ' || c_custkey END AS affiliation_name, CASE WHEN c_custkey % 4 > 0 THEN n_name END AS affiliation_country, CASE WHEN c_custkey % 5 > 0 THEN 'https://x.example/' || c_custkey END AS nobel_url
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 < 2""")
+def src04_prize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04, F-01, J-02, J-20: prizes with their laureates, as nested payloads, flattened to one row a prize and laureate with the first affiliation and the external link."""
+    rows = S.prize_rows(prize_payloads(spark, sf_dir), ["Physics", "Chemistry"])
+    return rows.select("laureate_id", "full_name", "award_year", "category", "affiliation_name", "affiliation_country", "nobel_url")
 
 
 def token_list_sql(x: str) -> str:

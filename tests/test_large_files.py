@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import extract as E
+from tessera.plans import registry, text_queries
 from tessera.sources import readers
 from tessera.sources.paged_text import paged_text
 from tessera.sources.split_csv import records, split_csv
@@ -153,3 +155,20 @@ def test_one_paged_file_is_read_by_several_tasks(spark, tmp_path, small_splits,
     pages = paged_text(spark, str(tmp_path))
     assert [(r.page, r.text) for r in pages.orderBy("page").collect()] == [(k + 1, f"page {k}\nof many") for k in range(5000)]
     assert spark.read.option("lineSep", "\f").text(str(tmp_path)).rdd.getNumPartitions() > 8
+
+
+def test_prizes_come_in_pages_of_bounded_size(spark, tmp_path):
+    """One nation with nearly all customers: pages stay short, and the rows are those of the SQL."""
+    sf = "/root/testdata/sf0.001"
+    duckdb.sql(f"COPY (SELECT c.* REPLACE (c_custkey + k * 1000 AS c_custkey, CASE WHEN c_custkey % 9 > 0 THEN 3 ELSE c_nationkey END AS c_nationkey) FROM '{sf}/customer.parquet' c, range(20) t(k)) TO '{tmp_path}/customer.parquet'")
+    duckdb.sql(f"COPY (SELECT * FROM '{sf}/nation.parquet') TO '{tmp_path}/nation.parquet'")
+    laureates = text_queries.prize_payloads(spark, str(tmp_path)).select(F.from_json("value", readers.PRIZES)["nobelPrizes"][0]["laureates"].alias("l")).select(F.size("l").alias("n"))
+    most, total = laureates.agg(F.max("n"), F.sum("n")).first()
+    assert most <= text_queries.PAGE_CUSTOMERS and total == 3000
+    got = text_queries.src04_prize_rows(spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("customer", "nation"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    result = con.execute(registry.oracle_sql()["src04_prize_rows"])
+    columns = [c[0] for c in result.description]
+    assert sorted(map(str, result.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in got.collect())
