@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bound_batches, without
+from .common import bound_batches, without, worker
 
 #: Labelled texts learned for a language, shares of a language that they are chosen in.
 SAMPLE_DOCS, SHARES = 64, 64
@@ -228,4 +228,4 @@ def identify(df: DataFrame, parser: CrossParser, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[*kept, *(f.name for f in fields)])
 
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), *fields]))
+    return df.mapInArrow(worker(run), T.StructType([*(df.schema[c] for c in kept), *fields]))

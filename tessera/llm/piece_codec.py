@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches, without
+from .common import CACHES, bound_batches, without, worker
 
 SPACE = "▁"
 #: Marks before which a unit may end after a letter, where the vocabulary allows it.
@@ -293,6 +293,9 @@ def codec(model_file: str) -> PieceCodec:
     return made
 
 
+CACHES["codec"] = codec
+
+
 def _with(df: DataFrame, fields: list[T.StructField], make) -> DataFrame:
     """The frame with further columns, made from batches by make(batch) -> arrays; columns of these names, whatever their case, give way."""
     kept = without(df, *(f.name for f in fields))
@@ -304,7 +307,7 @@ def _with(df: DataFrame, fields: list[T.StructField], make) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], names=[*kept, *(f.name for f in fields)])
 
     bound_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(worker(run, "codec"), schema)
 
 
 def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

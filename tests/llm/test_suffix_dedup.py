@@ -77,6 +77,17 @@ def test_hot_buckets_are_cut_again(spark, monkeypatch):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("length, most", [(400, 40), (101, 60), (20, 3000)])
+def test_a_piece_gives_one_range(spark, length, most):
+    """A passage amid different texts: its suffixes are not a row each, where strings are as long as a piece."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefg ") for _ in range(1000))
+    rows = [(k, "".join(rng.choice("wxyz") for _ in range(300)) + base + "".join(rng.choice("stuv") for _ in range(300))) for k in range(2)]
+    found = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()
+    assert len(found) == 2 and all(len(r.ranges) <= most for r in found)
+    check(spark, rows, length)
+
+
 def test_clashing_names(spark, docs):
     df = docs.withColumnsRenamed({"lang": "d", "source": "h"}).withColumn("ranges", F.lit(1)).withColumn("_d", F.lit(2)).withColumn("Spans", F.lit(3))
     got = suffix_dedup.dedup(df)
